@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.packing import pack_documents
+from quire.llm.pii import KINDS, joined, personal_data
 from quire.llm.quality import quality_scores
 from quire.llm.simhash import simhash_components
 
@@ -55,3 +56,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pii_boosting")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
