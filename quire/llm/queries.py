@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_duplicates
+from quire.llm.mixing import mix_sources
 from quire.llm.packing import pack_documents
 from quire.llm.pii import KINDS, joined, personal_data
 from quire.llm.quality import quality_scores
@@ -62,3 +63,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op10_pfair_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_phase", "mix_slot", "mix_row")
