@@ -13,6 +13,7 @@ from quire.llm.packing import pack_documents
 from quire.llm.pii import KINDS, joined, personal_data
 from quire.llm.quality import quality_scores
 from quire.llm.simhash import simhash_components
+from quire.llm.suffixes import repeated_strings
 from quire.llm.topk import top_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents"))
