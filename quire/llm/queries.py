@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_duplicates
+from quire.llm.language import identify_languages
+from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import mix_sources
 from quire.llm.packing import pack_documents
 from quire.llm.pii import KINDS, joined, personal_data
@@ -92,3 +94,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    named = F.transform("hits", lambda h: F.concat_ws(":", h["license"], h["start"].cast("string"), h["end"].cast("string")))
+    return found.select("doc_id", "license", "score", F.size("hits").cast("long").alias("n_hits"), F.array_join(named, ",").alias("hits"))
+
+
+@query("op9_language_fusion")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
