@@ -1,6 +1,7 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
-Pieces as long as a sequence stand alone. The others are dealt by hash into problems of a bounded number of pieces.
+Pieces as long as a sequence stand alone. The others are dealt into problems of a bounded number of pieces that follow each
+other in the input, so that documents which were mixed well before are packed with their neighbours.
 Each problem is evolved on several islands, which are rows of a table and so tasks of their own. A chromosome is a list
 of bins. Crossover injects whole well-filled bins of one parent into another, removes the bins that then hold a
 piece twice, and puts their other pieces back by best fit. After each epoch every island sends its best
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.staging import stage, text_or_empty
@@ -169,11 +170,18 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, problem_rows: int = 6000, islands: int = 3, epochs: int = 2, population: int = 5, generations: int = 12, seed: int = 3) -> DataFrame:
-    """(item, sequence_id, offset) for pieces (item long, unique; length from 1 to capacity)."""
+    """(item, sequence_id, offset) for pieces (item long, unique; length from 1 to capacity).
+
+    The upper bits of an item, from 33 on, name the partition it was in; below, items count up. Neighbours share a problem.
+    """
     alone = pieces.where(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = pieces.where(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("length"))
-    n_problems = max(1, -(-short.count() // problem_rows))
-    dealt = short.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_problems)).alias("problem")).agg(F.sort_array(F.collect_list(F.struct("length", "item")), asc=False).alias("p"))
+    part = F.shiftright("item", 33)
+    sizes = pieces.groupBy(part.alias("part")).agg((F.max("item").bitwiseAND((1 << 33) - 1) + 1).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    place = F.col("before") + F.col("item").bitwiseAND((1 << 33) - 1)
+    short = short.withColumn("part", part).join(before, "part")
+    dealt = short.groupBy(F.floor(place / problem_rows).cast("long").alias("problem")).agg(F.sort_array(F.collect_list(F.struct("length", "item")), asc=False).alias("p"))
     problems = stage(dealt.select("problem", F.col("p.length").alias("lengths"), F.col("p.item").alias("items")), "problems")
     ring = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
     none = F.lit(None).cast("array<int>")
