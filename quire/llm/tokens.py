@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-ȳ]|[²³¹¼½¾İ]|<\|")
 _SLICE = 4 << 20
-_MOST = 1_500_000
+#: Entries of a cache's newer half. A Python worker keeps its caches for as long as it lives, so they must stay small beside the executor's heap.
+_WORDS, _PIECES_KEPT = 150_000, 300_000
 
 
 def default_path() -> str:
@@ -33,6 +34,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Halves(dict):
+    """A cache of two halves. When the newer one is full it becomes the older one, whose entries go unless they are asked for again."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def find(self, key: str) -> bytes | None:
+        found = self.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids by the tokenizer file at ``path``, without special tokens added."""
 
@@ -44,8 +66,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Halves(_WORDS), Halves(_PIECES_KEPT)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -56,17 +77,15 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-        return ids
+        return self.pieces.put(piece, np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes())
 
     def _word(self, word: str) -> bytes:
         if _ODD.search(word):
             ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            known = self.pieces
-            ids = b"".join([known.get(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
-        self.words[word] = ids
-        return ids
+            known = self.pieces.find
+            ids = b"".join([known(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
+        return self.words.put(word, ids)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text; null counts as empty."""
@@ -81,14 +100,10 @@ class WordEncoder:
         return out
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.words) > _MOST:
-            self.words.clear()
-        if len(self.pieces) > _MOST:
-            self.pieces.clear()
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        known = self.words
-        table = [known[w] if w in known else self._word(w) for w in coded.dictionary.to_pylist()]
+        known = self.words.find
+        table = [ids if (ids := known(w)) is not None else self._word(w) for w in coded.dictionary.to_pylist()]
         n_ids = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat = np.frombuffer(b"".join(table), "<u4")
         starts = np.cumsum(n_ids) - n_ids
