@@ -30,6 +30,11 @@ EMOTION_WORDS = "afraid happy sad promised wondered laughed smiled cried curious
 ACCENTS = ("coral red", "deep teal", "warm gold", "soft blue-green", "moss green", "paper cream")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often ``use`` needs it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -97,8 +102,7 @@ def slug(c: Column, fallback: Column | str = "item", most: int = 80) -> Column:
 
 def clip(c: Column, limit: int, mark: str = "...") -> Column:
     """Collapsed text; beyond the limit the first limit - 1 letters, trimmed, and the mark."""
-    whole = collapse(text(c))
-    return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(trim(F.substring(whole, 1, limit - 1)), F.lit(mark)))
+    return let(collapse(text(c)), lambda whole: F.when(F.length(whole) <= limit, whole).otherwise(F.concat(trim(F.substring(whole, 1, limit - 1)), F.lit(mark))))
 
 
 def clip_polished(c: Column, limit: int) -> Column:
@@ -125,9 +129,12 @@ def reader_caption(c: Column, number: Column | int = 1) -> Column:
     out = source_excerpt(c, number)
     for old, new in CAPTION_REWRITES:
         out = F.regexp_replace(out, f"(?i){B0}{old}{B1}", new)
-    out = collapse(out)
-    fragment = F.get(F.filter(F.split(out, r"(?i), +|; +| +and +"), lambda x: F.length(x).between(22, 86)), 0)
-    return F.when(F.length(out) <= 86, out).otherwise(F.coalesce(fragment, clip(out, 86)))
+
+    def shorter(c: Column) -> Column:
+        fragment = F.get(F.filter(F.split(c, r"(?i), +|; +| +and +"), lambda x: F.length(x).between(22, 86)), 0)
+        return F.when(F.length(c) <= 86, c).otherwise(F.coalesce(fragment, clip(c, 86)))
+
+    return let(collapse(out), shorter)
 
 
 def detect_language(c: Column) -> Column:

@@ -109,15 +109,29 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, kind)], names=["doc_id", "scores"])
 
 
+_ACTS_AFTER = regex.compile(rf"\s+(?:{ACTIONS})(?![a-z0-9_])")
+_ACTS_BEFORE = regex.compile(rf"(?<![a-z0-9_])(?:{ACTIONS})\s+(?:to\s+|at\s+|with\s+|the\s+)?$")
+_HONOURED = regex.compile(rf"(?<![a-z0-9_])(?:{HONORIFICS})\.?\s+$")
+
+
+def _whole_words(word: str, low: str) -> Iterator[int]:
+    """Places of a lower-case word that no letter or digit touches."""
+    at = low.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
+            yield at
+        at = low.find(word, at + 1)
+
+
 def context_score(name: str, text: str) -> int:
     """Points for actions next to a name and for honorifics before it, within 48 letters; counting ends at 6 or more."""
-    word = rf"(?<![\p{{L}}\p{{N}}]){regex.escape(name, special_only=True)}(?![\p{{L}}\p{{N}}])"
-    act = regex.compile(rf"{word}\s+(?:{ACTIONS})(?![a-z0-9_])|(?<![a-z0-9_])(?:{ACTIONS})(?![a-z0-9_])\s+(?:to\s+|at\s+|with\s+|the\s+)?{word}", regex.I)
-    titled = regex.compile(rf"(?<![a-z0-9_])(?:{HONORIFICS})\.?\s+{word}", regex.I)
-    points = 0
-    for m in regex.finditer(word, text, regex.I):
-        near = text[max(0, m.start() - 48) : m.end() + 48].lower()
-        points += 2 * bool(act.search(near)) + bool(titled.search(near))
+    word, low, points = name.lower(), text.lower(), 0
+    for at in _whole_words(word, low):
+        near = low[max(0, at - 48) : at + len(word) + 48]
+        places = list(_whole_words(word, near))
+        acts = any(_ACTS_AFTER.match(near, i + len(word)) or _ACTS_BEFORE.search(near[:i]) for i in places)
+        points += 2 * acts + any(_HONOURED.search(near[:i]) is not None for i in places)
         if points >= 6:
             break
     return points

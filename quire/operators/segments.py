@@ -101,7 +101,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(batch.num_columns - 1).to_pylist():
             lines = text.split("\n")
             found = HeadingFinder(lines).find()
-            ends = [h[0] for h in found[1:]] + [len(lines)]
+            ends = [*(h[0] for h in found), len(lines)][1:]
             out.append([{"line": i + 1, "title": title, "body": "\n".join(lines[start:end]).strip()} for (i, title, start), end in zip(found, ends, strict=True)])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "headings"])
 
@@ -222,7 +222,7 @@ def slices(text: Column, size: Column) -> Column:
 
 def split_long(paragraph: Column, target: Column) -> Column:
     """A paragraph over 1.15 targets in chunks of whole sentences; a sentence over 1.25 targets in slices."""
-    sentences = F.filter(F.transform(F.split(paragraph, "(?<=[.!?。！？][”’\"']?)\\s+"), T.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.split(paragraph, "(?<=[.!?。！？][”’\"']?)\\s+"), T.trim), lambda s: s != "")
     start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
     def closed(out: Column, now: Column) -> Column:
@@ -240,41 +240,52 @@ def split_long(paragraph: Column, target: Column) -> Column:
             F.when(long, 0).otherwise(F.when(full, 0).otherwise(a["n"]) + size).alias("n"),
         )
 
-    chunks = F.aggregate(sentences, start, step, lambda a: closed(a["out"], a["now"]))
-    return F.when(paragraph == "", F.expr("cast(array() as array<string>)")).when(F.length(paragraph) <= target * 1.15, F.array(paragraph)).when(F.size(sentences) <= 1, slices(paragraph, target)).otherwise(chunks)
+    chunks = T.let(found, lambda sentences: F.when(F.size(sentences) <= 1, slices(paragraph, target)).otherwise(F.aggregate(sentences, start, step, lambda a: closed(a["out"], a["now"]))))
+    return F.when(paragraph == "", F.expr("cast(array() as array<string>)")).when(F.length(paragraph) <= target * 1.15, F.array(paragraph)).otherwise(chunks)
 
 
 def pad(segments: Column, count: Column) -> Column:
     """Exactly ``count`` segments: the last one again as often as needed."""
-    some = F.when(F.size(segments) > 0, segments).otherwise(F.array(F.lit("")))
-    return F.slice(F.concat(some, F.array_repeat(F.element_at(some, -1), count.cast("int"))), F.lit(1), count.cast("int"))
+    padded = lambda x: F.slice(F.concat(x, F.array_repeat(F.element_at(x, -1), count.cast("int"))), F.lit(1), count.cast("int"))
+    return T.let(segments, lambda x: F.when(F.size(x) > 0, padded(x)).otherwise(F.array_repeat(F.lit(""), count.cast("int"))))
+
+
+def _total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+
+
+def _target(parts: Column, count: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(_total(parts) / count).cast("int"))
 
 
 def balance(parts: Column, count: Column) -> Column:
     """Up to ``count`` groups of neighbouring parts, each about as long as the others."""
-    total = F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
-    target = F.greatest(F.lit(1), F.ceil(total / count).cast("int"))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
-    def step(a: Column, p: Column) -> Column:
-        after = a["n"] + F.length(p)
-        over = a["now"].isNotNull() & (after > target) & (F.abs(target - a["n"]) <= F.abs(target - after))
-        needed_later = F.size(parts) - a["i"] <= count - F.size(a["out"]) - 1
-        close = over & ~needed_later & (F.size(a["out"]) < count - 1)
-        return F.struct(F.when(close, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"), F.when(close | a["now"].isNull(), p).otherwise(F.concat(a["now"], F.lit("\n\n"), p)).alias("now"), F.when(close, F.length(p)).otherwise(after).alias("n"), (a["i"] + 1).alias("i"))
+    def groups(x: Column) -> Column:
+        def step(a: Column, p: Column) -> Column:
+            after = a["n"] + F.length(p)
+            over = a["now"].isNotNull() & (after > x["target"]) & (F.abs(x["target"] - a["n"]) <= F.abs(x["target"] - after))
+            needed_later = x["size"] - a["i"] <= x["count"] - F.size(a["out"]) - 1
+            close = over & ~needed_later & (F.size(a["out"]) < x["count"] - 1)
+            return F.struct(F.when(close, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"), F.when(close | a["now"].isNull(), p).otherwise(F.concat(a["now"], F.lit("\n\n"), p)).alias("now"), F.when(close, F.length(p)).otherwise(after).alias("n"), (a["i"] + 1).alias("i"))
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["now"])))
+        return F.aggregate(x["parts"], start, step, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["now"])))
+
+    # what a step needs of the whole is worked out once, not at each step
+    return T.let(F.struct(parts.alias("parts"), F.size(parts).alias("size"), _target(parts, count).alias("target"), count.alias("count")), groups)
+
+
+def segments_of(text: Column, count: Column) -> Column:
+    """A text in exactly ``count`` segments."""
+    cut = lambda raw: T.let(F.struct(raw.alias("raw"), _target(raw, count).alias("target")), lambda x: F.flatten(F.transform(x["raw"], lambda p: split_long(p, x["target"]))))
+    grouped = lambda parts: F.when(F.size(parts) <= count, parts).otherwise(balance(parts, count))
+    return pad(T.let(T.let(T.paragraphs(text), cut), grouped), count)
 
 
 def page_segments(rows: DataFrame, text: str = "text", count: str = "spread_count") -> DataFrame:
     """``rows`` with ``segments``: the text in ``count`` balanced segments."""
-    n = F.col(count).cast("int")
-    rows = rows.withColumn("raw_parts", T.paragraphs(F.col(text)))
-    total = F.aggregate("raw_parts", F.lit(0), lambda a, p: a + F.length(p))
-    rows = rows.withColumn("first_target", F.greatest(F.lit(1), F.ceil(total / n).cast("int")))
-    rows = rows.withColumn("parts", F.flatten(F.transform("raw_parts", lambda p: split_long(p, F.col("first_target")))))
-    grouped = F.when(F.size("parts") <= n, F.col("parts")).otherwise(balance(F.col("parts"), n))
-    return rows.withColumn("segments", pad(grouped, n)).drop("raw_parts", "first_target", "parts")
+    return rows.withColumn("segments", segments_of(F.col(text), F.col(count).cast("int")))
 
 
 def spreads(chapters: DataFrame) -> DataFrame:
