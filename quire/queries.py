@@ -518,12 +518,12 @@ def image_checks(spark, d):
     return table(spark, d, "part").select("p_partkey", checked.alias("c")).select("p_partkey", "c.status", F.array_join("c.blocking_issues", ",").alias("issues"), "c.ratio")
 
 
-@query("duplicate_captions", rf"WITH {PAGES}, k AS (SELECT *, {trim_sql(r'''regexp_replace(lower(caption), '[^\p{L}\p{N}]+', ' ', 'g')''')} AS key FROM pages) SELECT doc_id, spread_id, first_value(spread_id) OVER w AS first_id, page_number FROM k QUALIFY row_number() OVER w > 1 WINDOW w AS (PARTITION BY doc_id, key ORDER BY page_number)")
+@query("duplicate_captions", rf"WITH {PAGES}, k AS (SELECT *, {trim_sql(r'''regexp_replace(lower(caption), '[^\p{L}\p{N}]+', ' ', 'g')''')} AS key FROM pages) SELECT doc_id, spread_id, first_value(spread_id) OVER w AS first_id, page_number FROM k WINDOW w AS (PARTITION BY doc_id, key ORDER BY page_number) QUALIFY row_number() OVER w > 1")
 def duplicate_captions(spark, d):
     return audit.repeated_captions(line_pages(spark, d))
 
 
-@query("duplicate_ids", "SELECT source, text, doc_id, first_value(doc_id) OVER w AS first_id FROM documents QUALIFY row_number() OVER w > 1 WINDOW w AS (PARTITION BY source, text ORDER BY doc_id)")
+@query("duplicate_ids", "SELECT source, text, doc_id, first_value(doc_id) OVER w AS first_id FROM documents WINDOW w AS (PARTITION BY source, text ORDER BY doc_id) QUALIFY row_number() OVER w > 1")
 def duplicate_ids(spark, d):
     return audit.duplicates(table(spark, d, "documents"), ["source", "text"], ["doc_id"], "doc_id").select("source", "text", "doc_id", "first_id")
 
@@ -547,10 +547,10 @@ def project_summary(spark, d):
     return audit.project_summary(line_pages(spark, d), people).drop("ready_character_count")
 
 
-@query("lint_report", f"""WITH {PAGES}, p AS (SELECT *, 'chapters[' || chapter_idx || '].spreads[' || (page_number - 1) || ']' AS at FROM pages)
-    SELECT doc_id, 'warning' AS severity, at || '.image.assetPath' AS path, 'is missing' AS message FROM p WHERE asset_path IS NULL UNION ALL
-    SELECT doc_id, 'warning', at || '.image.qa', 'is missing for a ready image' FROM p WHERE image_status = 'ready' AND qa_status IS NULL UNION ALL
-    SELECT doc_id, 'warning', at || '.caption', 'is missing' FROM p WHERE caption = '' UNION ALL SELECT doc_id, 'warning', at || '.readerCaption', 'is missing' FROM p WHERE caption = '' UNION ALL SELECT doc_id, 'warning', at || '.sourceExcerpt', 'is missing' FROM p WHERE source_excerpt = '' UNION ALL
+@query("lint_report", f"""WITH {PAGES}, p AS (SELECT *, 'chapters[' || chapter_idx || '].spreads[' || (page_number - 1) || ']' AS spot FROM pages)
+    SELECT doc_id, 'warning' AS severity, spot || '.image.assetPath' AS path, 'is missing' AS message FROM p WHERE asset_path IS NULL UNION ALL
+    SELECT doc_id, 'warning', spot || '.image.qa', 'is missing for a ready image' FROM p WHERE image_status = 'ready' AND qa_status IS NULL UNION ALL
+    SELECT doc_id, 'warning', spot || '.caption', 'is missing' FROM p WHERE caption = '' UNION ALL SELECT doc_id, 'warning', spot || '.readerCaption', 'is missing' FROM p WHERE caption = '' UNION ALL SELECT doc_id, 'warning', spot || '.sourceExcerpt', 'is missing' FROM p WHERE source_excerpt = '' UNION ALL
     SELECT doc_id, 'error', 'book.title', 'is required' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'error', 'planningReview.status', 'is blocked' FROM documents WHERE doc_id % 6 = 0 UNION ALL
     SELECT doc_id, 'error', 'id', 'Duplicate id: ch-0' FROM documents WHERE doc_id % 5 = 0""")
 def lint_report(spark, d):
