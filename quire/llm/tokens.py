@@ -18,7 +18,7 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-ȳ]|[²³¹¼½¾İ]|<\|")
 _SLICE = 4 << 20
 #: Entries of a cache's newer half. A Python worker keeps its caches for as long as it lives, so they must stay small beside the executor's heap.
-_WORDS, _PIECES_KEPT = 150_000, 300_000
+_WORDS, _PIECES_KEPT = 60_000, 120_000
 
 
 def default_path() -> str:
