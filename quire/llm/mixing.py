@@ -12,6 +12,7 @@ Everything on rows is DataFrame expressions. The round is planned on the driver
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -111,7 +112,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5
     table = [(counts[s].mix_source, p, n, first, shares[s], len(order), [t for t, x in enumerate(order) if x == s]) for p, (first, _, begin, shares, order) in enumerate(phases) for s, n in begin.items()]
     ends = {(s, p): begin for p, (_, _, begin, _, _) in enumerate(phases) for s in begin}
     last = [ends.get((s, p + 1), {}).get(s, blocks[s]) for p, (_, _, begin, _, _) in enumerate(phases) for s in begin]
-    rounds = docs.sparkSession.createDataFrame([(*row, end) for row, end in zip(table, last, strict=True)], "mix_source string, mix_phase int, from_block long, first long, share long, round long, at array<int>, to_block long")
+    kind = "array<struct<mix_source:string,mix_phase:int,from_block:bigint,first:bigint,share:bigint,round:bigint,at:array<int>,to_block:bigint>>"
+    names_of = ("mix_source", "mix_phase", "from_block", "first", "share", "round", "at", "to_block")
+    planned = json.dumps([dict(zip(names_of, (*row, end), strict=True)) for row, end in zip(table, last, strict=True)])
+    rounds = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(planned), kind)))
     within = F.col("mix_block") - F.col("from_block")
     found = placed.join(F.broadcast(rounds), (placed.mix_source == rounds.mix_source) & (F.col("mix_block") >= F.col("from_block")) & (F.col("mix_block") < F.col("to_block"))).drop(rounds.mix_source)
     slot = F.col("first") + F.floor(within / F.col("share")) * F.col("round") + F.element_at("at", (within % F.col("share") + 1).cast("int"))
