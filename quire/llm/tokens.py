@@ -7,6 +7,7 @@ anything but plain Latin letters, digits and marks go through the tokenizer itse
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-ȳ]|[²³¹¼½¾İ]|<\|")
 _SLICE = 4 << 20
 #: Entries of a cache's newer half. A Python worker keeps its caches for as long as it lives, so they must stay small beside the executor's heap.
-_WORDS, _PIECES_KEPT = 60_000, 120_000
+_WORDS, _PIECES_KEPT = 60_000, 200_000
 
 
 def default_path() -> str:
@@ -80,10 +81,17 @@ class WordEncoder:
         return self.pieces.put(piece, np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes())
 
     def _word(self, word: str) -> bytes:
+        known = self.pieces.find
+        if word and word.isascii():  # most words are letters, or letters and a mark
+            if word.isalpha():
+                low = word.lower()
+                return self.words.put(word, known(low) or self._piece(low))
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                low, mark = word[:-1].lower(), word[-1]
+                return self.words.put(word, (known(low) or self._piece(low)) + (known(mark) or self._piece(mark)))
         if _ODD.search(word):
             ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            known = self.pieces.find
             ids = b"".join([known(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
         return self.words.put(word, ids)
 
@@ -92,11 +100,16 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         out: list[np.ndarray] = []
-        a = 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _SLICE, side="right")))
-            out += self._slice(texts.slice(a, b - a))
-            a = b
+        collects, a = gc.isenabled(), 0
+        gc.disable()  # nothing here makes cycles, and each collection would walk the caches
+        try:
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _SLICE, side="right")))
+                out += self._slice(texts.slice(a, b - a))
+                a = b
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
