@@ -1,7 +1,7 @@
 """Token ids of whole texts, word by word.
 
 The vocabulary drops white space and never merges across it, so a text's ids are those of its words in turn. Each
-distinct word of a slice is encoded once, and each piece of a word once for as long as the cache lasts. Words with
+distinct word of a slice is put together once, and each piece of a word encoded once for as long as the cache lasts. Words with
 anything but plain Latin letters, digits and marks go through the tokenizer itself.
 """
 
@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-ȳ]|[²³¹¼½¾İ]|<\|")
 _SLICE = 4 << 20
-#: Entries of a cache's newer half. A Python worker keeps its caches for as long as it lives, so they must stay small beside the executor's heap.
-_WORDS, _PIECES_KEPT = 60_000, 200_000
+#: Entries of the cache's newer half. A Python worker keeps the cache for as long as it lives, so it must stay small beside the executor's heap.
+_PIECES_KEPT = 250_000
 
 
 def default_path() -> str:
@@ -67,7 +67,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.words, self.pieces = Halves(_WORDS), Halves(_PIECES_KEPT)
+        self.pieces = Halves(_PIECES_KEPT)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -85,15 +85,13 @@ class WordEncoder:
         if word and word.isascii():  # most words are letters, or letters and a mark
             if word.isalpha():
                 low = word.lower()
-                return self.words.put(word, known(low) or self._piece(low))
+                return known(low) or self._piece(low)
             if word[-1] in ".,;:!?" and word[:-1].isalpha():
                 low, mark = word[:-1].lower(), word[-1]
-                return self.words.put(word, (known(low) or self._piece(low)) + (known(mark) or self._piece(mark)))
+                return (known(low) or self._piece(low)) + (known(mark) or self._piece(mark))
         if _ODD.search(word):
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join([known(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
-        return self.words.put(word, ids)
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([known(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text; null counts as empty."""
@@ -115,8 +113,7 @@ class WordEncoder:
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        known = self.words.find
-        table = [ids if (ids := known(w)) is not None else self._word(w) for w in coded.dictionary.to_pylist()]
+        table = list(map(self._word, coded.dictionary.to_pylist()))
         n_ids = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat = np.frombuffer(b"".join(table), "<u4")
         starts = np.cumsum(n_ids) - n_ids
