@@ -99,10 +99,11 @@ def log_paths(log: Column) -> Column:
 
 
 def recover_match(runs: DataFrame, files: DataFrame, slack: str = "60 SECONDS") -> DataFrame:
-    """For each run the newest file of its project that is no older than its start less the slack: an as-of match on an equi-join.
+    """For each run the newest file of its project that is no older than its start less the slack.
 
-    runs: run_id, project, started. files: project, path, mtime.
+    runs: run_id, project, started. files: project, path, mtime. No later bound is set, so a project's newest file answers for all
+    its runs or for none; it is found by one grouped maximum, and no pair of a run and a file is made besides.
     """
-    near = runs.join(files.distinct(), "project").where(F.col("mtime") >= F.col("started") - F.expr(f"INTERVAL {slack}"))
-    found = near.groupBy("run_id").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
-    return runs.join(found, "run_id", "left")
+    newest = files.where("mtime IS NOT NULL").groupBy("project").agg(F.max(F.struct("mtime", "path")).alias("newest"))
+    recent = F.col("newest.mtime") >= F.col("started") - F.expr(f"INTERVAL {slack}")
+    return runs.join(newest, "project", "left").withColumn("path", F.when(recent, F.col("newest.path"))).drop("newest").select("run_id", *[c for c in runs.columns if c != "run_id"], "path")

@@ -606,6 +606,15 @@ def rank_zip_import(spark, d):
     return work.import_by_rank(_queue(spark, d), files)
 
 
+@query("rank_zip_import_all", f"""WITH {_QUEUE}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS at, count(*) OVER (PARTITION BY doc_id) AS n FROM q WHERE status <> 'ready'),
+    f AS (SELECT o_custkey % 25 AS doc_id, 'o' || o_orderkey AS path, o_orderkey AS mtime FROM orders), g AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY mtime DESC, path) AS newness, w.n FROM f JOIN (SELECT DISTINCT doc_id, n FROM i) w USING (doc_id) QUALIFY newness <= n),
+    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY newness DESC) AS at FROM g), k AS (SELECT doc_id, count(*) AS have FROM g GROUP BY doc_id)
+    SELECT i.doc_id, CAST(i.at AS INTEGER) AS at, i.type, i.id, h.path, coalesce(have, 0) >= i.n AS enough FROM i LEFT JOIN h ON h.doc_id = i.doc_id AND h.at = i.at LEFT JOIN k ON k.doc_id = i.doc_id""")
+def rank_zip_import_all(spark, d):
+    files = table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("doc_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").alias("mtime"))
+    return work.import_by_rank(_queue(spark, d), files)
+
+
 @query("log_paths", "SELECT * FROM (VALUES (1, '/tmp/gen/a-1.png|/tmp/gen/b.webp'), (2, ''), (3, '/x/y.jpeg')) t(id, paths)")
 def log_paths(spark, d):
     rows = spark.createDataFrame([(1, "saved /tmp/gen/a-1.png. then '/tmp/gen/b.webp' and /tmp/gen/a-1.png"), (2, "nothing"), (3, "at /x/y.jpeg)")], "id int, log string")
@@ -750,6 +759,13 @@ def recover_match(spark, d):
     return work.recover_match(started, files).select("run_id", "path")
 
 
+@query("recover_match_all", f"WITH {_RUNS}, m AS (SELECT CAST(user_id AS VARCHAR) AS project_path, max(ts) AS mtime, arg_max('f' || event_id, (ts, 'f' || event_id)) AS path FROM events GROUP BY user_id) SELECT id AS run_id, CASE WHEN mtime >= created_at - INTERVAL 60 SECOND THEN path END AS path FROM r LEFT JOIN m USING (project_path)")
+def recover_match_all(spark, d):
+    files = table(spark, d, "events").select(F.col("user_id").cast("string").alias("project"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("mtime"))
+    started = _runs(spark, d).select(F.col("id").alias("run_id"), F.col("project_path").alias("project"), F.col("created_at").alias("started"))
+    return work.recover_match(started, files).select("run_id", "path")
+
+
 @query("run_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts) + INTERVAL 15 MINUTE) AS stale_us, count(*) AS beats FROM s GROUP BY user_id, k")
 def run_sessions(spark, d):
     found = streams.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id")
