@@ -2,23 +2,25 @@
 
 A source with weight w gets block i released at slot floor(i / w), with its deadline at slot ceil((i + 1) / w).
 Taking, slot by slot, the released block with the earliest deadline gives every source, at every slot t, within
-one block of w * t. Weights are rounded to whole numbers of slots in a round of fixed length, so the schedule of one
-round, a small table, repeats; a block's slot follows from its number by arithmetic, and no task walks the schedule.
-When a source has no more blocks, the others go on with their weights scaled up: a new phase with a round of its own.
+one block of w * t. Weights are held as whole numbers in their exact proportion, so no error adds up.
+When a source has no more blocks, the others go on with their weights scaled up: a new phase.
 
-Everything on rows is DataFrame expressions. The round is planned on the driver from the number of rows of each source.
+Everything on rows is DataFrame expressions. The driver walks the slots once, from the number of rows of each source, and writes
+the schedule, a row for each block, to a table as it goes; it holds no more than a block of each source.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.staging import stage
+from quire.llm.staging import shared_path, stage
 
 
 def whole_weights(weights: list[float], slots: int) -> list[int]:
@@ -77,13 +79,61 @@ def plan(blocks: list[int], weights: list[float], slots: int) -> list[tuple]:
     return phases
 
 
+def whole_numbers(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    parts = [float(w).as_integer_ratio() for w in weights]
+    common = max(d for _, d in parts)  # powers of two
+    return [n * (common // d) for n, d in parts]
+
+
+def exact_slots(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, phase) of every slot in turn. Release and deadline of a block follow from the exact weight, over the whole phase.
+
+    A phase ends before the first slot that its source can't fill. Sources without a weight come after all others, in equal shares.
+    """
+    left, done, phase = list(blocks), [0] * len(blocks), 0
+    while any(left):
+        live = [s for s in range(len(left)) if left[s] and weights[s] > 0] or [s for s in range(len(left)) if left[s]]
+        share = dict(zip(live, whole_numbers([weights[s] if weights[s] > 0 else 1.0 for s in live]), strict=True))
+        total = sum(share.values())
+        # the first block of every source is ready in slot 0
+        ready = [(-(-total // share[s]), s, 0) for s in live]
+        heapq.heapify(ready)
+        release: list[tuple[int, int, int]] = []
+        for t in itertools.count():
+            while release and release[0][0] <= t:
+                _, s, i = heapq.heappop(release)
+                heapq.heappush(ready, (-(-(i + 1) * total // share[s]), s, i))
+            _, s, i = heapq.heappop(ready)
+            if not left[s]:
+                break
+            yield s, done[s], phase
+            left[s] -= 1
+            done[s] += 1
+            heapq.heappush(release, ((i + 1) * total // share[s], s, i + 1))
+        phase += 1
+
+
+def _written(spark: SparkSession, lines: Iterator[str], name: str) -> str:
+    """Path of a text file in the shared folder. Lines are written as they come; the driver never holds them all."""
+    path = shared_path(spark, name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        while part := "".join(itertools.islice(lines, 50_000)):
+            out.write(bytearray(part.encode()))
+    finally:
+        out.close()
+    return path
+
+
 def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 16, slots: int = 1024, bucket_rows: int = 2048, most_sources: int = 256) -> DataFrame:
     """``docs`` with mix_source, mix_phase, mix_slot (the block's place) and mix_row (the row's place in its block).
 
-    Every row stays, once. Rows of a source follow a hash order, in blocks of ``block_rows``; the last may be shorter. In phase 0 all
-    sources keep within one block of their weight (as rounded to ``slots``-ths); each later phase lacks the sources that are through.
-    weights: by source; those not named share nothing until the named ones are through. Default: rows of the source to the ``power``.
-    A null source is a source of its own, and null and repeated doc_ids are rows like any other. More than ``most_sources``
+    Every row stays, once. Rows of a source follow a hash order, in blocks of ``block_rows``; the last may be shorter. Throughout a phase every
+    source keeps within one block of its exact weight; each later phase lacks the sources that are through.
+    weights: by source; those not named, and those of no weight, get nothing until the others are through. Default: rows of the source to the ``power``.
+    slots has no effect any more: the schedule has no rounds. A null source is a source of its own, and null and repeated doc_ids are rows like any other. More than ``most_sources``
     sources raise an error, as the schedule is planned on the driver. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("mix_source", "mix_phase", "mix_slot", "mix_row")]
@@ -95,28 +145,21 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5
     if not counts:
         return kept.select("*", key.alias("mix_source"), *[F.lit(0).cast(k).alias(n) for n, k in (("mix_phase", "int"), ("mix_slot", "long"), ("mix_row", "int"))])
     wanted = None if weights is None else {"null" if k is None else f"={k}": v for k, v in weights.items()}
-    given = [float(c["count"]) ** power if wanted is None else max(float(wanted.get(c.mix_source, 0.0)), 1e-12) for c in counts]
+    given = [float(c["count"]) ** power if wanted is None else max(float(wanted.get(c.mix_source, 0.0)), 0.0) for c in counts]
     blocks = [-(-c["count"] // block_rows) for c in counts]
-    phases = plan(blocks, given, max(slots, 4 * len(counts)))
+    spark = docs.sparkSession
+    named = _written(spark, (json.dumps({"mix_source": c.mix_source, "mix_key": s, "mix_buckets": max(1, c["count"] // bucket_rows)}) + "\n" for s, c in enumerate(counts)), "mix-sources")
+    sources = spark.read.schema("mix_source string, mix_key int, mix_buckets long").json(named)
+    planned = _written(spark, (f"{s},{block},{phase},{slot}\n" for slot, (s, block, phase) in enumerate(exact_slots(blocks, given))), "mix-slots")
+    schedule = spark.read.schema("mix_key int, mix_block long, mix_phase int, mix_slot long").csv(planned)
 
     # a row's number in its source: rows of smaller buckets, and then its place in its own; no window holds a whole source
-    buckets = F.create_map(*[F.lit(x) for c in counts for x in (c.mix_source, max(1, c["count"] // bucket_rows))])
     shuffled = F.xxhash64(*[F.col(f"`{n}`") for n, kind in kept.dtypes if not kind.startswith(("map", "variant"))])
-    marked = kept.select("*", key.alias("mix_source"), shuffled.alias("mix_hash")).withColumn("mix_bucket", F.pmod("mix_hash", F.element_at(buckets, F.col("mix_source"))))
-    sizes = marked.groupBy("mix_source", "mix_bucket").count()
-    before = sizes.select("mix_source", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
-    number = F.row_number().over(Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", *[n for n in ("doc_id",) if n in names])) - 1
-    placed = marked.withColumn("mix_number", number).join(stage(before, "mix-buckets"), ["mix_source", "mix_bucket"])
+    marked = kept.select("*", key.alias("mix_source"), shuffled.alias("mix_hash")).join(F.broadcast(sources), "mix_source").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
+    sizes = marked.groupBy("mix_key", "mix_bucket").count()
+    before = sizes.select("mix_key", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_key").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
+    number = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", *[n for n in ("doc_id",) if n in names])) - 1
+    placed = marked.withColumn("mix_number", number).join(stage(before, "mix-buckets"), ["mix_key", "mix_bucket"])
     placed = placed.withColumn("mix_number", F.col("mix_number") + F.col("mix_before")).withColumn("mix_block", F.floor(F.col("mix_number") / block_rows).cast("long"))
-
-    table = [(counts[s].mix_source, p, n, first, shares[s], len(order), [t for t, x in enumerate(order) if x == s]) for p, (first, _, begin, shares, order) in enumerate(phases) for s, n in begin.items()]
-    ends = {(s, p): begin for p, (_, _, begin, _, _) in enumerate(phases) for s in begin}
-    last = [ends.get((s, p + 1), {}).get(s, blocks[s]) for p, (_, _, begin, _, _) in enumerate(phases) for s in begin]
-    kind = "array<struct<mix_source:string,mix_phase:int,from_block:bigint,first:bigint,share:bigint,round:bigint,at:array<int>,to_block:bigint>>"
-    names_of = ("mix_source", "mix_phase", "from_block", "first", "share", "round", "at", "to_block")
-    planned = json.dumps([dict(zip(names_of, (*row, end), strict=True)) for row, end in zip(table, last, strict=True)])
-    rounds = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(planned), kind)))
-    within = F.col("mix_block") - F.col("from_block")
-    found = placed.join(F.broadcast(rounds), (placed.mix_source == rounds.mix_source) & (F.col("mix_block") >= F.col("from_block")) & (F.col("mix_block") < F.col("to_block"))).drop(rounds.mix_source)
-    slot = F.col("first") + F.floor(within / F.col("share")) * F.col("round") + F.element_at("at", (within % F.col("share") + 1).cast("int"))
-    return found.select(*[F.col(f"`{n}`") for n in names], "mix_source", "mix_phase", slot.cast("long").alias("mix_slot"), (F.col("mix_number") % block_rows).cast("int").alias("mix_row"))
+    found = placed.join(schedule, ["mix_key", "mix_block"])
+    return found.select(*[F.col(f"`{n}`") for n in names], "mix_source", "mix_phase", "mix_slot", (F.col("mix_number") % block_rows).cast("int").alias("mix_row"))

@@ -27,12 +27,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}-{name}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}-{name}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
