@@ -127,21 +127,19 @@ def _written(spark: SparkSession, lines: Iterator[str], name: str) -> str:
     return path
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 16, slots: int = 1024, bucket_rows: int = 2048, most_sources: int = 256) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 16, slots: int = 1024, bucket_rows: int = 2048) -> DataFrame:
     """``docs`` with mix_source, mix_phase, mix_slot (the block's place) and mix_row (the row's place in its block).
 
     Every row stays, once. Rows of a source follow a hash order, in blocks of ``block_rows``; the last may be shorter. Throughout a phase every
     source keeps within one block of its exact weight; each later phase lacks the sources that are through.
     weights: by source; those not named, and those of no weight, get nothing until the others are through. Default: rows of the source to the ``power``.
-    slots has no effect any more: the schedule has no rounds. A null source is a source of its own, and null and repeated doc_ids are rows like any other. More than ``most_sources``
-    sources raise an error, as the schedule is planned on the driver. An empty table gives an empty result.
+    slots has no effect any more: the schedule has no rounds. A null source is a source of its own, and null and repeated doc_ids are
+    rows like any other. Any number of sources is scheduled; the driver holds a few numbers for each. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("mix_source", "mix_phase", "mix_slot", "mix_row")]
     kept = docs.select(*names)
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    counts = kept.groupBy(key.alias("mix_source")).count().orderBy("mix_source").limit(most_sources + 1).collect()
-    if len(counts) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
+    counts = kept.groupBy(key.alias("mix_source")).count().orderBy("mix_source").collect()
     if not counts:
         return kept.select("*", key.alias("mix_source"), *[F.lit(0).cast(k).alias(n) for n, k in (("mix_phase", "int"), ("mix_slot", "long"), ("mix_row", "int"))])
     wanted = None if weights is None else {"null" if k is None else f"={k}": v for k, v in weights.items()}

@@ -42,3 +42,10 @@ def test_unnamed_sources_come_last_in_the_table(spark):
     rows = mix_sources(frame(spark, [f"text {i}" for i in range(200)]), {"s0": 1.0, "s1": 3.0}, block_rows=2).collect()
     named = [r.mix_slot for r in rows if r.source in ("s0", "s1")]
     assert len(rows) == 200 and max(named) < min(r.mix_slot for r in rows if r.source not in ("s0", "s1"))
+
+
+def test_many_sources(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", f"host{i % 700}", 2) for i in range(3000)], SCHEMA)
+    rows = mix_sources(docs, block_rows=2).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000)) and len({r.mix_source for r in rows}) == 700
+    assert {r.mix_slot for r in rows} == set(range(len({(r.mix_source, r.mix_slot) for r in rows})))
