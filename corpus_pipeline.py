@@ -41,13 +41,14 @@ def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the Pfair schedule; packing follows that order from problem to problem."""
+    """All documents, written in the order of the Pfair schedule. Readers of files don't keep an order, so packing finds it again."""
     return mix_sources(docs).orderBy("mix_slot", "mix_row").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return pack_documents(docs)
+    """The pieces of all documents and their places in sequences. Pieces and, by their first piece, sequences are numbered in the
+    order of the Pfair schedule, which the rows alone decide."""
+    return pack_documents(mix_sources(docs), order=("mix_slot", "mix_row"))
 
 
 STAGES = [

@@ -165,7 +165,11 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b, n in zip(row["elite"], row["lengths"], strict=True):
                 offsets.append(at.get(b, 0))
                 at[b] = offsets[-1] + n
-            names = [-(row["problem"] << 24) - b - 1 for b in row["elite"]]
+            # a sequence is named after its first piece, so ids follow the order of the pieces, across problems too
+            first: dict[int, int] = {}
+            for b, item in zip(row["elite"], row["items"], strict=True):
+                first[b] = min(item, first.get(b, item))
+            names = [first[b] for b in row["elite"]]
             yield pa.RecordBatch.from_arrays([pa.array(row["items"], pa.int64()), pa.array(names, pa.int64()), pa.array(offsets, pa.int64())], names=["item", "sequence_id", "offset"])
 
 
@@ -195,14 +199,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, problem_rows: int = 6000, isla
     return alone.unionByName(problems.join(best, "problem").select("problem", "lengths", "items", "elite").mapInArrow(_place, "item long, sequence_id long, offset long"))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, order: tuple[str, ...] = (), **options) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then id 0, so a null or empty text is one piece of one id. Only documents longer than
-    ``capacity`` are cut, into pieces of that length and a shorter last one. Sequences are filled without gaps. Rows
+    ``capacity`` are cut, into pieces of that length and a shorter last one. Sequences are filled without gaps. Pieces
+    are numbered by the columns in ``order``, or else as the rows are read; a sequence's id is the number of its first piece. Rows
     without a doc_id take no part; repeated rows are packed as often. An empty table gives an empty result.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("body"))
+    docs = docs.where(F.col("doc_id").isNotNull())
+    # sorted and numbered in one job: written files would be read back in another order
+    rows = (docs.orderBy(*order) if order else docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("body"))
     cut = rows.mapInArrow(_cut(path or default_path(), capacity), _PIECES.split(", ", 1)[1])
     pieces = stage(cut.select(F.monotonically_increasing_id().alias("item"), "*"), "pieces")
     return pieces.join(pack(pieces, capacity, **options), "item").drop("item")
