@@ -4,8 +4,11 @@ Everything here is DataFrame expressions. Base matches come from fixed formats.
 further, overlapping spans. A gradient-boosted ensemble of small trees scores every candidate from features of its
 format and of the text around it. All features have few values, so the training set of any corpus collapses, by one
 grouped count over all its candidates, to at most ``2 ** 11`` cells; the trees are grown on those cells and then
-written as one SQL expression. Training labels are distant: a candidate is positive if the base rules accept exactly its span.
-Thresholds are calibrated on cells counted from the other half of the documents.
+written as one SQL expression. Training labels are distant: a candidate is positive if the base rules accept exactly its span, or if a
+cue of its own or of its context speaks for it (``weak``). Base matches are also planted as positives in the form that lacks what
+the base rules go by: phones without their plus, addresses with (at). Counts of a cell are damped for training, so that no kind of
+candidate is outvoted by another that is more frequent. Thresholds are calibrated on the true counts of cells, without planted
+ones, from the other half of the documents.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ _WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,10}(?![A-Za-z])",
     "ip": r"(?<![0-9.])[0-9]{1,3} ?[.:] ?[0-9]{1,3} ?[.:] ?[0-9]{1,3} ?[.:] ?[0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}[ .-]?[0-9]{4,6}[ .-]?[0-9]{4,5}[ .-]?[0-9]{0,4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?=[0-9+(])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
 }
 _CUES = {
     "email": "mail|contact|write to|correo|adresse|courriel",
@@ -207,6 +210,43 @@ class BoostedTrees:
         return " + ".join([f"{float(self.start)!r}D", *map(branch, self.trees)])
 
 
+def _bit(name: str) -> int:
+    return 1 << FEATURES.index(name)
+
+
+def weak(cell: int) -> bool:
+    """Whether a candidate that isn't a base match counts as positive: whole, of a fitting length, and with a cue."""
+    kind, has = KINDS[cell >> len(FEATURES)], lambda name: bool(cell & _bit(name))
+    if not has("length_fits") or has("glued_before") or has("glued_after"):
+        return False
+    if kind == "email":  # (at) is a cue of its own
+        return has("cue") or (has("brackets") and not has("checks"))
+    return kind in ("card", "phone") and has("cue") and has("checks")
+
+
+def planted(cell: int) -> int:
+    """The cell of a base match once its plus is left out or its @ is written (at); the cell itself for other kinds."""
+    kind = KINDS[cell >> len(FEATURES)]
+    if kind == "phone":
+        return cell & ~_bit("plus")
+    return cell & ~_bit("checks") | _bit("brackets") | _bit("separators") | _bit("mixed_separators") if kind == "email" else cell
+
+
+def labelled(counts: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """(cell, base, other) counts as cell -> (positive, negative)."""
+    return {c: (p + n, 0) if weak(c) else (p, n) for c, p, n in counts}
+
+
+def training(counts: list[tuple[int, int, int]], most: int = 200) -> dict[int, tuple[float, float]]:
+    """Labelled counts with the planted ones, each cell scaled to at most ``most`` candidates."""
+    cells: dict[int, tuple[float, float]] = dict(labelled(counts))
+    for c, base, _ in counts:
+        if base and (to := planted(c)) != c:
+            p, n = cells.get(to, (0, 0))
+            cells[to] = (p + base, n)
+    return {c: (p * min(1, most / (p + n)), n * min(1, most / (p + n))) for c, (p, n) in cells.items()}
+
+
 def threshold(scored: list[tuple[float, int, int]], precision: float) -> float:
     """The lowest score from which on, over (score, positive, negative) counts, at least ``precision`` are positive."""
     best, pos, neg = math.inf, 0, 0
@@ -228,11 +268,13 @@ def personal_data(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     found = stage(marked(docs), "candidates")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     counts = found.select(half.alias("half"), F.explode("candidates").alias("c")).groupBy("half", "c.cell").agg(F.count_if("c.is_base").alias("p"), F.count_if(~F.col("c.is_base")).alias("n")).collect()  # at most 2 * 2 ** 11 rows
-    fit = {c.cell: (c.p, c.n) for c in counts if c.half == 0}
+    by_half = [[(c.cell, c.p, c.n) for c in counts if c.half == h] for h in (0, 1)]
+    fit, held = training(by_half[0]), labelled(by_half[1])
     trees = BoostedTrees().fit(fit) if fit else None
     chosen = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
     if trees:
-        least = [threshold([(trees.score(c.cell), c.p, c.n) for c in counts if c.half == 1 and c.cell >> len(FEATURES) == k], precision) for k in range(len(KINDS))]
+        # a little lower, as SQL adds up the trees in another order
+        least = [threshold([(trees.score(c), p, n) for c, (p, n) in held.items() if c >> len(FEATURES) == k], precision) - 1e-9 for k in range(len(KINDS))]
         score = f"{trees.sql('c.cell')} >= element_at(array({', '.join(f'{x!r}D' if math.isfinite(x) else 'double(\"Infinity\")' for x in least)}), c.k + 1)"
         free = "NOT exists(base, b -> b.s < c.e AND c.s < b.e)"
         chosen = F.expr(f"transform(filter(candidates, c -> NOT c.is_base AND {free} AND {score}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))")
