@@ -57,15 +57,25 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_text_model(labelled: DataFrame, train_rows: int = 6000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by cell. A hash of doc_id picks about ``train_rows`` of all labelled rows."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.select("lang").count()
-    if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
-    counted = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, counts binary")
-    found = counted.repartition("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").limit(most_languages + 1).collect()
-    if len(found) > most_languages:
+    """Languages and their log probabilities by cell. A hash of doc_id picks about ``train_rows`` of all labelled rows, shared out evenly.
+
+    Every language has an equal share of the sample, or all its rows if they are fewer; what these leave goes to the others.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
+    if sum(sizes.values()) > train_rows:
+        left, rates = train_rows, {}
+        for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+            take = min(n, max(1, left // (len(sizes) - i)))
+            left -= take
+            # below 64 rows all are taken, so chance leaves no language out
+            rates[lang] = 1 << 20 if n <= 64 else min(1 << 20, -(-(1 << 20) * max(take, 64) // n))
+        rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < rate)
+    counted = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, counts binary")
+    found = counted.repartition("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").collect()
     counts = np.array([np.frombuffer(f.counts, np.int64) for f in found], np.float64).reshape(-1, _CELLS)
     return [f.lang for f in found], np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * _CELLS))
 
