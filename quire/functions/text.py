@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.numbers import half_up
 
-WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The intersection rules letters out by one comparison, where the list alone takes ten for each letter.
+WS = r"[\x{0}-\x20\x7F-\x{10FFFF}&&[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
+_WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Word boundaries over ASCII letters, digits and underscore only, which Java's \b is not.
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -40,7 +43,7 @@ def text(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -49,14 +52,15 @@ def collapse(c: Column) -> Column:
 
 def strip_boilerplate(c: Column) -> Column:
     """Drop a byte order mark, all up to a start marker and all from the first end marker after it."""
-    out = F.regexp_replace(text(c), r"^\x{FEFF}", "")
-    out = F.regexp_replace(out, f"(?is)^.*?{BOILERPLATE_START}", "")
-    return F.regexp_replace(out, f"(?is){BOILERPLATE_END}.*$", "")
+    whole = text(c)
+    plain = F.when(F.startswith(whole, F.lit("\ufeff")), F.substring(whole, 2, 0x7FFFFFFF)).otherwise(whole)
+    cut = lambda t: F.regexp_replace(F.regexp_replace(t, f"(?is)^.*?{BOILERPLATE_START}", ""), f"(?is){BOILERPLATE_END}.*$", "")
+    return F.when(F.contains(whole, F.lit("***")), cut(plain)).otherwise(plain)
 
 
 def normalize(c: Column) -> Column:
     """Boilerplate off, one kind of line end, no blanks before it, at most three line ends in a row, trimmed."""
-    out = F.regexp_replace(strip_boilerplate(c), "\r\n|\r", "\n")
+    out = F.replace(F.replace(strip_boilerplate(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return trim(F.regexp_replace(F.regexp_replace(out, "[ \t]+\n", "\n"), "\n{4,}", "\n\n\n"))
 
 
@@ -115,7 +119,7 @@ def review_key(c: Column) -> Column:
 
 def source_excerpt(c: Column, number: Column | int = 1, limit: int = 118) -> Column:
     """The first sentence."""
-    parts = F.filter(F.split(F.regexp_replace(text(c), f"{WS}+", " "), r"(?<=[.!?。！？]) +"), lambda x: x != "")
+    parts = F.filter(F.split(F.regexp_replace(text(c), f"{WS}+", " "), r"(?<=[.!?。！？]) +", 2), lambda x: x != "")
     quiet = F.concat(F.lit("A quiet story moment "), (number if isinstance(number, Column) else F.lit(number)).cast("string"), F.lit("."))
     return clip(F.coalesce(F.get(parts, 0), quiet), limit)
 
@@ -126,7 +130,12 @@ def source_passage(c: Column) -> Column:
 
 def reader_caption(c: Column, number: Column | int = 1) -> Column:
     """A short caption: the excerpt reworded, or its first fragment of 22 to 86 letters, or clipped."""
-    out = source_excerpt(c, number)
+    return caption_of(source_excerpt(c, number))
+
+
+def caption_of(excerpt: Column) -> Column:
+    """The short caption of a source excerpt."""
+    out = excerpt
     for old, new in CAPTION_REWRITES:
         out = F.regexp_replace(out, f"(?i){B0}{old}{B1}", new)
 
@@ -263,20 +272,28 @@ def paragraph_count(c: Column) -> Column:
 
 def quality(c: Column, expected: Column | None = None) -> Column:
     """struct of character ratios, flags and whether the text looks garbled."""
-    value = text(c)
-    solid = F.greatest(F.length(F.regexp_replace(value, f"{WS}+", "")), F.lit(1))
-    ratio = lambda p: half_up(F.regexp_count(value, F.lit(p)) / solid, 4)
-    tokens = F.regexp_extract_all(F.lower(value), F.lit("[a-z]{2,}"), F.lit(0))
-    known = F.array(*map(F.lit, COMMON_ENGLISH))
-    common = half_up(F.size(F.filter(tokens, lambda t: F.array_contains(known, t))) / F.greatest(F.size(tokens), F.lit(1)), 4)
-    cjk, latin = ratio(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"), ratio("[A-Za-z]")
-    broken, slashes = ratio(r"\x{FFFD}"), ratio(r"[\\|]")
+    # what is left without some letters is cheaper to tell than how many of them there are
+    without = lambda t, letters: F.length(F.translate(t, letters, ""))
+    beyond = let(F.regexp_replace(text(c), r"[\x{0}-\x{02FF}]+", ""), lambda t: F.length(t) - F.length(F.regexp_replace(t, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+", "")))
+    words = "|".join(w for w in COMMON_ENGLISH if len(w) > 1)
+    value, low = text(c), F.lower(text(c))
+    counted = F.struct(
+        F.length(value).alias("n"), F.greatest(without(value, _WS_CHARS), F.lit(1)).alias("solid"), beyond.alias("cjk"), (F.length(value) - without(value, _LETTERS)).alias("latin"), (F.length(value) - without(value, "\ufffd")).alias("broken"),
+        (F.length(value) - without(value, "\\|")).alias("slashes"), F.regexp_count(low, F.lit("[a-z]{2,}")).alias("words"), F.regexp_count(low, F.lit(f"(?<![a-z])(?:{words})(?![a-z])")).alias("common"),
+    )
     wants = expects_cjk(expected) if expected is not None else F.lit(False)
+    return let(counted, lambda k: _quality(k, wants))
+
+
+def _quality(k: Column, wants: Column) -> Column:
+    ratio = lambda n: half_up(k[n] / k["solid"], 4)
+    cjk, latin, broken, slashes = map(ratio, ("cjk", "latin", "broken", "slashes"))
+    common = half_up(k["common"] / F.greatest(k["words"], F.lit(1)), 4)
     flags = F.array_compact(
         F.array(
             F.when(broken > 0.01, "many_replacement_chars"),
             F.when(slashes > 0.02, "many_pdf_escape_chars"),
-            F.when(wants & (F.length(value) > 500) & (cjk < 0.02) & (latin > 0.35) & (common < 0.12), "cjk_expected_but_native_text_looks_latin_garbled"),
+            F.when(wants & (k["n"] > 500) & (cjk < 0.02) & (latin > 0.35) & (common < 0.12), "cjk_expected_but_native_text_looks_latin_garbled"),
         )
     )
-    return F.struct(F.length(value).cast("long").alias("char_count"), cjk.alias("cjk_ratio"), latin.alias("latin_ratio"), broken.alias("replacement_ratio"), slashes.alias("slash_ratio"), common.alias("common_word_ratio"), wants.alias("expected_cjk"), (F.size(flags) > 0).alias("garbled_likely"), flags.alias("flags"))
+    return F.struct(k["n"].cast("long").alias("char_count"), cjk.alias("cjk_ratio"), latin.alias("latin_ratio"), broken.alias("replacement_ratio"), slashes.alias("slash_ratio"), common.alias("common_word_ratio"), wants.alias("expected_cjk"), (F.size(flags) > 0).alias("garbled_likely"), flags.alias("flags"))

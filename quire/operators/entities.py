@@ -190,9 +190,11 @@ def review_summary(docs: DataFrame, reviewed: DataFrame, most: int = 10, disable
 def references(pages: DataFrame, people: DataFrame, text: str = "source_passage") -> DataFrame:
     """doc_id, spread_id and the ids of the document's characters that the page names, by rank.
 
-    An equi-join on the document with the pattern as a further condition: never all pages against all characters.
+    An equi-join on the document with the pattern as a further condition: never all pages against all characters. A plain search
+    comes before the pattern, which would be compiled anew for each row.
     """
+    folded = lambda c: F.upper(F.lower(c))  # letters that the pattern takes for one another are the same in this form
     mine = people.select("doc_id", "rank", "id", F.explode(F.array_distinct(F.array_append("aliases", F.col("name")))).alias("alias"))
-    hits = pages.select("doc_id", "spread_id", T.text(F.col(text)).alias("t")).join(mine, "doc_id").where(F.rlike(F.col("t"), name_pattern(F.col("alias"))))
+    hits = pages.select("doc_id", "spread_id", T.text(F.col(text)).alias("t")).join(mine, "doc_id").where(F.contains(folded(F.col("t")), folded(F.col("alias"))) & F.rlike(F.col("t"), name_pattern(F.col("alias"))))
     refs = hits.groupBy("doc_id", "spread_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("rank", "id"))), lambda x: x["id"]).alias("character_refs"))
     return pages.select("doc_id", "spread_id").join(refs, ["doc_id", "spread_id"], "left").withColumn("character_refs", F.coalesce("character_refs", F.expr("cast(array() as array<string>)")))

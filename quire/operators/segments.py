@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.rows import once
 
 # What a heading, a contents line and a new beat look like.
 _NUMERALS = "一二三四五六七八九十百千万零〇○两俩壹贰叁肆伍陆柒捌玖拾佰仟0-9"
@@ -111,28 +112,44 @@ def headings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.text(F.col("text")).alias("text")).mapInArrow(_find, f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ', 1)}, text string, headings {_HEADINGS}")
 
 
-def pack(parts: Column, budget: int) -> Column:
-    """Join parts by blank lines; a chunk closes before the part that would take it over the budget."""
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+_NO_PLACES = "cast(array() as array<int>)"
+
+
+def _joined(parts: Column, starts: Column, mark: str) -> Column:
+    """Parts joined into groups that start at these places (from 0)."""
+    end = lambda x, i: F.coalesce(F.get(x["starts"], i + 1), F.size(x["parts"]))
+    return T.let(F.struct(parts.alias("parts"), starts.alias("starts")), lambda x: F.transform(x["starts"], lambda at, i: F.array_join(F.slice(x["parts"], at + 1, end(x, i) - at), mark)))
+
+
+def _starts(items: Column, closes) -> Column:
+    """Where groups start: a fold over (n: letters, i: place, and what ``closes`` looks at) that carries places and sums, no texts.
+
+    closes(state, item): whether a group ends before the item. state: starts, n (letters of the open group).
+    """
+    start = F.struct(F.expr(_NO_PLACES).alias("starts"), F.lit(0).alias("n"))
 
     def step(a: Column, p: Column) -> Column:
-        close = a["now"].isNotNull() & (a["n"] + F.length(p) > budget)
-        return F.struct(F.when(close, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"), F.when(close | a["now"].isNull(), p).otherwise(F.concat(a["now"], F.lit("\n\n"), p)).alias("now"), (F.when(close, 0).otherwise(a["n"]) + F.length(p)).alias("n"))
+        again = F.struct(a["starts"].alias("starts"), (a["n"] + p["n"]).alias("n"))
+        return F.when((p["i"] == 0) | closes(a, p), F.struct(F.array_append(a["starts"], p["i"]).alias("starts"), p["n"].alias("n"))).otherwise(again)
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["now"])))
+    return F.aggregate(items, start, step, lambda a: a["starts"])
+
+
+def pack(parts: Column, budget: int) -> Column:
+    """Join parts by blank lines; a chunk closes before the part that would take it over the budget."""
+    items = lambda x: F.transform(x, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i")))
+    return T.let(parts, lambda x: _joined(x, _starts(items(x), lambda a, p: a["n"] + p["n"] > budget), "\n\n"))
 
 
 def beats(text: Column, budget: int) -> Column:
     """Paragraphs joined into beats at cue words or once a beat is over the budget; empty with under six paragraphs or two beats."""
-    parts = T.paragraphs(text)
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+    items = lambda x: F.transform(x, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.rlike(f"(?i)^(?:{BEAT_CUES})").alias("cue")))
+    none = F.expr("cast(array() as array<string>)")
 
-    def step(a: Column, p: Column) -> Column:
-        close = a["now"].isNotNull() & (p.rlike(f"(?i)^(?:{BEAT_CUES})") | (a["n"] > budget))
-        return F.struct(F.when(close, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"), F.when(close | a["now"].isNull(), p).otherwise(F.concat(a["now"], F.lit("\n\n"), p)).alias("now"), (F.when(close, 0).otherwise(a["n"]) + F.length(p)).alias("n"))
+    def found(x: Column) -> Column:
+        return T.let(F.struct(x.alias("parts"), _starts(items(x), lambda a, p: p["cue"] | (a["n"] > budget)).alias("starts")), lambda y: F.when(F.size(y["starts"]) >= 2, _joined(y["parts"], y["starts"], "\n\n")).otherwise(none))
 
-    found = F.aggregate(parts, start, step, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["now"])))
-    return F.when((F.size(parts) >= 6) & (F.size(found) >= 2), found).otherwise(F.expr("cast(array() as array<string>)"))
+    return T.let(T.paragraphs(text), lambda x: F.when(F.size(x) >= 6, found(x)).otherwise(none))
 
 
 def first_line_number(text: Column, body: Column) -> Column:
@@ -223,24 +240,14 @@ def slices(text: Column, size: Column) -> Column:
 def split_long(paragraph: Column, target: Column) -> Column:
     """A paragraph over 1.15 targets in chunks of whole sentences; a sentence over 1.25 targets in slices."""
     found = F.filter(F.transform(F.split(paragraph, "(?<=[.!?。！？][”’\"']?)\\s+"), T.trim), lambda s: s != "")
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("now"), F.lit(0).alias("n"))
-
-    def closed(out: Column, now: Column) -> Column:
-        return F.when(now != "", F.array_append(out, now)).otherwise(out)
-
-    def step(a: Column, s: Column) -> Column:
-        size = F.length(s)
-        long = size > target * 1.25
-        full = (a["now"] != "") & (a["n"] + size > target)
-        out = F.when(full | long, closed(a["out"], a["now"])).otherwise(a["out"])
-        kept = F.when(full, F.lit("")).otherwise(a["now"])
-        return F.struct(
-            F.when(long, F.concat(out, slices(s, target))).otherwise(out).alias("out"),
-            F.when(long, F.lit("")).when(kept == "", s).otherwise(F.concat(kept, F.lit(" "), s)).alias("now"),
-            F.when(long, 0).otherwise(F.when(full, 0).otherwise(a["n"]) + size).alias("n"),
-        )
-
-    chunks = T.let(found, lambda sentences: F.when(F.size(sentences) <= 1, slices(paragraph, target)).otherwise(F.aggregate(sentences, start, step, lambda a: closed(a["out"], a["now"]))))
+    long = lambda n: n > target * 1.25
+
+    def cut(x: Column) -> Column:
+        items = F.transform(x, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), ((i > 0) & long(F.length(F.get(x, i - 1)))).alias("after_long")))
+        starts = _starts(items, lambda a, s: s["after_long"] | long(s["n"]) | (a["n"] + s["n"] > target))
+        return F.flatten(F.transform(_joined(x, starts, " "), lambda c: F.when(long(F.length(c)), slices(c, target)).otherwise(F.array(c))))
+
+    chunks = T.let(found, lambda sentences: F.when(F.size(sentences) <= 1, slices(paragraph, target)).otherwise(cut(sentences)))
     return F.when(paragraph == "", F.expr("cast(array() as array<string>)")).when(F.length(paragraph) <= target * 1.15, F.array(paragraph)).otherwise(chunks)
 
 
@@ -260,44 +267,44 @@ def _target(parts: Column, count: Column) -> Column:
 
 def balance(parts: Column, count: Column) -> Column:
     """Up to ``count`` groups of neighbouring parts, each about as long as the others."""
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+    items = lambda x: F.transform(x, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i")))
 
     def groups(x: Column) -> Column:
-        def step(a: Column, p: Column) -> Column:
-            after = a["n"] + F.length(p)
-            over = a["now"].isNotNull() & (after > x["target"]) & (F.abs(x["target"] - a["n"]) <= F.abs(x["target"] - after))
-            needed_later = x["size"] - a["i"] <= x["count"] - F.size(a["out"]) - 1
-            close = over & ~needed_later & (F.size(a["out"]) < x["count"] - 1)
-            return F.struct(F.when(close, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"), F.when(close | a["now"].isNull(), p).otherwise(F.concat(a["now"], F.lit("\n\n"), p)).alias("now"), F.when(close, F.length(p)).otherwise(after).alias("n"), (a["i"] + 1).alias("i"))
+        def closes(a: Column, p: Column) -> Column:
+            after, done = a["n"] + p["n"], F.size(a["starts"]) - 1
+            needed_later = x["size"] - p["i"] <= x["count"] - done - 1
+            return (done < x["count"] - 1) & (after > x["target"]) & (F.abs(x["target"] - a["n"]) <= F.abs(x["target"] - after)) & ~needed_later
 
-        return F.aggregate(x["parts"], start, step, lambda a: F.when(a["now"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["now"])))
+        return _joined(x["parts"], _starts(x["items"], closes), "\n\n")
 
     # what a step needs of the whole is worked out once, not at each step
-    return T.let(F.struct(parts.alias("parts"), F.size(parts).alias("size"), _target(parts, count).alias("target"), count.alias("count")), groups)
+    return T.let(F.struct(parts.alias("parts"), F.size(parts).alias("size"), _target(parts, count).alias("target"), count.alias("count"), items(parts).alias("items")), groups)
 
 
-def segments_of(text: Column, count: Column) -> Column:
-    """A text in exactly ``count`` segments."""
+def segments_of(paragraphs: Column, count: Column) -> Column:
+    """A text's paragraphs in exactly ``count`` segments."""
     cut = lambda raw: T.let(F.struct(raw.alias("raw"), _target(raw, count).alias("target")), lambda x: F.flatten(F.transform(x["raw"], lambda p: split_long(p, x["target"]))))
     grouped = lambda parts: F.when(F.size(parts) <= count, parts).otherwise(balance(parts, count))
-    return pad(T.let(T.let(T.paragraphs(text), cut), grouped), count)
+    return pad(T.let(T.let(paragraphs, cut), grouped), count)
 
 
 def page_segments(rows: DataFrame, text: str = "text", count: str = "spread_count") -> DataFrame:
-    """``rows`` with ``segments``: the text in ``count`` balanced segments."""
-    return rows.withColumn("segments", segments_of(F.col(text), F.col(count).cast("int")))
+    """``rows`` with ``segments``: the text in ``count`` (one at least) balanced segments."""
+    cut = once(rows, parts=T.paragraphs(F.col(text)))
+    return cut.withColumn("segments", segments_of(F.col("parts"), F.col(count).cast("int"))).drop("parts")
 
 
 def spreads(chapters: DataFrame) -> DataFrame:
     """Pages of planned chapters (doc_id, chapter_idx, chapter_id, text, anchor_line, spread_count), numbered through each document."""
-    rows = page_segments(chapters).select("doc_id", "chapter_idx", "chapter_id", "anchor_line", F.size("segments").alias("n"), F.posexplode("segments").alias("spread_idx", "segment"))
+    rows = page_segments(chapters)
+    rows = rows.select("doc_id", "chapter_idx", "chapter_id", "anchor_line", F.col("spread_count").cast("int").alias("n"), F.posexplode_outer("segments").alias("spread_idx", "segment"))
     number = (F.col("spread_idx") + 1).cast("string")
     padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
     page = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_idx", "spread_idx"))
-    caption = T.reader_caption(F.col("segment"), F.col("spread_idx") + 1)
+    rows = once(rows, source_excerpt=T.source_excerpt(F.col("segment"), F.col("spread_idx") + 1))
     return rows.select(
         "doc_id", "chapter_idx", "spread_idx", F.concat("chapter_id", F.lit("-sp-"), padded).alias("spread_id"), "chapter_id", page.cast("int").alias("page_number"),
-        T.visual_intent(F.col("segment"), F.col("spread_idx"), F.col("n")).alias("visual_intent"), caption.alias("caption"), T.source_excerpt(F.col("segment"), F.col("spread_idx") + 1).alias("source_excerpt"),
+        T.visual_intent(F.col("segment"), F.col("spread_idx"), F.col("n")).alias("visual_intent"), T.caption_of(F.col("source_excerpt")).alias("caption"), "source_excerpt",
         T.source_passage(F.col("segment")).alias("source_passage"), F.concat(F.lit("text:line:"), F.col("anchor_line").cast("string"), F.lit(":spread:"), number).alias("source_anchor"),
         F.length("segment").cast("long").alias("char_count"), T.paragraph_count(F.col("segment")).alias("paragraph_count"),
         F.when(F.col("spread_idx") % 2 == 0, "full-bleed-caption-bottom").otherwise("image-left-caption-right").alias("layout"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import numbers as N
 from quire.functions import text as T
+from quire.functions.rows import once, spread
 from quire.operators import audit, entities, merge, runs, segments, work
 from quire.plans import pages as P
 from quire.sources import readers, sinks
@@ -33,7 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 # ---- SQL parts and fixtures ------------------------------------------------------------------------------------------
@@ -67,7 +69,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").withColumn("text", T.normalize(F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    return once(table(spark, d, "documents"), text=T.normalize(F.replace("text", F.lit("\n"), F.lit("\n\n"))))
 
 
 def chapters(spark: SparkSession, d: str) -> DataFrame:
@@ -76,10 +78,10 @@ def chapters(spark: SparkSession, d: str) -> DataFrame:
 
 def line_pages(spark: SparkSession, d: str) -> DataFrame:
     """Lines as pages with what reviews and summaries look at."""
-    rows = lines(spark, d)
+    rows = once(lines(spark, d), caption=T.clip(F.col("line"), 60), source_excerpt=T.clip(F.col("line"), 118))
     return rows.select(
         "doc_id", F.floor(F.col("pos") / 4).cast("int").alias("chapter_idx"), (F.col("pos") + 1).alias("page_number"), F.concat(F.lit("sp-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("spread_id"),
-        T.clip(F.col("line"), 60).alias("caption"), T.clip(F.col("line"), 118).alias("source_excerpt"), F.col("line").alias("source_passage"), F.length("line").cast("long").alias("char_count"),
+        "caption", "source_excerpt", F.col("line").alias("source_passage"), F.length("line").cast("long").alias("char_count"),
         F.when(F.col("pos") % 3 == 0, F.array(F.lit("a"))).otherwise(F.expr("cast(array() as array<string>)")).alias("character_refs"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("p"), F.col("pos").cast("string"))).alias("asset_path"),
         F.when(F.col("pos") % 4 == 0, "ready").when(F.col("pos") % 4 == 1, "needs_redraw").alias("image_status"), F.when(F.col("pos") % 8 == 0, "basic_passed").alias("qa_status"), F.when(F.col("pos") % 5 < 4, "local").otherwise("remote").alias("image_provider"),
     )
@@ -387,7 +389,7 @@ def spread_pad(spark, d):
 @query("balanced_pages")
 def balanced_pages(spark, d):
     planned = paragraphs(spark, d).withColumn("char_count", F.length("text")).withColumn("paragraph_count", T.paragraph_count(F.col("text")))
-    planned = P.plan_chapters(planned).select("doc_id", F.lit(0).alias("chapter_idx"), F.lit("ch-01").alias("chapter_id"), F.lit(1).alias("anchor_line"), "text", "spread_count")
+    planned = once(P.plan_chapters(planned), spread_count=F.col("spread_count")).select("doc_id", F.lit(0).alias("chapter_idx"), F.lit("ch-01").alias("chapter_id"), F.lit(1).alias("anchor_line"), "text", "spread_count")
     return segments.spreads(planned)
 
 
