@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import text_or_empty
+from quire.llm.staging import look_up, stage, text_or_empty
 
 _PARTIAL = "n_bytes long, text_sha256 string, body binary, low long, high long, copies long"
 _OWNERS = "n_bytes long, text_sha256 string, low long, high long, copies long"
@@ -154,6 +154,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", budget: int = 48 <
     rows = rows.withColumn("text_sha256", F.sha2("body", 256))
     partial = rows.mapInArrow(_combine(budget), _PARTIAL)
     owners = partial.repartition("n_bytes", "text_sha256").sortWithinPartitions("n_bytes", "text_sha256").mapInArrow(_own(budget), _OWNERS)
-    owners = owners.select("n_bytes", "text_sha256", F.col("low" if keep == "smallest" else "high").alias("keep_id"), F.col("copies").alias("group_size"))
+    owners = stage(owners.select("n_bytes", "text_sha256", F.col("low" if keep == "smallest" else "high").alias("keep_id"), F.col("copies").alias("group_size")), "owners")
+    total = owners.agg(F.sum("group_size")).first()[0] or 0
     members = rows.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "text_sha256")
-    return members.join(owners, ["n_bytes", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return look_up(members, owners, ["n_bytes", "text_sha256"], "group_size", total, ["doc_id"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")

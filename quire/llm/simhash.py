@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.staging import stage, text_or_empty
+from quire.llm.staging import look_up, stage, text_or_empty
 
 _STEP = 1 << 16
 
@@ -168,7 +168,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, words: int = 4, blocks:
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("body"))
     marked = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, print long"), "prints")
-    prints = stage(marked.groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
+    prints = stage(marked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     labels = connected_components(link_prints(prints, radius, blocks, shard_rows))
-    found = prints.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(found, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    found = prints.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"), "copies")
+    return look_up(marked, found, ["print"], "copies", marked.count(), ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

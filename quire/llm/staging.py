@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         where = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quire-"))
     return where.rstrip("/")
 
@@ -26,20 +29,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: an executor lost later costs no recomputation of what led to the table.
     The files go when the driver ends.
     """
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stage``, with the path, for tables that are dropped before the driver ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there goes when the driver ends."""
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}-{name}"
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,5 +62,22 @@ def text_or_empty(docs: DataFrame, column: str = "text"):
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, salt: list[str], most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table`` (a row for each of their keys); ``weight`` says how many rows have the key, ``total`` how many there are.
+
+    No task gets all rows of a frequent key. Fewer than ``most`` keys can each stand for more than one in ``most`` of all rows, so these few are broadcast,
+    and their rows are dealt out by ``salt`` in the join of the others.
+    """
+    limit = max(64, total // most)
+    values = [c for c in table.columns if c not in keys]
+    frequent = table.where(F.col(weight) > limit).select(*keys, F.struct(*values).alias("look_hot"))
+    marked = rows.join(F.broadcast(frequent), keys, "left")
+    marked = marked.withColumn("look_piece", F.when(F.col("look_hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*salt), F.lit(4096)) + 1))
+    # 0 for every row, in a form that isn't folded: a constant would no longer be a key of the join
+    others = table.where(F.col(weight) <= limit).select(*keys, F.struct(*values).alias("look_cold"), F.pmod(F.col(weight).cast("long"), F.lit(1)).alias("look_piece"))
+    found = marked.join(others, [*keys, "look_piece"], "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col(f"look_hot.{c}"), F.col(f"look_cold.{c}")).alias(c) for c in values])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
