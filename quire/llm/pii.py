@@ -45,18 +45,36 @@ _CUES = {
 FEATURES = ("plus", "checks", "length_fits", "cue", "glued_before", "glued_after", "brackets", "separators", "mixed_separators")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _spans(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<s, e, m>>: start and end in code points, and the text, of leftmost matches one after another."""
+    """array<struct<s, e, m>>: start and end in code points, and the text, of leftmost matches one after another.
+
+    Places are sums of what came before. They are added up in blocks of about the root of the number of matches, as an array grows by copying it.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.transform(gaps, F.length), 1, F.size(found)).alias("g"), found.alias("m"))
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    walk = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(guard, walk).otherwise(none)
+    length = lambda x: x["g"] + F.length(x["m"])
+
+    def walk(block: Column, first: Column) -> Column:
+        span = lambda at, x: F.struct((at + x["g"]).alias("s"), (at + length(x)).alias("e"), x["m"].alias("m"))
+        step = lambda a, x: F.struct((a["at"] + length(x)).alias("at"), F.array_append(a["out"], span(a["at"], x)).alias("out"))
+        return F.aggregate(block, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def blocks(p: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(p))).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.size(p), size), lambda i: F.slice(p, i, size))
+
+    def firsts(b: Column) -> Column:
+        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + length(y)))
+        return F.aggregate(totals, F.array(F.lit(0)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+
+    joined = lambda b: _let(firsts(b), lambda at: F.flatten(F.transform(b, lambda x, i: walk(x, F.get(at, i)))))
+    return F.when(guard, _let(pairs, lambda p: F.when(F.size(p) > 0, _let(blocks(p), joined)).otherwise(none))).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -132,6 +150,7 @@ def marked(docs: DataFrame) -> DataFrame:
     plain = lambda k: F.transform(F.col(f"base_{k}"), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), x["e"].alias("e")))
     return rows.select(
         "doc_id",
+        F.sha2(text.cast("binary"), 256).alias("text_sha256"),
         *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.array_sort(F.concat(*map(plain, KINDS))).alias("base"),
         F.concat(*[_candidates(k, text, wide[k], F.col(f"base_{k}")) for k in KINDS]).alias("candidates"),
@@ -258,7 +277,7 @@ def threshold(scored: list[tuple[float, int, int]], precision: float) -> float:
 
 
 def personal_data(docs: DataFrame, precision: float = 0.98) -> DataFrame:
-    """One row for each document: doc_id, n_email, n_ip, n_card, n_phone, base, spans.
+    """One row for each document: doc_id, n_email, n_ip, n_card, n_phone, base, spans, text_sha256.
 
     ``base`` and ``spans`` are arrays of (s, k, e): start, index of the kind in KINDS, end; code points of the whole text,
     end exclusive. ``spans`` has every base span and, of the candidates that the trees score at or above the kind's
@@ -278,7 +297,7 @@ def personal_data(docs: DataFrame, precision: float = 0.98) -> DataFrame:
         score = f"{trees.sql('c.cell')} >= element_at(array({', '.join(f'{x!r}D' if math.isfinite(x) else 'double(\"Infinity\")' for x in least)}), c.k + 1)"
         free = "NOT exists(base, b -> b.s < c.e AND c.s < b.e)"
         chosen = F.expr(f"transform(filter(candidates, c -> NOT c.is_base AND {free} AND {score}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))")
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.array_sort(F.array_distinct(F.concat("base", chosen))).alias("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.array_sort(F.array_distinct(F.concat("base", chosen))).alias("spans"), "text_sha256")
 
 
 def joined(spans: Column) -> Column:
@@ -288,8 +307,13 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and text with every span replaced by its kind in brackets; where spans overlap, the first to start is replaced."""
-    pairs = docs.join(found.select("doc_id", "spans"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    """doc_id and text with every span replaced by its kind in brackets; where spans overlap, the first to start is replaced.
+
+    found: what ``personal_data`` says of the same documents. Each row of ``docs`` with a doc_id comes back once, with the spans of its own text, however
+    often the doc_id is there. Other columns of ``docs`` are not read.
+    """
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    pairs = texts.join(found.select("doc_id", "text_sha256", "spans").dropDuplicates(["doc_id", "text_sha256"]), ["doc_id", "text_sha256"])
     names = ", ".join(f"'[{k}]'" for k in KINDS)
     walk = F.expr(
         f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> IF(x.s < a.at, a, named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), element_at(array({names}), x.k + 1)))), "
