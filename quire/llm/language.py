@@ -1,6 +1,7 @@
 """Language of web pages by Bayesian fusion of four kinds of evidence.
 
-Text: naive Bayes over byte trigrams, learnt from labelled documents. Declared markup language and address suffix: their
+Text: naive Bayes over byte trigrams, learnt from labelled documents; how much a trigram counts is calibrated, by length of text, on documents
+held out from that, so that short texts leave room for the other evidence. Declared markup language and address suffix: their
 likelihoods given the language, from soft counts over all pages. Host: a prior, smoothed towards its domain's and that
 towards the whole crawl's. The soft counts are grouped sums of text posteriors; a page's own share is taken out
 before they are used on it, so no page speaks for itself twice.
@@ -16,17 +17,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import stage, text_or_empty
+from quire.llm.staging import look_up, stage, text_or_empty
 
 _CELLS = 1 << 16
-_ASIDE = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav|footer|aside|noscript)\b[^>]*>.*?</\1\s*>")
-_TAG = re.compile(rb"(?s)<[^>]*>|&[#A-Za-z0-9]{1,10};")
+_ASIDE = re.compile(rb"(?i)<!--|<(script|style|nav|footer|aside|noscript)\b|</(script|style|nav|footer|aside|noscript)\s*>")
+_TAG = re.compile(rb"<[^>]*>|&[#A-Za-z0-9]{1,10};")
+_ENTITY = re.compile(rb"&[#A-Za-z0-9]{1,10};")
 _SPACE = re.compile(rb"[\s0-9!-/:-@\[-`{-~]+")
 
 
+def _asides(html: bytes) -> Iterator[tuple[int, int]]:
+    """Places of comments, and of scripts, navigation and the like from their start to their end; what is never closed is none. One pass."""
+    marks = list(_ASIDE.finditer(html))
+    last_close = {m.group(2).lower(): m.start() for m in marks if m.group(2)}
+    at, opened = 0, None  # opened: name and start of what is being left out
+    last_comment, last_mark = html.rfind(b"-->"), html.rfind(b">")
+    for m in marks:
+        if opened:
+            if m.group(2) and m.group(2).lower() == opened[0] and m.start() >= at:
+                yield opened[1], m.end()
+                at, opened = m.end(), None
+        elif m.start() < at:
+            continue
+        elif m.group(1):
+            name = m.group(1).lower()
+            inside = html.find(b">", m.end()) + 1 if m.end() <= last_mark else 0
+            if inside and last_close.get(name, -1) >= inside:
+                at, opened = inside, (name, m.start())
+        elif not m.group(2) and m.end() <= last_comment:
+            at = html.index(b"-->", m.end()) + 3
+            yield m.start(), at
+
+
 def visible(html: bytes) -> bytes:
-    """Text of a page without markup, scripts, navigation and footers."""
-    return _TAG.sub(b" ", _ASIDE.sub(b" ", html))
+    """Text of a page without markup, scripts, navigation and footers, in time linear in its length."""
+    parts, at = [], 0
+    for start, end in _asides(html):
+        parts.append(html[at:start])
+        at = end
+    text = b" ".join([*parts, html[at:]])
+    # beyond the last > no tag can end, and looking for its end at each < would take the square of the length
+    tags = text.rfind(b">") + 1
+    return _TAG.sub(b" ", text[:tags]) + _ENTITY.sub(b" ", text[tags:])
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -56,11 +88,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["lang", "counts"])
 
 
-def train_text_model(labelled: DataFrame, train_rows: int = 6000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by cell. A hash of doc_id picks about ``train_rows`` of all labelled rows, shared out evenly.
-
-    Every language has an equal share of the sample, or all its rows if they are fewer; what these leave goes to the others.
-    """
+def _sample(labelled: DataFrame, train_rows: int, most_languages: int) -> DataFrame:
+    """lang, text and held: about ``train_rows`` labelled rows, picked by a hash; one in five is held out where a language has more than 64."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()}
     if len(sizes) > most_languages:
@@ -74,19 +103,82 @@ def train_text_model(labelled: DataFrame, train_rows: int = 6000, most_languages
             rates[lang] = 1 << 20 if n <= 64 else min(1 << 20, -(-(1 << 20) * max(take, 64) // n))
         rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < rate)
-    counted = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, counts binary")
-    found = counted.repartition("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").collect()
+    many = [lang for lang, n in sizes.items() if n > 64]
+    held = F.col("lang").isin(*many) & (F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(5)) == 0) if many else F.lit(False)
+    return rows.select("lang", F.col("text").cast("binary").alias("text"), held.alias("held"))
+
+
+def train_text_model(labelled: DataFrame, train_rows: int = 6000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities by cell. A hash of doc_id picks about ``train_rows`` of all labelled rows, shared out evenly.
+
+    Every language has an equal share of the sample, or all its rows if they are fewer; what these leave goes to the others. Rows held out for
+    calibration aren't counted.
+    """
+    rows = _sample(labelled, train_rows, most_languages).where("NOT held").select("lang", "text")
+    found = rows.mapInArrow(_count, "lang string, counts binary").repartition("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").collect()
     counts = np.array([np.frombuffer(f.counts, np.int64) for f in found], np.float64).reshape(-1, _CELLS)
     return [f.lang for f in found], np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * _CELLS))
 
 
-def _posteriors(logs: np.ndarray, temper: float):
+#: Lengths of windows, in trigrams, by which the text's evidence is calibrated, and the weights that are tried.
+_LENGTHS = [1 << i for i in range(2, 13)]
+_TEMPERS = np.geomspace(0.02, 1.0, 24)
+
+
+def _log_likelihood(logs: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    if len(cells) > _CELLS // 4:
+        return logs @ np.bincount(cells, minlength=_CELLS)
+    return logs[:, cells].sum(1)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+def _losses(names: list[str], logs: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(_LENGTHS), len(_TEMPERS))), np.zeros(len(_LENGTHS), np.int64)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                cells = trigrams(text.as_py())
+                for i, length in enumerate(_LENGTHS):
+                    # up to four windows, evenly over the whole text
+                    for at in sorted({(len(cells) - length) * j // 3 for j in range(4)}) if len(cells) >= length else []:
+                        s = _log_likelihood(logs, cells[at : at + length])
+                        total[i] += _log_sum(s[:, None] * _TEMPERS) - s[names.index(lang)] * _TEMPERS
+                        n[i] += 1
+        rows = [(i, t, total[i, t], n[i]) for i in range(len(_LENGTHS)) for t in range(len(_TEMPERS)) if n[i]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["length", "temper", "loss", "n"])
+
+    return run
+
+
+def calibrate(labelled: DataFrame, names: list[str], logs: np.ndarray, temper: float, train_rows: int = 6000, most_languages: int = 64) -> np.ndarray:
+    """The weight of a trigram's log likelihood by length of text: of ``_TEMPERS`` the one with the least loss on windows of held-out documents.
+
+    Longer texts never get a larger weight than shorter ones. Lengths of which there are no windows take the next shorter one's weight, or ``temper``.
+    """
+    held = _sample(labelled, train_rows, most_languages).where(F.col("held") & F.col("lang").isin(*names)).select("lang", "text")
+    losses = held.mapInArrow(_losses(names, logs), "length int, temper int, loss double, n long").groupBy("length", "temper").agg(F.sum("loss").alias("loss")).collect()  # a row for each length and weight
+    out, last = np.zeros(len(_LENGTHS)), None
+    for i in range(len(_LENGTHS)):
+        tried = [(x.loss, x.temper) for x in losses if x.length == i]
+        if tried:
+            found = float(_TEMPERS[min(tried)[1]])
+            last = found if last is None else min(last, found)
+        out[i] = temper if last is None else last
+    return out
+
+
+def _posteriors(logs: np.ndarray, tempers: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((len(batch), len(logs)))
             for i, html in enumerate(batch.column(4)):
-                cells = np.bincount(trigrams(visible(html.as_py())), minlength=_CELLS)
-                out[i] = logs @ cells * temper
+                cells = trigrams(visible(html.as_py()))
+                out[i] = _log_likelihood(logs, cells) * tempers[max(0, int(np.searchsorted(_LENGTHS, len(cells), side="right")) - 1)]
             out = np.exp(out - out.max(1, keepdims=True, initial=-1e300))
             out = 0.999 * out / out.sum(1, keepdims=True) + 0.001 / len(logs)  # no page is certain by its text
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["page_id", "host", "declared", "html_bytes", *[f"p{k}" for k in range(len(logs))]])
@@ -99,14 +191,14 @@ def declared_language(html: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1), F.lit("")))
 
 
-def identify_languages(pages: DataFrame, labelled: DataFrame, train_rows: int = 6000, smooth: float = 8.0, temper: float = 0.3) -> DataFrame:
+def identify_languages(pages: DataFrame, labelled: DataFrame, train_rows: int = 6000, smooth: float = 8.0, temper: float = 0.3, evidence: tuple[str, ...] = ("declared", "suffix", "host")) -> DataFrame:
     """One row for each page: page_id, lang, confidence, text_lang, declared, host.
 
     labelled: doc_id, text, lang. Null or empty pages have no text evidence, a missing declaration or address is no evidence;
     with nothing at all a page gets its host's or the crawl's commonest language. Ties go to the language first by name. Rows without a
     page_id take no part; repeated rows are returned as often. Without labelled rows lang is the declared one, with confidence 0.
     An empty table gives an empty result. smooth: pages that a parent's distribution counts for. temper: weight of a trigram's
-    log likelihood, below 1 because trigrams overlap.
+    log likelihood where no labelled documents are held out to calibrate it; below 1, because trigrams overlap. evidence: what counts beside the text.
     """
     html = text_or_empty(pages, "html")
     host = F.lower(F.regexp_extract(F.coalesce(pages["url"].cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -116,27 +208,32 @@ def identify_languages(pages: DataFrame, labelled: DataFrame, train_rows: int =
         return rows.select("page_id", F.col("declared").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
     n = len(names)
     ps = [f"p{k}" for k in range(n)]
-    scored = stage(rows.mapInArrow(_posteriors(logs, temper), "page_id long, host string, declared string, html_bytes long, " + ", ".join(f"{p} double" for p in ps)), "posteriors")
+    tempers = calibrate(labelled, names, logs, temper, train_rows)
+    scored = stage(rows.mapInArrow(_posteriors(logs, tempers), "page_id long, host string, declared string, html_bytes long, " + ", ".join(f"{p} double" for p in ps)), "posteriors")
     scored = scored.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
 
     def sums(key: str) -> DataFrame:
-        return scored.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(p).alias(f"{key}_{p}") for p in ps])
+        return stage(scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{key}_n"), *[F.sum(p).alias(f"{key}_{p}") for p in ps]), f"by-{key}")
 
-    whole = scored.agg(*[F.sum(p).alias(p) for p in ps], F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
+    whole = scored.agg(F.count("*").alias("n"), *[F.sum(p).alias(p) for p in ps], F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
     mass = [float(whole[p] or 0.0) for p in ps]
     share = [(m + 1.0) / (sum(mass) + n) for m in mass]
     joined = scored
     for key in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(sums(key), key, "left")
+        joined = look_up(joined, sums(key), [key], f"{key}_n", whole.n, ["page_id"])
 
     def own(key: str, k: int) -> Column:
         return F.greatest(F.coalesce(F.col(f"{key}_p{k}"), F.lit(0.0)) - F.col(f"p{k}"), F.lit(0.0))
 
     def likelihood(key: str, k: int) -> Column:
+        if key not in evidence:
+            return F.lit(0.0)
         seen = (own(key, k) + 0.5) / (mass[k] + 0.5 * (whole[key] + 1))
         return F.when(F.col(key).isNull() | (F.col(key) == ""), F.lit(0.0)).otherwise(F.log(seen))
 
     def prior(k: int) -> Column:
+        if "host" not in evidence:
+            return F.lit(share[k])
         total = lambda key: sum((own(key, j) for j in range(n)), F.lit(0.0))
         domain = (own("domain", k) + smooth * share[k]) / (total("domain") + smooth)
         return (own("host", k) + smooth * domain) / (total("host") + smooth)

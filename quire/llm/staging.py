@@ -6,8 +6,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -72,7 +73,8 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tot
     values = [c for c in table.columns if c not in keys]
     frequent = table.where(F.col(weight) > limit).select(*keys, F.struct(*values).alias("look_hot"))
     marked = rows.join(F.broadcast(frequent), keys, "left")
-    marked = marked.withColumn("look_piece", F.when(F.col("look_hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*salt), F.lit(4096)) + 1))
+    missing = reduce(Column.__or__, (F.col(k).isNull() for k in keys))  # null keys find nothing, and are many
+    marked = marked.withColumn("look_piece", F.when(F.col("look_hot").isNull() & ~missing, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*salt), F.lit(4096)) + 1))
     # 0 for every row, in a form that isn't folded: a constant would no longer be a key of the join
     others = table.where(F.col(weight) <= limit).select(*keys, F.struct(*values).alias("look_cold"), F.pmod(F.col(weight).cast("long"), F.lit(1)).alias("look_piece"))
     found = marked.join(others, [*keys, "look_piece"], "left")
