@@ -3,7 +3,7 @@
 Document statistics are standardised and mapped to cosines at random frequencies, whose inner products approximate a
 Gaussian kernel. The normal equations of the ridge regression are sums over rows: each task sums its own, a second
 round of tasks sums those, and the driver solves one system whose size is fixed. Raw scores are then calibrated
-by isotonic regression over a fixed number of score bins. All labelled training rows are used.
+by isotonic regression over a fixed number of score bins, on a fold of the labelled rows that the regression hasn't seen. All labelled training rows are used.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
     """One row for each document: doc_id, held_out, score, predicted.
 
     Labels (doc_id, quality 0 or 1) are learnt only from rows with crc32(doc_id as text) mod 4 other than 2; the
-    rest is held out. Labels that are null or on unknown documents are left out; where a doc_id has several, each
+    rest is held out. Of those rows, the ones with remainder 3 calibrate what the others are fitted to; where either part has labels of one value only, all
+    serve for both. Labels that are null or on unknown documents are left out; where a doc_id has several, each
     counts. The score depends on the whole text only. Null texts count as empty and are scored like any other. Rows
     without a doc_id take no part; repeated rows are returned as often. Without labels, or with labels of one value, nothing can
     be told apart: every score is the mean label, or 1 without labels. An empty table gives an empty result.
@@ -129,15 +130,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
     measured = stage(rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{s} float" for s in STATS)), "statistics")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(fold != 2)
-    train = measured.join(marks, "doc_id").select("doc_id", "y", *STATS)
-    known = train.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(s).alias(f"mean_{s}") for s in STATS], *[F.stddev_pop(s).alias(f"dev_{s}") for s in STATS]).first()
+    train = stage(measured.join(marks, "doc_id").select("doc_id", "y", *STATS), "labelled")
     held = (fold == 2).alias("held_out")
-    if not known.n or known.y in (0.0, 1.0):
-        scored = measured.select("doc_id", held, F.lit(known.y if known.n else 1.0).cast("double").alias("score"))
+    folds = {r.own: r for r in train.groupBy((fold == 3).alias("own")).agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()}
+    n, good = sum(f.n for f in folds.values()), sum(f.good for f in folds.values())
+    if not n or good in (0.0, n):
+        scored = measured.select("doc_id", held, F.lit(good / n if n else 1.0).cast("double").alias("score"))
         return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    fit, own = train, train
+    if len(folds) == 2 and all(0 < f.good < f.n for f in folds.values()):
+        fit, own = train.where(fold != 3), train.where(fold == 3)
+    known = fit.agg(F.count("*").alias("n"), *[F.avg(s).alias(f"mean_{s}") for s in STATS], *[F.stddev_pop(s).alias(f"dev_{s}") for s in STATS]).first()
 
     fourier = FourierMap(np.array([known[f"mean_{s}"] for s in STATS]), np.array([known[f"dev_{s}"] for s in STATS]), features, width, seed)
-    sums = train.mapInArrow(_sums(fourier), "sums binary")
+    sums = fit.mapInArrow(_sums(fourier), "sums binary")
     several = max(1, math.isqrt(partitions(docs.sparkSession)))
     parts = sums.repartition(several).mapInArrow(_add, "sums binary").collect()  # a row for each of the few tasks
     size = features + 1
@@ -151,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["doc_id", "y", "raw"])
 
     place = F.greatest(F.lit(0), F.least(F.lit(_BINS), F.floor((F.col("raw") + 0.5) * (_BINS / 2)))).cast("int")
-    bins = train.mapInArrow(raw, "doc_id long, y double, raw double").groupBy(place.alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
+    bins = own.mapInArrow(raw, "doc_id long, y double, raw double").groupBy(place.alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     xs, fit = np.array([b.x for b in bins]), pool_adjacent(np.array([b.y for b in bins]), np.array([float(b.n) for b in bins]))
 
     def calibrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
