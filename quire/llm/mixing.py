@@ -15,7 +15,7 @@ import heapq
 import itertools
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,23 +127,26 @@ def _written(spark: SparkSession, lines: Iterator[str], name: str) -> str:
     return path
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 16, slots: int = 1024, bucket_rows: int = 2048) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | Callable[[str | None, int], float] | None = None, power: float = 0.5, block_rows: int = 16, slots: int = 1024, bucket_rows: int = 2048) -> DataFrame:
     """``docs`` with mix_source, mix_phase, mix_slot (the block's place) and mix_row (the row's place in its block).
 
     Every row stays, once. Rows of a source follow a hash order, in blocks of ``block_rows``; the last may be shorter. Throughout a phase every
     source keeps within one block of its exact weight; each later phase lacks the sources that are through.
-    weights: by source; those not named, and those of no weight, get nothing until the others are through. Default: rows of the source to the ``power``.
+    weights: by source, or a function of a source and its number of rows; those not named, and those of no weight, get nothing until the others are through. Default: rows of the source to the ``power``.
     slots has no effect any more: the schedule has no rounds. A null source is a source of its own, and null and repeated doc_ids are
-    rows like any other. Any number of sources is scheduled; the driver holds a few numbers for each. An empty table gives an empty result.
+    rows like any other. Columns of ``docs`` may have any names; those of the four new ones are replaced. Any number of sources is scheduled; the driver holds a few numbers for each. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("mix_source", "mix_phase", "mix_slot", "mix_row")]
-    kept = docs.select(*names)
+    kept = docs.select(*[F.col(f"`{n}`") for n in names])
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     counts = kept.groupBy(key.alias("mix_source")).count().orderBy("mix_source").collect()
     if not counts:
         return kept.select("*", key.alias("mix_source"), *[F.lit(0).cast(k).alias(n) for n, k in (("mix_phase", "int"), ("mix_slot", "long"), ("mix_row", "int"))])
-    wanted = None if weights is None else {"null" if k is None else f"={k}": v for k, v in weights.items()}
-    given = [float(c["count"]) ** power if wanted is None else max(float(wanted.get(c.mix_source, 0.0)), 0.0) for c in counts]
+    name = lambda key: None if key == "null" else key[1:]
+    if weights is None:
+        weights = lambda _, rows: float(rows) ** power
+    weigh = weights if callable(weights) else lambda source, _: weights.get(source, 0.0)
+    given = [max(float(weigh(name(c.mix_source), c["count"])), 0.0) for c in counts]
     blocks = [-(-c["count"] // block_rows) for c in counts]
     spark = docs.sparkSession
     named = _written(spark, (json.dumps({"mix_source": c.mix_source, "mix_key": s, "mix_buckets": max(1, c["count"] // bucket_rows)}) + "\n" for s, c in enumerate(counts)), "mix-sources")
@@ -153,11 +156,13 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5
 
     # a row's number in its source: rows of smaller buckets, and then its place in its own; no window holds a whole source
     shuffled = F.xxhash64(*[F.col(f"`{n}`") for n, kind in kept.dtypes if not kind.startswith(("map", "variant"))])
-    marked = kept.select("*", key.alias("mix_source"), shuffled.alias("mix_hash")).join(F.broadcast(sources), "mix_source").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
+    # the row stands in one column of its own, so that none of its names can be taken for one of these
+    rows = kept.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("mix_doc"), key.alias("mix_source"), shuffled.alias("mix_hash"))
+    marked = rows.join(F.broadcast(sources), "mix_source").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
     sizes = marked.groupBy("mix_key", "mix_bucket").count()
     before = sizes.select("mix_key", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_key").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
-    number = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", *[n for n in ("doc_id",) if n in names])) - 1
+    number = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", *[f"mix_doc.{n}" for n in ("doc_id",) if n in names])) - 1
     placed = marked.withColumn("mix_number", number).join(stage(before, "mix-buckets"), ["mix_key", "mix_bucket"])
     placed = placed.withColumn("mix_number", F.col("mix_number") + F.col("mix_before")).withColumn("mix_block", F.floor(F.col("mix_number") / block_rows).cast("long"))
     found = placed.join(schedule, ["mix_key", "mix_block"])
-    return found.select(*[F.col(f"`{n}`") for n in names], "mix_source", "mix_phase", "mix_slot", (F.col("mix_number") % block_rows).cast("int").alias("mix_row"))
+    return found.select(*[F.col(f"mix_doc.`{n}`") for n in names], "mix_source", "mix_phase", "mix_slot", (F.col("mix_number") % block_rows).cast("int").alias("mix_row"))
