@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quire.functions.numbers import half_up
 
@@ -97,9 +101,27 @@ def html_title(c: Column) -> Column:
     return F.substring(trim(decode_entities(strip_tags(found))), 1, 120)
 
 
-def slug(c: Column, fallback: Column | str = "item", most: int = 80) -> Column:
-    """Lower-case letters and digits joined by hyphens. Compatibility forms of width and ligatures are not folded."""
-    out = F.regexp_replace(F.lower(trim(text(c))), r"[^\p{L}\p{N}]+", "-")
+def _normal_form(form: str):
+    @arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
+
+    return run
+
+
+def compatible(c: Column) -> Column:
+    """Unicode's NFKC. Spark has no function for normal forms, so this is one over Arrow batches; plain ASCII goes through as it is."""
+    return _normal_form("NFKC")(text(c))
+
+
+def decomposed(c: Column) -> Column:
+    """Unicode's NFKD: marks stand behind their letters."""
+    return _normal_form("NFKD")(text(c))
+
+
+def slug(c: Column, fallback: Column | str = "item", most: int = 80, fold: bool = False) -> Column:
+    """Lower-case letters and digits joined by hyphens. fold: of the text's NFKC, so that full-width letters and ligatures are plain ones."""
+    out = F.regexp_replace(F.lower(trim(compatible(c) if fold else text(c))), r"[^\p{L}\p{N}]+", "-")
     out = F.substring(F.regexp_replace(out, "^-+|-+$", ""), 1, most)
     return F.when(out == "", fallback if isinstance(fallback, Column) else F.lit(fallback)).otherwise(out)
 

@@ -103,6 +103,22 @@ def adaptation_candidates(pages: DataFrame, most: int | None = None) -> DataFram
     return out if most is None else out.orderBy("doc_id", "page_number").limit(most)
 
 
+def polish_candidates(pages: DataFrame) -> DataFrame:
+    """Pages whose captions came from OCR, clipped for correction. pages: doc_id, spread_id, chapter_id, chapter_title, caption, source_excerpt, scene_prompt."""
+    return pages.select("doc_id", "spread_id", "chapter_id", F.coalesce("chapter_title", F.lit("")).alias("chapter_title"), T.clip(T.text(F.col("caption")), 260, "…").alias("caption"), T.clip(T.text(F.col("source_excerpt")), 900, "…").alias("source_excerpt"), T.clip(T.scene_text(F.col("scene_prompt")), 900, "…").alias("scene_text"))
+
+
+def is_polished(source_format: Column, method: Column, engine: Column, ocr_status: Column) -> Column:
+    """Whether captions are to be polished: a PDF whose text came from OCR."""
+    how = F.lower(F.coalesce(F.nullif(T.text(method), F.lit("")), T.text(engine)))
+    return (T.text(source_format) == "pdf") & ((T.text(ocr_status) == "ok") | how.rlike("ocr|vision|mineru"))
+
+
+def is_adapted(source_format: Column, method: Column, engine: Column, ocr_status: Column, n_pages: Column) -> Column:
+    """Whether captions are to be adapted from the source: a known format with pages, and none that is polished."""
+    return ~is_polished(source_format, method, engine, ocr_status) & F.lower(T.text(source_format)).isin("epub", "txt", "text", "md", "markdown", "pdf") & (F.coalesce(n_pages, F.lit(0)) > 0)
+
+
 def batches(rows: DataFrame, size: int, order: list[str], by: list[str]) -> DataFrame:
     """``rows`` with the number of their batch of ``size``, from 0, within each group."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1

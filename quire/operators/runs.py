@@ -75,6 +75,21 @@ def monotone_progress(events: DataFrame, key: str, order: list[str], value: str,
     return events.withColumn("progress", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.max(value).over(w))))
 
 
+def runnable_items(items: DataFrame, flags: DataFrame) -> DataFrame:
+    """Items that their run goes on with: those before which the run's last flag isn't ``paused``. An item before any flag goes on.
+
+    items: run_id, item, at. flags: run_id, status, at. One sorted pass over both by run; a flag at the time of an item comes before it.
+    """
+    both = items.select("run_id", "item", "at", F.lit(None).cast("string").alias("flag"), F.lit(1).alias("part")).unionByName(flags.select("run_id", F.lit(None).cast(items.schema["item"].dataType).alias("item"), "at", F.col("status").alias("flag"), F.lit(0).alias("part")))
+    last = F.last("flag", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("at", "part", "flag", "item").rowsBetween(Window.unboundedPreceding, 0))
+    return both.repartition("run_id").withColumn("last_flag", last).where("part = 1 AND NOT (last_flag <=> 'paused')").select("run_id", "item", "at")
+
+
+def request_states(events: DataFrame) -> DataFrame:
+    """id, status, created_at, updated_at of change requests: queued until an event says otherwise; the last one stands. events: id, status (null when filed), at."""
+    return events.groupBy("id").agg(F.coalesce(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("at"))), F.lit("queued")).alias("status"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+
+
 def artifact_summary(files: DataFrame) -> DataFrame:
     """Number of files, of text pages, the newest time, and whether key artifacts are there, by run. files: run_id, path, mtime."""
     has = lambda name: F.max(F.when(F.col("path").endswith(name), True).otherwise(False))

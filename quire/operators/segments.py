@@ -245,7 +245,9 @@ def split_long(paragraph: Column, target: Column) -> Column:
     def cut(x: Column) -> Column:
         items = F.transform(x, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), ((i > 0) & long(F.length(F.get(x, i - 1)))).alias("after_long")))
         starts = _starts(items, lambda a, s: s["after_long"] | long(s["n"]) | (a["n"] + s["n"] > target))
-        return F.flatten(F.transform(_joined(x, starts, " "), lambda c: F.when(long(F.length(c)), slices(c, target)).otherwise(F.array(c))))
+        # a long sentence is a group of its own
+        piece = lambda c, at: T.let(F.get(x, at), lambda s: F.when(long(F.length(s)), slices(s, target)).otherwise(F.array(c)))
+        return T.let(starts, lambda places: F.flatten(F.zip_with(_joined(x, places, " "), places, piece)))
 
     chunks = T.let(found, lambda sentences: F.when(F.size(sentences) <= 1, slices(paragraph, target)).otherwise(cut(sentences)))
     return F.when(paragraph == "", F.expr("cast(array() as array<string>)")).when(F.length(paragraph) <= target * 1.15, F.array(paragraph)).otherwise(chunks)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import numbers as N
+from quire.functions import text as T
 
 # Character counts from which a chapter gets one more page.
 STEPS = (700, 1600, 3200, 5200, 7600, 10500, 13500)
@@ -45,6 +46,26 @@ def plan_chapters(chapters: DataFrame, mode: str = "coverage", count: int = 3, t
     return chapters.withColumn("spread_count", pages).withColumn("reason", reason)
 
 
+def chapter_sketches(chapters: DataFrame) -> DataFrame:
+    """What a planner is told of each chapter: its counts, opening and closing. chapters: doc_id, chapter_idx, chapter_id, title, text, char_count, paragraph_count."""
+    closing = F.right(T.text(F.col("text")), F.lit(420))
+    return chapters.select("doc_id", "chapter_idx", "chapter_id", "title", "char_count", "paragraph_count", T.clip(F.col("text"), 300, "…").alias("opening"), T.clip(closing, 260, "…").alias("closing"))
+
+
+def plan_by_shard(chapters: DataFrame, proposals: DataFrame, size: int = 4, low: int = 1, high: int = 8) -> DataFrame:
+    """Proposed page counts where a shard of ``size`` chapters has them, heuristic ones for the whole of a shard that has none; ``fell_back`` tells which.
+
+    chapters: doc_id, chapter_idx, char_count, paragraph_count. proposals: doc_id, shard, chapter_idx, spread_count, of shards that were answered; the
+    first of a chapter stands. A chapter that its shard's answer leaves out gets three pages.
+    """
+    rows = chapters.withColumn("shard", F.floor(F.col("chapter_idx") / size).cast("long"))
+    answered = proposals.select("doc_id", "shard").distinct().withColumn("answered", F.lit(True))
+    said = proposals.groupBy("doc_id", "chapter_idx").agg(F.min("spread_count").alias("said"))
+    rows = rows.join(answered, ["doc_id", "shard"], "left").join(said, ["doc_id", "chapter_idx"], "left")
+    pages = F.when(F.col("answered"), N.spread_count(F.col("said"), 3, low, high)).otherwise(heuristic_count(F.col("char_count"), F.col("paragraph_count"), low, high))
+    return rows.select(*chapters.columns, "shard", pages.alias("spread_count"), F.col("answered").isNull().alias("fell_back"))
+
+
 def plan_mode(option: Column, has_provider: Column) -> Column:
     """What a page count option asks for: full-coverage, fixed, auto, or heuristic where no provider answers."""
     blank = F.trim(F.coalesce(option.cast("string"), F.lit(""))) == ""

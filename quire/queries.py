@@ -433,13 +433,13 @@ def top_words(spark, d):
 
 @query("character_review")
 def character_review(spark, d):
-    return entities.review(_titled(spark, d))
+    return entities.review(_titled(spark, d)).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("characters")
 def characters(spark, d):
     docs = _titled(spark, d)
-    return entities.characters(docs, entities.review(docs))
+    return entities.characters(docs, entities.review(docs)).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("character_summary")
@@ -816,3 +816,6 @@ def cache_keys(spark, d):
 def story_sections(spark, d):
     rows = table(spark, d, "pages").select((F.col("page_id") % 20).alias("doc_id"), "page_id", F.when(F.col("page_id") % 6 == 0, "toc.xhtml").otherwise("text.xhtml").alias("file"), F.lit("").alias("title"), F.col("html").alias("text"))
     return readers.story_sections(rows).select("doc_id", "page_id")
+
+
+from quire import book_queries  # noqa: E402, F401  registers more queries, and SQL for some of these

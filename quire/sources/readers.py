@@ -169,6 +169,25 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(_pdf, "doc_id string, page_index int, text string, error string")
 
 
+def trim_books(docs: DataFrame) -> DataFrame:
+    """doc_id and text of books without what comes before the first heading beyond line 20 and after a late back matter heading. docs: doc_id, text."""
+    return docs.select("doc_id", T.text(F.col("text")).alias("text")).mapInArrow(_trim, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def extraction_chain(attempts: DataFrame) -> DataFrame:
+    """The steps that are taken for each document and which one is used: steps follow their order until one gives text that isn't weak; later ones aren't tried.
+
+    attempts: doc_id, pos, method, text, weak. Returned by step taken: doc_id, pos, method, status (ok, weak or empty), used. If all are weak, the longest is used.
+    """
+    blank = T.trim(T.text(F.col("text"))) == ""
+    good = ~blank & ~F.coalesce("weak", F.lit(False))
+    w = Window.partitionBy("doc_id")
+    rows = attempts.withColumn("stop", F.min(F.when(good, F.col("pos"))).over(w)).where("stop IS NULL OR pos <= stop")
+    longest = F.row_number().over(w.orderBy(F.desc(F.length(T.text(F.col("text")))), "pos"))
+    used = F.when(F.col("stop").isNotNull(), F.col("pos") == F.col("stop")).otherwise((longest == 1) & ~blank)
+    return rows.select("doc_id", "pos", "method", F.when(blank, "empty").when(good, "ok").otherwise("weak").alias("status"), used.alias("used"))
+
+
 def choose_extraction(attempts: DataFrame) -> DataFrame:
     """The attempt to use for each document: the first, by order, whose text isn't weak, else the longest. attempts: doc_id, pos, method, text, weak."""
     rank = F.struct(F.col("weak").cast("int"), F.when(F.col("weak"), -F.length("text")).otherwise(F.col("pos")), "pos")

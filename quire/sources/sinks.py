@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.numbers import hash32
 
 LINES_A_PAGE, LINE_LETTERS = 34, 92
 
@@ -31,9 +35,9 @@ def snapshot(table: DataFrame, path: str, version: str) -> str:
 
 
 def ascii_fold(c: Column) -> Column:
-    """Printable ASCII, at most 92 letters; common accents lose their mark, the rest becomes a question mark."""
-    plain = F.translate(T.text(c), "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ", "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy")
-    return F.substring(F.regexp_replace(plain, r"[^\x20-\x7E]", "?"), 1, LINE_LETTERS)
+    """Printable ASCII of the text's NFKD, at most 92 letters. Marks of letters go; each other UTF-16 unit becomes a question mark."""
+    wide = F.regexp_replace(F.regexp_replace(T.decomposed(c), r"\p{M}+", ""), r"[\x{10000}-\x{10FFFF}]", "??")
+    return F.substring(F.regexp_replace(wide, r"[^\x20-\x7E]", "?"), 1, LINE_LETTERS)
 
 
 def review_pages(lines: DataFrame, by: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -42,12 +46,18 @@ def review_pages(lines: DataFrame, by: str = "doc_id", order: str = "line_no") -
     return lines.withColumn("line", ascii_fold(F.col("line"))).withColumn("review_page", F.floor(n / LINES_A_PAGE).cast("long"))
 
 
-def placeholder_svg(title: Column, palette_index: Column) -> Column:
-    """A small drawing with the wrapped title; the colours follow the index."""
-    colours = F.array(*[F.lit(c) for c in ("#f7ead7", "#fff7e8", "#e8f1ec", "#f3e3d6", "#e4ecf4")])
-    fill = F.element_at(colours, (F.pmod(palette_index, F.lit(5)) + 1).cast("int"))
-    rows = F.transform(T.wrap(title, 28), lambda line, i: F.concat(F.lit('<text x="48" y="'), (96 + i * 40).cast("string"), F.lit('">'), T.escape_xml(line), F.lit("</text>")))
-    return F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1536 1024"><rect width="1536" height="1024" fill="'), fill, F.lit('"/>'), F.array_join(rows, ""), F.lit("</svg>"))
+#: Paper, ink and three accents of a drawing without a style.
+PAPER = ("#fbf3e4", "#2b3a42", "#c8553d", "#d8a657", "#588157")
+
+
+def placeholder_svg(caption: Column, spread_id: Column, chapter_id: Column | None = None, palette: Column | None = None) -> Column:
+    """A stand-in for a page's picture: two areas in colours picked by the hashes of page and chapter, and the caption's first four lines."""
+    colours = F.array(*map(F.lit, PAPER)) if palette is None else palette
+    pick = lambda key, shift: F.element_at(colours, ((F.abs(hash32(T.text(key))) + shift) % F.size(colours) + 1).cast("int"))
+    rows = F.transform(F.slice(T.wrap(caption, 38), 1, 4), lambda line, i: F.concat(F.lit('<text x="96" y="'), (780 + i * 44).cast("string"), F.lit('" font-size="34">'), T.escape_xml(line), F.lit("</text>")))
+    area = lambda y, height, colour: F.concat(F.lit(f'<rect x="96" y="{y}" width="1344" height="{height}" rx="32" fill="'), T.escape_xml(colour), F.lit('"/>'))
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="1536" height="1024" viewBox="0 0 1536 1024" role="img" aria-label="'), T.escape_xml(caption), F.lit('"><rect width="1536" height="1024" fill="'), T.escape_xml(F.element_at(colours, 1)), F.lit('"/>'))
+    return F.concat(head, area(120, 280, pick(spread_id, 0)), area(420, 260, pick(spread_id if chapter_id is None else chapter_id, 2)), F.array_join(rows, ""), F.lit("</svg>"))
 
 
 def page_html(title: Column, image: Column, caption: Column) -> Column:
@@ -61,16 +71,77 @@ def render_books(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"/></head><body>\n'), body, F.lit("\n</body></html>")).alias("html"))
 
 
-def epub_bytes(title: str, chapters: list[tuple[str, str]]) -> bytes:
-    """A stored EPUB of one book: chapters are (title, XHTML body)."""
-    names = [f"chapter-{i + 1:02d}.xhtml" for i in range(len(chapters))]
-    items = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names))
-    spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(names)))
+def book_bodies(pages: DataFrame) -> DataFrame:
+    """doc_id, title, n_pages and body: the XHTML of each book's pages in order. pages: doc_id, title, page_number, chapter_title, caption."""
+    xml = lambda c: F.replace(T.escape_xml(c), F.lit("'"), F.lit("&apos;"))
+    part = F.concat(F.lit('<section class="page"><p class="chapter">'), xml(F.col("chapter_title")), F.lit('</p><p class="caption">'), xml(F.col("caption")), F.lit("</p></section>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", part.alias("h")))), lambda x: x["h"]), "")
+    return pages.groupBy("doc_id").agg(F.max("title").alias("title"), F.count("*").alias("n_pages"), body.alias("body"))
+
+
+def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)
+        made = [epub_bytes(title, [(title, body)], identifier, language) for identifier, title, language, body in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "epub"])
+
+
+def epub_books(books: DataFrame, language: Column | None = None) -> DataFrame:
+    """doc_id and an EPUB of each book, a row for each, made all over the cluster. books: as ``book_bodies`` returns them."""
+    spoken = F.lit("en") if language is None else F.coalesce(language, F.lit("en"))
+    rows = books.select("doc_id", F.concat(F.lit("urn:book:"), F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), "title"), 256)).alias("identifier"), "title", spoken.alias("language"), "body")
+    return rows.mapInArrow(_containers, f"doc_id {books.schema['doc_id'].dataType.simpleString()}, epub binary")
+
+
+def epub_bytes(title: str, chapters: list[tuple[str, str]], identifier: str = "urn:book", language: str = "en") -> bytes:
+    """A stored EPUB 3 with package and navigation; chapters are (title, XHTML body). Names and types are those of its format."""
+    named = lambda x: escape(x, {'"': "&quot;"})
+    files = [f"chapter-{i + 1:02d}.xhtml" for i in range(len(chapters))]
+    items = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(files))
+    spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(files)))
+    package = (
+        '<?xml version="1.0" encoding="utf-8"?><package version="3.0" unique-identifier="id" xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+        f'<dc:identifier id="id">{named(identifier)}</dc:identifier><dc:title>{named(title)}</dc:title><dc:language>{named(language)}</dc:language><meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata>'
+        f'<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{spine}</spine></package>'
+    )
+    page = lambda head, body: f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{named(head)}</title></head><body>{body}</body></html>'
+    entries = "".join(f'<li><a href="{n}">{named(head)}</a></li>' for n, (head, _) in zip(files, chapters, strict=True))
+    container = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    parts = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", container), ("OEBPS/content.opf", package), ("OEBPS/nav.xhtml", page(title, f'<nav epub:type="toc"><ol>{entries}</ol></nav>'))]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr("mimetype", "application/epub+zip")
-        z.writestr("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        z.writestr("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{title}</dc:title></metadata><manifest>{items}</manifest><spine>{spine}</spine></package>')
-        for name, (head, body) in zip(names, chapters, strict=True):
-            z.writestr(f"OEBPS/{name}", f'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{head}</title></head><body>{body}</body></html>')
+        for name, data in [*parts, *((f"OEBPS/{n}", page(head, body)) for n, (head, body) in zip(files, chapters, strict=True))]:
+            z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), data)
     return out.getvalue()
+
+
+def pdf_bytes(pages: list[list[str]]) -> bytes:
+    """A PDF of plain ASCII lines, a list for each page, in the standard Helvetica."""
+    quoted = lambda line: "".join(f"\\{c}" if c in "\\()" else c for c in line)
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, lines in enumerate(pages):
+        drawn = "BT /F1 12 Tf 54 740 Td 20 TL " + " T* ".join(f"({quoted(line)}) Tj" for line in lines) + " ET"
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>")
+        objects.append(f"<< /Length {len(drawn)} >>\nstream\n{drawn}\nendstream")
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for n, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{n} 0 obj\n{body}\nendobj\n".encode("ascii")
+    table = "".join(f"{at:010d} 00000 n \n" for at in places)
+    start = len(out)
+    out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{start}\n%%EOF\n".encode("ascii")
+    return bytes(out)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [pdf_bytes(pages) for pages in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "pdf"])
+
+
+def review_pdfs(lines: DataFrame) -> DataFrame:
+    """doc_id and a PDF of each book's review lines. lines: doc_id, line_no, line."""
+    pages = review_pages(lines).groupBy("doc_id", "review_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("text"))
+    books = pages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("review_page", "text"))), lambda x: x["text"]).alias("pages"))
+    return books.mapInArrow(_prints, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, pdf binary")
