@@ -429,3 +429,57 @@ def wide_slugs(spark, d):
 def page_lines(spark, d):
     named = T.description(F.concat(F.lit("N"), F.col("pos").cast("string")), F.col("pos"))
     return lines(spark, d).select("doc_id", "pos", T.expects_cjk(F.col("lang")).alias("cjk"), named.alias("described"))
+
+
+# ---- options, replies and logs over whole tables ---------------------------------------------------------------------
+
+
+@query("chapter_modes", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'full-coverage' WHEN 1 THEN 'full-coverage' WHEN 2 THEN CASE WHEN c_custkey % 5 > 1 THEN 'auto' ELSE 'heuristic' END WHEN 3 THEN CASE WHEN c_custkey % 5 > 1 THEN 'auto' ELSE 'heuristic' END ELSE 'fixed' END AS mode FROM customer")
+def chapter_modes(spark, d):
+    k = F.col("c_custkey")
+    option = F.element_at(F.array(F.lit(" "), F.lit("Full-Book"), F.lit("自动"), F.lit(" CODEX-auto "), F.lit("4"), (k % 9).cast("string")), (k % 6 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", P.plan_mode(option, k % 5 > 1).alias("mode"))
+
+
+@query(
+    "language_options",
+    """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'bilingual' WHEN 4 THEN CASE WHEN s = 'en' THEN 'single' ELSE 'bilingual' END ELSE 'single' END AS "mode", CASE c_custkey % 5 WHEN 0 THEN s WHEN 1 THEN 'zh' WHEN 2 THEN 'ja' WHEN 3 THEN s ELSE s END AS "primary",
+    CASE c_custkey % 5 WHEN 0 THEN 'Auto (' || n || ')' WHEN 1 THEN '中文 + English' WHEN 2 THEN '日本語' WHEN 3 THEN n ELSE CASE WHEN s = 'en' THEN 'English' ELSE n || ' + English' END END AS label
+    FROM (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'en' ELSE 'zh' END AS s, CASE WHEN c_nationkey % 2 = 0 THEN 'English' ELSE '中文' END AS n FROM customer)""",
+)
+def language_options(spark, d):
+    k, source = F.col("c_custkey"), F.when(F.col("c_nationkey") % 2 == 0, "en").otherwise("zh")
+    option = F.element_at(F.array(F.lit("Auto"), F.lit("chinese/en-gb"), F.lit("日文"), F.lit("xx,auto"), F.concat(source, F.lit("+English"))), (k % 5 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", T.language_profile(option, source).alias("p")).select("c_custkey", "p.mode", "p.primary", "p.label")
+
+
+@query("loose_replies", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE '[' || doc_id || ',2]' END AS items FROM documents")
+def loose_replies(spark, d):
+    """Whole texts as the words around an answer; a mark in braces of its own would be an answer too, so braces become brackets."""
+    k, words = F.col("doc_id").cast("string"), F.translate(F.col("text"), "{}`[", "()'(")
+    reply = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" ["), k, F.lit(",2]"))).when(F.col("doc_id") % 4 == 1, F.concat(words, F.lit('\n```json\n{"spreads": ['), k, F.lit(',2]}\n``` '), words)).when(F.col("doc_id") % 4 == 2, F.concat(words, F.lit(' {"chapters": ['), k, F.lit(",2]} "), words)).otherwise(words)
+    return table(spark, d, "documents").select("doc_id", readers.json_array(reply, "chapters", "spreads").alias("items"))
+
+
+@query("logged_images", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/tmp/g/' || doc_id || '.png|/x/' || doc_id || '.jpeg' END AS paths FROM documents")
+def logged_images(spark, d):
+    """Paths of images named in whole texts, whose own slashes are taken out first."""
+    k, words = F.col("doc_id").cast("string"), F.translate(F.col("text"), "/", " ")
+    log = F.concat(words, F.lit(" saved /tmp/g/"), k, F.lit(".png, then '/x/"), k, F.lit(".jpeg' and /tmp/g/"), k, F.lit(".png). "), words)
+    return table(spark, d, "documents").select("doc_id", F.array_join(work.log_paths(F.when(F.col("doc_id") % 3 > 0, log).otherwise(words)), "|").alias("paths"))
+
+
+@query("chapter_numbers", "SELECT doc_id, doc_id % 120 AS parsed FROM documents")
+def chapter_numbers(spark, d):
+    """Numbers written in Chinese up to 99 and in digits beyond, read from titles."""
+    title = F.concat(F.lit("第"), T.chinese_numeral(F.col("doc_id") % 120), F.lit("章 "), F.left("text", F.lit(20)))
+    return table(spark, d, "documents").select("doc_id", T.chinese_ordinal(title).alias("parsed"))
+
+
+@query("caption_fixes", """WITH c AS (SELECT CAST(doc_id % 300 AS VARCHAR) AS spread_id, 'fixed ' || doc_id AS new FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id DESC) = 1)
+    SELECT CAST(doc_id AS VARCHAR) AS spread_id, coalesce(new, 'caption ' || doc_id) AS caption, CASE WHEN new IS NOT NULL THEN 'caption ' || doc_id END AS original_caption, CASE WHEN new IS NOT NULL THEN 'needs_redraw' ELSE 'ready' END AS image_status FROM documents d LEFT JOIN c ON c.spread_id = CAST(d.doc_id AS VARCHAR)""")
+def caption_fixes(spark, d):
+    docs = table(spark, d, "documents")
+    pages = docs.select(F.col("doc_id").cast("string").alias("spread_id"), F.concat(F.lit("caption "), F.col("doc_id").cast("string")).alias("caption"), F.lit(None).cast("string").alias("original_caption"), F.lit("ready").alias("image_status"))
+    fixes = docs.select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 300).cast("string").alias("id"), F.concat(F.lit('"fixed  '), F.col("doc_id").cast("string"), F.lit('"')).alias("caption"))
+    return merge.apply_corrections(pages, fixes).select("spread_id", "caption", "original_caption", "image_status")

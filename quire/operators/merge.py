@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.rows import numbered
 from quire.plans.pages import once
 
 # The style presets; the first is the default.
@@ -120,9 +121,8 @@ def is_adapted(source_format: Column, method: Column, engine: Column, ocr_status
 
 
 def batches(rows: DataFrame, size: int, order: list[str], by: list[str]) -> DataFrame:
-    """``rows`` with the number of their batch of ``size``, from 0, within each group."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(n / size).cast("long"))
+    """``rows`` with the number of their batch of ``size``, from 0, within each group. The first column of ``order`` is a whole number."""
+    return numbered(rows, by, order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def chapter_narrative(pages: DataFrame) -> DataFrame:

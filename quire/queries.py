@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import numbers as N
 from quire.functions import text as T
-from quire.functions.rows import once, spread
+from quire.functions.rows import numbered, once, spread
 from quire.operators import audit, entities, merge, runs, segments, work
 from quire.plans import pages as P
 from quire.sources import readers, sinks
@@ -399,8 +399,8 @@ def balanced_pages(spark, d):
     CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS BIGINT) AS page_number, CASE WHEN pos % 2 = 0 THEN 'full-bleed-caption-bottom' ELSE 'image-left-caption-right' END AS layout FROM lines""",
 )
 def visual_intents(spark, d):
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "pos")).cast("long")
-    return lines(spark, d).select("doc_id", "pos", T.visual_intent(F.col("line"), F.col("pos"), F.col("n")).alias("visual_intent"), page.alias("page_number"), F.when(F.col("pos") % 2 == 0, "full-bleed-caption-bottom").otherwise("image-left-caption-right").alias("layout"))
+    rows = numbered(lines(spark, d), ["source"], ["doc_id", "pos"], "page")
+    return rows.select("doc_id", "pos", T.visual_intent(F.col("line"), F.col("pos"), F.col("n")).alias("visual_intent"), (F.col("page") + 1).cast("long").alias("page_number"), F.when(F.col("pos") % 2 == 0, "full-bleed-caption-bottom").otherwise("image-left-caption-right").alias("layout"))
 
 
 @query("story_arc", f"WITH {PAGES}, r AS (SELECT *, page_number - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM pages) SELECT doc_id, max({clip_sql('source_excerpt', 160)}) FILTER (i = 0) AS opening, max({clip_sql('source_excerpt', 160)}) FILTER (i = n // 2) AS midpoint, max({clip_sql('source_excerpt', 160)}) FILTER (i = n - 1) AS closing, count(*) AS scene_count FROM r GROUP BY doc_id")

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.numbers import hash32
+from quire.functions.rows import numbered
 
 LINES_A_PAGE, LINE_LETTERS = 34, 92
 
@@ -41,9 +42,9 @@ def ascii_fold(c: Column) -> Column:
 
 
 def review_pages(lines: DataFrame, by: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """Lines (folded to ASCII) with the page of 34 lines each stands on."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return lines.withColumn("line", ascii_fold(F.col("line"))).withColumn("review_page", F.floor(n / LINES_A_PAGE).cast("long"))
+    """Lines (folded to ASCII) with the page of 34 lines each stands on. ``order`` is a whole number or a struct that starts with one."""
+    rows = numbered(lines, [by], [order], "review_page")
+    return rows.withColumns({"line": ascii_fold(F.col("line")), "review_page": F.floor(F.col("review_page") / LINES_A_PAGE).cast("long")})
 
 
 #: Paper, ink and three accents of a drawing without a style.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import prompts
 from quire.functions import text as T
-from quire.functions.rows import once, spread
+from quire.functions.rows import numbered, once, spread
 from quire.operators import runs
 from quire.sources import readers, sinks
 
@@ -91,3 +91,14 @@ def test_spread_leaves_wide_scans_alone(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert "Repartition" not in plans["wide"] and "Repartition" in plans["narrow"]
+
+
+def test_numbers_of_hot_groups(spark):
+    rows = [(None if i % 3 else "hot", i * 7919 % 4001, i % 2) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, x int")
+    want = {}
+    for source in {r[0] for r in rows}:
+        want.update({(source, *k): n for n, k in enumerate(sorted(r[1:] for r in rows if r[0] == source))})
+    found = numbered(docs, ["source"], ["doc_id", "x"], "n", width=6)
+    assert {(r.source, r.doc_id, r.x): r.n for r in found.collect()} == want and found.columns == ["source", "doc_id", "x", "n"]
+    assert numbered(docs.limit(0), ["source"], ["doc_id"], "n").count() == 0
