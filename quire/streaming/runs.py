@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,10 +48,32 @@ def linked_states(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(links, F.col("run_id") == F.col("image_run_id")).select("book_run_id", "ts", status.alias("book_status"))
 
 
+def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+
+
+def _folders(spark: SparkSession, path: str, kind: str) -> dict[int, str]:
+    """Complete folders ``kind``N below a path, by N."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()]
+    return {int(n[len(kind) :]): f"{path}/{n}" for n in names if n.startswith(kind) and n[len(kind) :].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))}
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str):
     """Start a query that keeps, below ``path``, one versioned table of the latest row by key. Each batch reads the version before it.
 
-    Batches that run again after a failure write their version anew, so that each counts once.
+    Batches that run again after a failure write their version anew, so that each counts once. Versions older than the one before the last
+    are dropped. Every batch writes the whole table; where that is large beside a batch, ``append_latest`` writes what is new.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -59,7 +81,33 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order
         rows = batch
         if epoch:
             rows = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
-        rest = [c for c in batch.columns if c != key]
-        rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        _latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        _drop(spark, [p for n, p in _folders(spark, path, "v").items() if n < epoch - 1])
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, every: int = 20):
+    """Start a query that writes, below ``path``, the latest rows of each batch; ``read_latest`` reads the table they make.
+
+    Every ``every`` batches all that is there becomes one snapshot, so a row is written again once in so many batches. Batches that run
+    again write the same folder. What a snapshot holds is dropped one snapshot later, so that readers of before can end.
+    """
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        _latest(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch{epoch}")
+        if epoch % every == every - 1:
+            read_latest(spark, path, key, order).write.mode("overwrite").parquet(f"{path}/whole{epoch}")
+            before = sorted(_folders(spark, path, "whole"))[-2:][0]
+            _drop(spark, [p for n, p in _folders(spark, path, "batch").items() if n <= before and before < epoch] + [p for n, p in _folders(spark, path, "whole").items() if n < before])
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The latest row by key of what ``append_latest`` wrote: the newest snapshot and the batches after it."""
+    whole, batches = _folders(spark, path, "whole"), _folders(spark, path, "batch")
+    newest = max(whole, default=-1)
+    parts = ([whole[newest]] if whole else []) + [p for n, p in sorted(batches.items()) if n > newest]
+    return _latest(spark.read.parquet(*parts), key, order)
