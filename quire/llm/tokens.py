@@ -20,6 +20,8 @@ _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-ȳ]|[²³¹¼½¾İ]|<\|")
 _SLICE = 4 << 20
 #: Entries of the cache's newer half. A Python worker keeps the cache for as long as it lives, so it must stay small beside the executor's heap.
 _PIECES_KEPT = 250_000
+#: Longer pieces are encoded each time, so that the cache's bytes are bounded as its entries are.
+_LONGEST_KEPT = 64
 
 
 def default_path() -> str:
@@ -78,7 +80,8 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return self.pieces.put(piece, np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes())
+        ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        return ids if len(piece) > _LONGEST_KEPT else self.pieces.put(piece, ids)
 
     def _word(self, word: str) -> bytes:
         known = self.pieces.find
