@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.rows import once
 
 # Word lists and patterns of the review rules.
 PHRASE = rf"{T.B0}[A-Z][a-z]{{2,}}(?:\s+(?:of\s+|the\s+)?[A-Z][a-z]{{2,}}){{1,2}}{T.B1}"
@@ -104,7 +105,9 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = []
         for text, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            scores.append([{"name": n, "context": context_score(n, text)} for n in names])
+            low = text.lower()
+            places = word_places(low)
+            scores.append([{"name": n, "context": _score(n.lower(), low, places)} for n in names])
         kind = pa.list_(pa.struct([("name", pa.string()), ("context", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, kind)], names=["doc_id", "scores"])
 
@@ -114,29 +117,48 @@ _ACTS_BEFORE = regex.compile(rf"(?<![a-z0-9_])(?:{ACTIONS})\s+(?:to\s+|at\s+|wit
 _HONOURED = regex.compile(rf"(?<![a-z0-9_])(?:{HONORIFICS})\.?\s+$")
 
 
-def _whole_words(word: str, low: str) -> Iterator[int]:
-    """Places of a lower-case word that no letter or digit touches."""
-    at = low.find(word)
-    while at >= 0:
+_LETTERS = regex.compile(r"[^\W_]+")
+
+
+def word_places(low: str) -> dict[str, list[int]]:
+    """Where each word (a run of letters and digits) of a lower-case text starts."""
+    places: dict[str, list[int]] = {}
+    for m in _LETTERS.finditer(low):
+        places.setdefault(m.group(), []).append(m.start())
+    return places
+
+
+def _whole_words(word: str, low: str, places: dict[str, list[int]] | None = None) -> Iterator[int]:
+    """Places of a lower-case name, of one or more words, that no letter or digit touches."""
+    places = word_places(low) if places is None else places
+    first = _LETTERS.search(word)
+    for at in places.get(first.group(), ()) if first else ():
         end = at + len(word)
-        if not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
+        if low.startswith(word, at) and not (end < len(low) and low[end].isalnum()):
             yield at
-        at = low.find(word, at + 1)
 
 
-def context_score(name: str, text: str) -> int:
-    """Points for actions next to a name and for honorifics before it, within 48 letters; counting ends at 6 or more."""
-    word, low, points = name.lower(), text.lower(), 0
-    for at in _whole_words(word, low):
+def _score(word: str, low: str, places: dict[str, list[int]]) -> int:
+    points = 0
+    for at in _whole_words(word, low, places):
         near = low[max(0, at - 48) : at + len(word) + 48]
-        places = list(_whole_words(word, near))
-        acts = any(_ACTS_AFTER.match(near, i + len(word)) or _ACTS_BEFORE.search(near[:i]) for i in places)
-        points += 2 * acts + any(_HONOURED.search(near[:i]) is not None for i in places)
+        spots = list(_whole_words(word, near))
+        acts = any(_ACTS_AFTER.match(near, i + len(word)) or _ACTS_BEFORE.search(near[:i]) for i in spots)
+        points += 2 * acts + any(_HONOURED.search(near[:i]) is not None for i in spots)
         if points >= 6:
             break
     return points
 
 
+def context_score(name: str, text: str) -> int:
+    """Points for actions next to a name and for honorifics before it, within 48 letters; counting ends at 6 or more.
+
+    A name starts with a letter or digit. A text's words are looked up once for all its names, see ``word_places``.
+    """
+    low = text.lower()
+    return _score(name.lower(), low, word_places(low))
+
+
 def review(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Candidates with context, review_score, status (approved, review or rejected) and reason; the first rule that holds decides."""
     found = candidates(docs) if found is None else found
@@ -190,11 +212,14 @@ def review_summary(docs: DataFrame, reviewed: DataFrame, most: int = 10, disable
 def references(pages: DataFrame, people: DataFrame, text: str = "source_passage") -> DataFrame:
     """doc_id, spread_id and the ids of the document's characters that the page names, by rank.
 
-    An equi-join on the document with the pattern as a further condition: never all pages against all characters. A plain search
-    comes before the pattern, which would be compiled anew for each row.
+    A document's characters, a short list, are joined to its pages in one equi-join and looked for page by page. A plain search comes before the
+    pattern, which would be compiled anew for each name.
     """
     folded = lambda c: F.upper(F.lower(c))  # letters that the pattern takes for one another are the same in this form
     mine = people.select("doc_id", "rank", "id", F.explode(F.array_distinct(F.array_append("aliases", F.col("name")))).alias("alias"))
-    hits = pages.select("doc_id", "spread_id", T.text(F.col(text)).alias("t")).join(mine, "doc_id").where(F.contains(folded(F.col("t")), folded(F.col("alias"))) & F.rlike(F.col("t"), name_pattern(F.col("alias"))))
-    refs = hits.groupBy("doc_id", "spread_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("rank", "id"))), lambda x: x["id"]).alias("character_refs"))
-    return pages.select("doc_id", "spread_id").join(refs, ["doc_id", "spread_id"], "left").withColumn("character_refs", F.coalesce("character_refs", F.expr("cast(array() as array<string>)")))
+    named = F.struct("rank", "id", folded(F.col("alias")).alias("plain"), name_pattern(F.col("alias")).alias("pattern"))
+    cast = mine.where("alias <> ''").groupBy("doc_id").agg(F.collect_set(named).alias("cast"))
+    rows = once(pages.select("doc_id", "spread_id", T.text(F.col(text)).alias("t")), plain=folded(T.text(F.col("t")))).join(cast, "doc_id", "left")
+    seen = F.filter("cast", lambda p: F.contains(F.col("plain"), p["plain"]) & F.rlike(F.col("t"), p["pattern"]))
+    ids = F.transform(F.array_sort(F.array_distinct(F.transform(seen, lambda p: F.struct(p["rank"].alias("rank"), p["id"].alias("id"))))), lambda p: p["id"])
+    return rows.select("doc_id", "spread_id", F.coalesce(ids, F.expr("cast(array() as array<string>)")).alias("character_refs"))
