@@ -599,15 +599,6 @@ def pending_pages(spark, d):
     return work.pending_pages(line_pages(spark, d)).select("doc_id", "spread_id")
 
 
-@query("rank_zip_import", f"""WITH {_QUEUE}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS at, count(*) OVER (PARTITION BY doc_id) AS n FROM q WHERE status <> 'ready'),
-    f AS (SELECT o_custkey % 25 AS doc_id, 'o' || o_orderkey AS path, o_orderkey AS mtime FROM orders WHERE o_orderkey % 10 = 0), g AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY mtime DESC, path) AS newness, w.n FROM f JOIN (SELECT DISTINCT doc_id, n FROM i) w USING (doc_id) QUALIFY newness <= n),
-    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY newness DESC) AS at, count(*) OVER (PARTITION BY doc_id) AS have FROM g)
-    SELECT i.doc_id, CAST(i.at AS INTEGER) AS at, i.type, i.id, h.path, coalesce((SELECT max(have) FROM h x WHERE x.doc_id = i.doc_id), 0) >= i.n AS enough FROM i LEFT JOIN h ON h.doc_id = i.doc_id AND h.at = i.at""")
-def rank_zip_import(spark, d):
-    files = table(spark, d, "orders").where("o_orderkey % 10 = 0").select((F.col("o_custkey") % 25).alias("doc_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").alias("mtime"))
-    return work.import_by_rank(_queue(spark, d), files)
-
-
 @query("rank_zip_import_all", f"""WITH {_QUEUE}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS at, count(*) OVER (PARTITION BY doc_id) AS n FROM q WHERE status <> 'ready'),
     f AS (SELECT o_custkey % 25 AS doc_id, 'o' || o_orderkey AS path, o_orderkey AS mtime FROM orders), g AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY mtime DESC, path) AS newness, w.n FROM f JOIN (SELECT DISTINCT doc_id, n FROM i) w USING (doc_id) QUALIFY newness <= n),
     h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY newness DESC) AS at FROM g), k AS (SELECT doc_id, count(*) AS have FROM g GROUP BY doc_id)
@@ -754,13 +745,6 @@ def redraw_fresh(spark, d):
     return table(spark, d, "events").select("event_id", work.fresh_for_redraw(at, asked).alias("fresh"))
 
 
-@query("recover_match", f"WITH {_RUNS}, s AS (SELECT * FROM r WHERE id % 40 = 0) SELECT s.id AS run_id, arg_max('f' || f.event_id, (f.ts, 'f' || f.event_id)) AS path FROM s LEFT JOIN events f ON CAST(f.user_id AS VARCHAR) = s.project_path AND f.event_id % 7 = 0 AND f.ts >= s.created_at - INTERVAL 60 SECOND GROUP BY s.id")
-def recover_match(spark, d):
-    files = table(spark, d, "events").where("event_id % 7 = 0").select(F.col("user_id").cast("string").alias("project"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("mtime"))
-    started = _runs(spark, d).where("id % 40 = 0").select(F.col("id").alias("run_id"), F.col("project_path").alias("project"), F.col("created_at").alias("started"))
-    return work.recover_match(started, files).select("run_id", "path")
-
-
 @query("recover_match_all", f"WITH {_RUNS}, m AS (SELECT CAST(user_id AS VARCHAR) AS project_path, max(ts) AS mtime, arg_max('f' || event_id, (ts, 'f' || event_id)) AS path FROM events GROUP BY user_id) SELECT id AS run_id, CASE WHEN mtime >= created_at - INTERVAL 60 SECOND THEN path END AS path FROM r LEFT JOIN m USING (project_path)")
 def recover_match_all(spark, d):
     files = table(spark, d, "events").select(F.col("user_id").cast("string").alias("project"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("mtime"))
