@@ -156,13 +156,14 @@ def mix_sources(docs: DataFrame, weights: dict | Callable[[str | None, int], flo
 
     # a row's number in its source: rows of smaller buckets, and then its place in its own; no window holds a whole source
     shuffled = F.xxhash64(*[F.col(f"`{n}`") for n, kind in kept.dtypes if not kind.startswith(("map", "variant"))])
-    # the row stands in one column of its own, so that none of its names can be taken for one of these
-    rows = kept.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("mix_doc"), key.alias("mix_source"), shuffled.alias("mix_hash"))
+    # columns stand under numbers here, so that none of their names can be taken for one of these, and unused ones are still left out of the scan
+    numbers = {n: f"mix_{i}" for i, n in enumerate(names)}
+    rows = kept.select(*[F.col(f"`{n}`").alias(c) for n, c in numbers.items()], key.alias("mix_source"), shuffled.alias("mix_hash"))
     marked = rows.join(F.broadcast(sources), "mix_source").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
     sizes = marked.groupBy("mix_key", "mix_bucket").count()
     before = sizes.select("mix_key", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_key").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
-    number = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", *[f"mix_doc.{n}" for n in ("doc_id",) if n in names])) - 1
+    number = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", *[numbers[n] for n in ("doc_id",) if n in names])) - 1
     placed = marked.withColumn("mix_number", number).join(stage(before, "mix-buckets"), ["mix_key", "mix_bucket"])
     placed = placed.withColumn("mix_number", F.col("mix_number") + F.col("mix_before")).withColumn("mix_block", F.floor(F.col("mix_number") / block_rows).cast("long"))
     found = placed.join(schedule, ["mix_key", "mix_block"])
-    return found.select(*[F.col(f"mix_doc.`{n}`") for n in names], "mix_source", "mix_phase", "mix_slot", (F.col("mix_number") % block_rows).cast("int").alias("mix_row"))
+    return found.select(*[F.col(c).alias(n) for n, c in numbers.items()], "mix_source", "mix_phase", "mix_slot", (F.col("mix_number") % block_rows).cast("int").alias("mix_row"))
