@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.language import identify_languages
 from quire.llm.licenses import scan_licenses
+from quire.llm.merkle import check_proofs, leaf_digest, merkle_manifest, proof_digest
 from quire.llm.mixing import mix_sources
 from quire.llm.packing import pack_documents
 from quire.llm.pii import KINDS, joined, personal_data
@@ -112,3 +113,65 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_fusion")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+# ---- manifest --------------------------------------------------------------------------------------------------------
+
+
+def crc32_sql(x: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII letters, bit by bit."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda y: ascii(y)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
+def manifest_sql(levels: int = 10) -> str:
+    """Trees of up to 8 ** levels leaves, with a step of the proof for each level."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def tree(name: str, first: str) -> list[str]:
+        parts = [f"{name}0 AS ({first})"]
+        for i in range(levels):
+            parts.append(
+                f"{name}{i + 1} AS (SELECT t, i // 8 AS i, CASE WHEN max(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, CASE WHEN max(n) = 1 THEN '' ELSE string_agg(h, '' ORDER BY i) END AS kids, (max(n) + 7) // 8 AS n FROM {name}{i} GROUP BY t, i // 8)"
+            )
+        return parts
+
+    def walk(name: str, start: str) -> str:
+        """before0, after0 and so on: the siblings at each level, null where the tree was through."""
+        at = lambda i: f"CAST(({start} // {8**i}) % 8 AS BIGINT) * 64"
+        return ", ".join(f"{name}{i + 1}.kids[1:{at(i)}] AS {name}_before{i}, {name}{i + 1}.kids[{at(i)} + 65:] AS {name}_after{i}, {name}{i + 1}.kids <> '' AS {name}_has{i}" for i in range(levels))
+
+    def joins(name: str, key: str, start: str) -> str:
+        return " ".join(f"JOIN {name}{i + 1} ON {name}{i + 1}.t = {key} AND {name}{i + 1}.i = {start} // {8 ** (i + 1)}" for i in range(levels))
+
+    def folds(first: str) -> list[str]:
+        steps, column, source = [], first, "p"
+        for name in ("a", "b"):
+            for i in range(levels):
+                steps.append(f"{first}_{name}{i} AS (SELECT * EXCLUDE ({column}), CASE WHEN {name}_has{i} THEN sha256({name}_before{i} || {column} || {name}_after{i}) ELSE {column} END AS {column} FROM {source})")
+                source = f"{first}_{name}{i}"
+        return steps
+
+    siblings = " || ".join(f"{name}_before{i} || {name}_after{i}" for name in ("a", "b") for i in range(levels))
+    parts = [
+        f"""d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {leaf("text")} END AS moved FROM documents)""",
+        "l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        *tree("a", "SELECT t, i, leaf AS h, n FROM l"),
+        *tree("b", f"SELECT 0 AS t, t - 1 AS i, h, (SELECT count(DISTINCT t) FROM l) AS n FROM a{levels}"),
+        f"p AS (SELECT l.doc_id, l.leaf, l.moved, a{levels}.h AS subroot, b{levels}.h AS root, {walk('a', 'l.i')}, {walk('b', '(l.t - 1)')} FROM l {joins('a', 'l.t', 'l.i')} {joins('b', '0', '(l.t - 1)')})",
+        *folds("moved"),
+    ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256({siblings}) AS proof_sha256, moved AS folded_root, moved = root AS verified FROM moved_b{levels - 1}"
+
+
+@query("op11_merkle_manifest", manifest_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(chosen, leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lowered]))
+    proofs = merkle_manifest(docs, also={"tampered": tampered}).proofs
+    checked = check_proofs(proofs.withColumn("found", F.coalesce("tampered", "leaf")), "found")
+    return checked.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
