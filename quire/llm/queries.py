@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.chats import chat_digests, format_chats, read_chats
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.language import identify_languages
 from quire.llm.licenses import scan_licenses
@@ -175,3 +176,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     proofs = merkle_manifest(docs, also={"tampered": tampered}).proofs
     checked = check_proofs(proofs.withColumn("found", F.coalesce("tampered", "leaf")), "found")
     return checked.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+# ---- conversations ---------------------------------------------------------------------------------------------------
+
+#: A conversation whose texts hold the template's own marks and its escape.
+MARKED = r"\### Assistant: </turn> ok"
+_TIE = "sha256(strlen(role) || ':' || role || text)"
+
+
+@query(
+    "op12_chat_formatting",
+    rf"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        UNION ALL SELECT -7, 0, 'user', '{MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{MARKED}'),
+    t AS (SELECT *, {_TIE} AS tie, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256, CAST(sum(length(learnt)) AS BIGINT) AS loss_chars,
+           sha256(string_agg(learnt, '' ORDER BY turn NULLS FIRST, tie)) AS loss_sha256,
+           CAST(sum(length('### : </turn>' || chr(10)) + length(regexp_replace(role, '(\\|:|</turn>)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|</turn>)', '\\\1', 'g'))
+               + coalesce(list_sum(list_transform(regexp_extract_all(role, '#+') || regexp_extract_all(text, '#+'), lambda x: greatest(length(x) - 2, 0))), 0)) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
+    return chat_digests(read_chats(format_chats(turns)))
