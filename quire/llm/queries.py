@@ -16,6 +16,7 @@ from quire.llm.merkle import check_proofs, leaf_digest, merkle_manifest, proof_d
 from quire.llm.mixing import mix_sources
 from quire.llm.packing import pack_documents
 from quire.llm.pii import KINDS, joined, personal_data
+from quire.llm.prefixes import prefix_trie
 from quire.llm.quality import quality_scores
 from quire.llm.simhash import simhash_components
 from quire.llm.suffixes import repeated_strings
@@ -203,3 +204,28 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
     return chat_digests(read_chats(format_chats(turns)))
+
+
+@query(
+    "op13_conversation_trie",
+    rf"""
+    WITH w AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT conv_id, {_TIE} AS tie, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TIE}) AS k FROM w),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS first, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM w)),
+    r AS (
+        SELECT c.conv_id, 0 AS part, k, tie, words FROM c JOIN t ON t.conv_id = c.first WHERE k <= h
+        UNION ALL SELECT conv_id, 1, k, tie, words FROM c JOIN t USING (conv_id) WHERE k > h),
+    p AS (SELECT conv_id, row_number() OVER o AS d, string_agg(tie, '') OVER o AS path, words FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY part, k)),
+    s AS (SELECT conv_id, d, sha256(path) AS node, words FROM p UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+    u AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS up, max(d) OVER (PARTITION BY conv_id) AS n FROM s),
+    m AS (SELECT node, d, any_value(up) AS up, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM u GROUP BY node, d),
+    k AS (SELECT up, count(*) AS n_children FROM m GROUP BY up),
+    f AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN k ON k.up = m.node),
+    b AS (SELECT u.node, sum((f.n_convs - 1) * f.words) AS saved_tokens, count_if(f.n_children = 0) AS n_leaves FROM f JOIN u ON u.conv_id = f.conv_id AND u.d <= f.d GROUP BY u.node)
+    SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, g.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+    FROM f JOIN b ON b.node = f.node LEFT JOIN f g ON g.node = f.up
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie(table(spark, sf_dir, "conversations"), group=20, shared=shared)
