@@ -76,11 +76,8 @@ class ByteEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()
 
 
-_SEGMENTS = "conv_id long, turn long, tie string, learnt boolean, role_ids array<int>, text_ids array<int>"
-
-
 def _encode(path: str, learn: tuple[str, ...]):
-    """Ids of role and text, each by itself, wherever the row happens to be."""
+    """Ids of role and text, each by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, roles = ByteEncoder.of(path), {}
@@ -96,8 +93,9 @@ def _encode(path: str, learn: tuple[str, ...]):
                             roles.clear()
                         roles[role] = encoder.encode(escape(role, role=True))
                 texts = [encoder.encode(escape(t)) for t in part.column("text").to_pylist()]
-                columns = [part.column("conv_id"), part.column("turn"), part.column("tie"), pa.array([r in learn for r in said]), pa.array([roles.get(r) or encoder.encode(escape(r, role=True)) for r in said], pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "tie", "learnt", "role_ids", "text_ids"])
+                kept = ["conv_id", "turn", "scan_row", "scan_part"]
+                columns = [*[part.column(c) for c in kept], pa.array([r in learn for r in said]), pa.array([roles.get(r) or encoder.encode(escape(r, role=True)) for r in said], pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "learnt", "role_ids", "text_ids"])
 
     return run
 
@@ -154,13 +152,12 @@ def format_chats(conversations: DataFrame, learn: tuple[str, ...] = ("assistant"
     empty, and an empty text is a turn without text. Rows without a conv_id belong to no conversation and are left out. Other columns are not read.
     An empty table gives an empty result. Texts over 65536 code points are encoded in pieces of so many.
 
-    Texts are encoded where they are read. Turns are then dealt out by ranges of conversation and turn, so that a conversation of any length is split;
-    places within a conversation are added up over pieces.
+    Turns are dealt out by ranges of conversation and turn, so that a conversation of any length is split, and encoded there; places within a
+    conversation are added up over pieces.
     """
-    path = vocabulary or default_path()
-    coded = turn_rows(conversations).mapInArrow(_encode(path, learn), _SEGMENTS)
-    dealt = deal(coded, ["conv_id"], ["turn", "tie"])
-    turns = stage(dealt.mapInArrow(_assemble, _TURNS), "turns")
+    encode = _encode(vocabulary or default_path(), learn)
+    dealt = deal(turn_rows(conversations), ["conv_id"], ["turn", "tie"])
+    turns = stage(dealt.mapInArrow(lambda batches: _assemble(encode(batches)), _TURNS), "turns")
     before = carry(turns, ["conv_id"], turn_no=("count", F.col("n_tokens")), token_start=("sum", F.col("n_tokens")))
     found = put_behind(turns, ["conv_id"], before, turn_no="count", token_start="sum")
     return found.select("conv_id", "turn", (F.col("turn_no") - 1).alias("turn_no"), (F.col("token_start") - F.col("n_tokens")).alias("token_start"), "ids", "loss_mask")
