@@ -1,13 +1,9 @@
-"""Run logs as streams: stale runs, idempotent starts, monotone progress, files that stop growing, upserts of the latest state."""
+"""Run logs as streams: stale runs, idempotent starts, progress by window, states handed on, upserts of the latest state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sessions(beats: DataFrame, key: str = "run_id", at: str = "ts", gap: str = "15 minutes", late: str = "15 minutes") -> DataFrame:
@@ -25,23 +21,6 @@ def progress_by_window(events: DataFrame, key: str, at: str, value: str, size: s
     return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), key).agg(F.max(value).alias("progress"), F.count("*").alias("events")).select(key, F.col("w.start").alias("from"), "progress", "events")
 
 
-def _settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    size, polls, done = state.get if state.exists else (-1, 0, False)
-    for frame in frames:
-        for n in frame.sort_values("ts")["size"]:
-            polls = polls + 1 if n == size and n > 0 else 1
-            size = int(n)
-    if not done and polls >= 2:
-        done = True
-        yield pd.DataFrame({"path": [key[0]], "size": [size]})
-    state.update((size, polls, done))
-
-
-def settled_files(polls: DataFrame) -> DataFrame:
-    """Files whose size was the same in two polls one after another, once each. polls: path, ts, size (a stream)."""
-    return polls.groupBy("path").applyInPandasWithState(_settle, "path string, size long", "size long, polls long, done boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def linked_states(events: DataFrame, links: DataFrame) -> DataFrame:
     """Events of image runs with the book run they belong to and the status that it takes on. links: image_run_id, book_run_id (static)."""
     status = F.when(F.col("status").isin("completed", "ready"), "completed").when(F.col("status").isin("failed", "stale"), "needs_attention").when(F.col("status") == "paused", "paused").otherwise("drawing")

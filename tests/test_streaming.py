@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from quire.streaming import runs
+from quire.streaming import keyed, runs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -40,10 +40,10 @@ def test_repeated_starts_are_dropped(spark, tmp_path):
 
 
 def test_settled_files(spark, tmp_path):
-    pytest.importorskip("pandas")
+    pytest.importorskip("google.protobuf")
     schema = "path string, ts timestamp, size long"
     source = stream(spark, tmp_path, [[("f", at(0), 10), ("g", at(0), 1)], [("f", at(1), 20), ("g", at(1), 1)], [("f", at(2), 20)], [("f", at(3), 20)]], schema)
-    assert sorted((r.path, r["size"]) for r in drain(runs.settled_files(source), "settled").collect()) == [("f", 20), ("g", 1)]
+    assert sorted((r.path, r["size"]) for r in drain(keyed.settled_files(source, clock="event"), "settled").collect()) == [("f", 20), ("g", 1)]
 
 
 def test_progress_windows(spark, tmp_path):
