@@ -220,18 +220,33 @@ def chapter_sketches(spark, d):
 _STEPS_SQL = " + ".join(f"CAST(char_count >= {s} AS BIGINT)" for s in P.STEPS)
 
 
+_SAID_INDEX = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'x' WHEN 2 THEN CAST(chapter_idx + 1 AS {text}) ELSE CAST(chapter_idx AS {text}) END AS chapter_index"
+_SAID_ID = "CASE WHEN o_orderkey % 3 = 0 THEN 'ch-' || chapter_idx ELSE '' END AS chapter_id"
+_SAID_FIRST = ["doc_id", "shard", "3 - chapter_idx % 4 AS pos", _SAID_INDEX, _SAID_ID, "CASE WHEN o_orderkey % 7 = 0 THEN 'many' ELSE CAST(o_orderkey % 11 AS {text}) END AS spread_count"]
+_SAID_AGAIN = ["doc_id", "shard", "7 - chapter_idx % 4 AS pos", _SAID_INDEX, _SAID_ID, "CAST(o_orderkey % 9 AS {text}) AS spread_count"]
+
+
+def _said(columns: list[str], text: str) -> list[str]:
+    return [c.format(text=text) for c in columns]
+
+
 @query(
     "plan_shards",
     f"""WITH c AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS chapter_idx, CAST(o_totalprice / 10 AS BIGINT) AS char_count, o_orderkey FROM orders),
-    s AS (SELECT *, chapter_idx // 4 AS shard, chapter_idx // 4 % 2 = 0 AS answered FROM c)
-    SELECT doc_id, chapter_idx, shard, CASE WHEN answered THEN CASE WHEN o_orderkey % 4 = 3 THEN 3 ELSE least(8, greatest(1, o_orderkey % 11)) END ELSE least(8, 1 + {_STEPS_SQL}) END AS spread_count, NOT answered AS fell_back FROM s WHERE shard % 2 = 1 OR shard IN (SELECT shard FROM s x WHERE x.doc_id = s.doc_id AND x.o_orderkey % 4 <> 3)
-    UNION ALL SELECT doc_id, chapter_idx, shard, least(8, 1 + {_STEPS_SQL}), true FROM s WHERE shard % 2 = 0 AND shard NOT IN (SELECT shard FROM s x WHERE x.doc_id = s.doc_id AND x.o_orderkey % 4 <> 3)""",
+    s AS (SELECT *, chapter_idx // 4 AS shard, least(8, 1 + {_STEPS_SQL}) AS own FROM c),
+    p AS (SELECT {", ".join(_said(_SAID_FIRST, "VARCHAR"))} FROM s WHERE shard % 2 = 0 AND o_orderkey % 4 <> 3 UNION ALL SELECT {", ".join(_said(_SAID_AGAIN, "VARCHAR"))} FROM s WHERE shard % 2 = 0 AND o_orderkey % 4 <> 3),
+    q AS (SELECT s.*, (SELECT arg_min(spread_count, pos) FROM p WHERE p.doc_id = s.doc_id AND p.shard = s.shard AND p.chapter_index = CAST(s.chapter_idx AS VARCHAR)) AS by_index,
+          (SELECT arg_min(spread_count, pos) FROM p WHERE p.doc_id = s.doc_id AND p.shard = s.shard AND p.chapter_id = 'ch-' || s.chapter_idx) AS by_id,
+          (SELECT arg_min(spread_count, pos) FROM p WHERE p.doc_id = s.doc_id AND p.shard = s.shard AND p.pos = s.chapter_idx % 4) AS by_place, NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.shard = s.shard) AS fell_back FROM s)
+    SELECT doc_id, chapter_idx, shard, CASE WHEN said IS NULL THEN own ELSE greatest(1, least(8, said)) END AS spread_count, fell_back FROM (SELECT *, TRY_CAST(coalesce(by_index, by_id, by_place) AS BIGINT) AS said FROM q)""",
 )
 def plan_shards(spark, d):
     at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), at.cast("long").alias("chapter_idx"), F.round(F.col("o_totalprice") / 10).cast("long").alias("char_count"), F.lit(1).alias("paragraph_count"), "o_orderkey").withColumn("shard", F.floor(F.col("chapter_idx") / 4).cast("long"))
-    said = rows.where("shard % 2 = 0 AND o_orderkey % 4 <> 3").select("doc_id", "shard", "chapter_idx", (F.col("o_orderkey") % 11).cast("string").alias("spread_count"))
-    return P.plan_by_shard(rows.drop("shard", "o_orderkey"), said).select("doc_id", "chapter_idx", "shard", "spread_count", "fell_back")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), at.cast("long").alias("chapter_idx"), F.round(F.col("o_totalprice") / 10).cast("long").alias("char_count"), F.lit(1).alias("paragraph_count"), "o_orderkey")
+    answered = rows.withColumn("shard", F.floor(F.col("chapter_idx") / 4).cast("long")).where("shard % 2 = 0 AND o_orderkey % 4 <> 3")
+    said = [answered.selectExpr(*_said(what, "STRING")) for what in (_SAID_FIRST, _SAID_AGAIN)]
+    chapters = rows.drop("o_orderkey").withColumn("chapter_id", F.concat(F.lit("ch-"), F.col("chapter_idx").cast("string")))
+    return P.plan_by_shard(chapters, said[0].unionByName(said[1])).select("doc_id", "chapter_idx", "shard", "spread_count", "fell_back")
 
 
 @query("polish_candidates", f"WITH {PAGES} SELECT doc_id, spread_id, '' AS chapter_title, {clip_sql('caption', 260, '…')} AS caption, {clip_sql('source_excerpt', 900, '…')} AS source_excerpt, {clip_sql('caption', 900, '…')} AS scene_text FROM pages")
@@ -406,7 +421,7 @@ def epub_files(spark, d):
     return sinks.epub_books(books).select("doc_id", F.octet_length("epub").alias("n_bytes"), F.sha2("epub", 256).alias("epub_sha256"))
 
 
-@query("review_lines", rf"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, left(regexp_replace(strip_accents(line), '[^\x20-\x7E]', '?', 'g'), 92) AS line, pos // 34 AS review_page FROM lines")
+@query("review_lines", rf"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, left(list_aggregate(list_transform(string_split(line, ''), lambda c: CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN c WHEN strip_accents(c) <> c THEN strip_accents(c) || '?' ELSE '?' END), 'string_agg', ''), 92) AS line, pos // 34 AS review_page FROM lines")
 def review_lines(spark, d):
     return sinks.review_pages(lines(spark, d).withColumn("line_no", F.col("pos"))).select("doc_id", "pos", "line", "review_page")
 
@@ -425,10 +440,22 @@ def wide_slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", T.slug(title, fold=True).alias("slug"))
 
 
-@query("page_lines", f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, lang IN ('zh', 'ja') OR regexp_matches(lower(lang), 'zh|ch|cn|ja|jp') AS cjk, 'N' || pos || ' as a recurring picture-book character with a stable outfit, ' || ({list(T.ACCENTS)!r})[CAST(pos % {len(T.ACCENTS)} AS INTEGER) + 1] || ' accent color, readable silhouette, and clear facial expression.' AS described FROM lines")
+_LINE_NAME = "CASE pos % 7 WHEN 0 THEN 'Mira' WHEN 1 THEN 'grandpa' WHEN 2 THEN 'NIKO' ELSE 'N' || pos END"
+_ACCENT = f"({list(T.ACCENTS)!r})[CAST(pos % {len(T.ACCENTS)} AS INTEGER) + 1]"
+_KNOWN_SAID = " ".join(f"WHEN '{n}' THEN '{said}'" for n, (said, _) in T.KNOWN_LOOKS.items())
+_KNOWN_ANCHORS = " ".join(f"WHEN '{n}' THEN '{', '.join(anchors)}'" for n, (_, anchors) in T.KNOWN_LOOKS.items())
+
+
+@query(
+    "page_lines",
+    f"""WITH {LINES}, n AS (SELECT *, {_LINE_NAME} AS name FROM lines)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, lang IN ('zh', 'ja') OR regexp_matches(lower(lang), 'zh|ch|cn|ja|jp') AS cjk,
+           CASE lower(name) {_KNOWN_SAID} ELSE name || ' as a recurring picture-book character with a stable outfit, ' || {_ACCENT} || ' accent color, readable silhouette, and clear facial expression.' END AS described,
+           CASE lower(name) {_KNOWN_ANCHORS} ELSE 'stable silhouette, ' || {_ACCENT} || ' color accent, clear facial expression' END AS anchors FROM n""",
+)
 def page_lines(spark, d):
-    named = T.description(F.concat(F.lit("N"), F.col("pos").cast("string")), F.col("pos"))
-    return lines(spark, d).select("doc_id", "pos", T.expects_cjk(F.col("lang")).alias("cjk"), named.alias("described"))
+    name, pos = F.expr(_LINE_NAME), F.col("pos")
+    return lines(spark, d).select("doc_id", "pos", T.expects_cjk(F.col("lang")).alias("cjk"), T.description(name, pos).alias("described"), F.array_join(T.visual_anchors(name, pos), ", ").alias("anchors"))
 
 
 # ---- options, replies and logs over whole tables ---------------------------------------------------------------------
@@ -483,3 +510,64 @@ def caption_fixes(spark, d):
     pages = docs.select(F.col("doc_id").cast("string").alias("spread_id"), F.concat(F.lit("caption "), F.col("doc_id").cast("string")).alias("caption"), F.lit(None).cast("string").alias("original_caption"), F.lit("ready").alias("image_status"))
     fixes = docs.select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 300).cast("string").alias("id"), F.concat(F.lit('"fixed  '), F.col("doc_id").cast("string"), F.lit('"')).alias("caption"))
     return merge.apply_corrections(pages, fixes).select("spread_id", "caption", "original_caption", "image_status")
+
+
+# ---- outcomes, recovery and states handed on --------------------------------------------------------------------------
+
+
+@query(
+    "settle_outcomes",
+    """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, CASE WHEN event_id % 7 > 0 THEN nullif(CAST(floor(value / 20) AS BIGINT), 0) END AS size FROM events),
+    w AS (SELECT *, last_value(size IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts, size NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(ts) OVER (PARTITION BY path) AS began FROM p),
+    o AS (SELECT *, CASE WHEN ts > began + INTERVAL 12 HOUR THEN CASE WHEN before IS NULL THEN 'timeout' ELSE 'timeout_with_file' END WHEN size = before THEN 'settled' END AS outcome FROM w)
+    SELECT path, coalesce(CASE outcome WHEN 'settled' THEN size ELSE before END, 0) AS size, outcome FROM o WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts, outcome = 'settled') = 1""",
+)
+def settle_outcomes(spark, d):
+    size = F.when(F.col("event_id") % 7 > 0, F.floor(F.col("value") / 20).cast("long"))
+    polls = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), size.alias("size"))
+    return runs.settle_outcomes(polls, "12 HOURS")
+
+
+@query(
+    "handed_on_states",
+    """WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'stale' ELSE 'running' END AS status FROM events)
+    SELECT user_id % 5 AS book_run_id, event_id, CASE status WHEN 'completed' THEN 'ready_for_revision' WHEN 'failed' THEN 'failed' ELSE 'drawing' END AS status, CASE WHEN status = 'running' THEN least(98, 20 + CAST(floor(event_id % 101 * 0.78 + 0.5) AS BIGINT)) ELSE 100 END AS progress FROM e WHERE status <> 'stale'""",
+)
+def handed_on_states(spark, d):
+    events = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "stale").otherwise("running")
+    links = events.select(F.col("user_id").alias("image_run_id"), (F.col("user_id") % 5).alias("book_run_id")).distinct()
+    found = runs.handed_on(events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ts"), status.alias("status"), (F.col("event_id") % 101).alias("progress")), links)
+    return found.select("book_run_id", F.col("ts").alias("event_id"), "status", "progress")
+
+
+@query(
+    "recover_as_of",
+    f"""WITH {_RUNS}, f AS (SELECT CAST(user_id AS VARCHAR) AS project_path, '/x/f' || event_id || '.png' AS path, ts AS mtime FROM events WHERE event_id % 6 > 0),
+    g AS (SELECT project_path, mtime, min(path) AS path FROM f GROUP BY ALL), t AS (SELECT *, created_at + to_minutes(5 * (id % 7)) AS upto FROM r),
+    n AS (SELECT t.*, g.mtime, g.path FROM t ASOF LEFT JOIN g ON g.project_path = t.project_path AND g.mtime <= t.upto),
+    l AS (SELECT id, max(mtime) AS mtime, arg_min(path, (-epoch_us(mtime), path)) AS path FROM (SELECT t.id, t.upto, unnest(['/x/f' || (id - id % 13) || '.png', '/x/f' || (id + 1) || '.png']) AS path FROM t) JOIN f USING (path) WHERE mtime <= upto GROUP BY id),
+    b AS (SELECT n.*, l.mtime AS log_mtime, l.path AS log_path, coalesce(l.mtime >= created_at - INTERVAL 60 SECOND AND (n.mtime IS NULL OR l.mtime >= n.mtime), false) AS from_log FROM n LEFT JOIN l USING (id))
+    SELECT id AS run_id, CASE WHEN from_log THEN log_path WHEN mtime >= created_at - INTERVAL 60 SECOND THEN path END AS path, from_log FROM b""",
+)
+def recover_as_of(spark, d):
+    file = lambda k: F.concat(F.lit("/x/f"), k.cast("string"), F.lit(".png"))
+    k = F.col("event_id")
+    files = table(spark, d, "events").select(F.col("user_id").cast("string").alias("project"), file(k).alias("path"), F.col("ts").cast("timestamp").alias("mtime"), F.when(k % 6 > 0, 10).otherwise(0).alias("size"))
+    log = F.concat(F.lit("saved "), file(F.col("id") - F.col("id") % 13), F.lit(", then ("), file(F.col("id") + 1), F.lit(")."))
+    asked = _runs(spark, d).select(F.col("id").alias("run_id"), F.col("project_path").alias("project"), F.col("created_at").alias("started"), (F.col("created_at") + F.expr("INTERVAL 5 MINUTES") * (F.col("id") % 7)).alias("at"), log.alias("log"))
+    return work.recover_as_of(asked, files)
+
+
+@query(
+    "changed_pages",
+    f"""WITH {PAGES}, n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND page_number % 11 = 5 THEN chapter_idx + 1 ELSE chapter_idx END AS chapter_idx, spread_id, caption, CASE WHEN doc_id % 10 = 3 AND page_number % 7 = 2 THEN NULL ELSE asset_path END AS asset_path FROM pages WHERE NOT (doc_id % 10 = 6 AND page_number % 5 = 1)),
+    o AS (SELECT doc_id, chapter_idx, spread_id, caption, asset_path FROM pages WHERE NOT (doc_id % 10 = 9 AND page_number % 4 = 0))
+    SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.chapter_idx, n.chapter_idx) AS chapter_idx, coalesce(o.spread_id, n.spread_id) AS spread_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.chapter_idx = n.chapter_idx AND o.spread_id = n.spread_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.caption <> n.caption OR o.asset_path IS DISTINCT FROM n.asset_path""",
+)
+def changed_pages(spark, d):
+    pages, touched = line_pages(spark, d), F.col("doc_id") % 10 == 3
+    moved = F.when(touched & (F.col("page_number") % 11 == 5), F.col("chapter_idx") + 1).otherwise(F.col("chapter_idx"))
+    new = pages.where("NOT (doc_id % 10 = 6 AND page_number % 5 = 1)").withColumns({"chapter_idx": moved, "asset_path": F.when(~(touched & (F.col("page_number") % 7 == 2)), F.col("asset_path"))})
+    return merge.changed_pages(pages.where("NOT (doc_id % 10 = 9 AND page_number % 4 = 0)"), new, ["caption", "asset_path"])

@@ -28,12 +28,12 @@ def clamp(x: Column, low: int, high: int) -> Column:
     return F.least(F.lit(high).cast("long"), F.greatest(F.lit(low).cast("long"), rounded))
 
 
-def spread_count(x: Column, fallback: int = 3, low: int = 1, high: int = 8) -> Column:
-    """A page count option: text that is no number, or none at all, gives the fallback; blank text counts as 0."""
+def spread_count(x: Column, fallback: int = 3, low: int = 1, high: int = 8, instead: Column | None = None) -> Column:
+    """A page count option: text that is no number, or none at all, gives the fallback, or ``instead``; blank text counts as 0."""
     text = F.trim(x.cast("string"))
     number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
     valid = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
-    return F.when(valid, clamp(number, low, high)).otherwise(clamp(F.lit(fallback), low, high))
+    return F.when(valid, clamp(number, low, high)).otherwise(clamp(F.lit(fallback) if instead is None else instead, low, high))
 
 
 def flag(x: Column, default: bool = False) -> Column:

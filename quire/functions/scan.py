@@ -16,6 +16,7 @@ _KINDS = {
     "max": (F.max, F.max, F.max, lambda before, inside: F.greatest(before, inside)),
     "min": (F.min, F.min, F.min, lambda before, inside: F.least(before, inside)),
     "xor": (F.bit_xor, F.bit_xor, F.bit_xor, lambda before, inside: F.coalesce(before, F.lit(0)).bitwiseXOR(F.coalesce(inside, F.lit(0)))),
+    "previous": (lambda c: F.last(c, ignorenulls=True), lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("scan_row"))), lambda c: F.last(c, ignorenulls=True), lambda before, inside: F.coalesce(inside, before)),
     "last": (lambda c: F.last(c, ignorenulls=True), lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("scan_row"))), lambda c: F.last(c, ignorenulls=True), lambda before, inside: F.coalesce(inside, before)),
 }
 
@@ -60,12 +61,12 @@ def put_behind(values: DataFrame, by: list[str], carried: DataFrame, **columns:
 def scan(rows: DataFrame, by: list[str], order: list[str], **columns: tuple[str, Column]) -> DataFrame:
     """``rows`` with running values, each over the group's rows up to and including this one in this order.
 
-    columns: name = (kind, column); kinds are count (of non-null values), sum, max, min, xor (whole numbers) and last (the last non-null value).
-    Nulls come first in the order, and a null key is a group of its own. Rows equal in all of ``order`` are taken in some order, each once.
+    columns: name = (kind, column); kinds are count (of non-null values), sum, max, min, xor (whole numbers), last (the last non-null value) and
+    previous (the last non-null value of the rows before this one). Nulls come first in the order, and a null key is a group of its own. Rows equal in all of ``order`` are taken in some order, each once.
     Pieces are written and folded by themselves, each behind what the pieces before it hand on. An empty table gives an empty result. Names that
     start with ``scan_`` are taken.
     """
     dealt = stage(deal(rows, by, order), "scan")
-    inside = Window.partitionBy("scan_part", *by).orderBy("scan_row").rowsBetween(Window.unboundedPreceding, 0)
-    values = dealt.select("*", *[_KINDS[kind][0](c).over(inside).alias(f"scan_in_{n}") for n, (kind, c) in columns.items()])
+    inside = lambda kind: Window.partitionBy("scan_part", *by).orderBy("scan_row").rowsBetween(Window.unboundedPreceding, -1 if kind == "previous" else 0)
+    values = dealt.select("*", *[_KINDS[kind][0](c).over(inside(kind)).alias(f"scan_in_{n}") for n, (kind, c) in columns.items()])
     return put_behind(values, by, carry(dealt, by, **columns), **{n: kind for n, (kind, _) in columns.items()})

@@ -34,6 +34,20 @@ COMMON_ENGLISH = (
 ).split()
 ACTION_VERBS = "ran jumped opened found fell climbed followed placed picked looked said".split()
 EMOTION_WORDS = "afraid happy sad promised wondered laughed smiled cried curious".split()
+KNOWN_LOOKS = {
+    "mira": (
+        "Mira is a young child with dark bobbed hair, a small red hair clip, a yellow raincoat, a teal striped shirt, red rain boots, and a warm curious expression.",
+        ("dark bobbed hair", "red hair clip", "yellow raincoat", "teal striped shirt", "red rain boots"),
+    ),
+    "grandpa": (
+        "Grandpa is a kind elderly figure with soft white hair, round glasses, a gentle moustache, a deep teal cardigan, and a red umbrella.",
+        ("white hair", "round glasses", "deep teal cardigan", "red umbrella", "kind smile"),
+    ),
+    "niko": (
+        "Niko is a friendly small green frog with a bottle-cap hat, bright eyes, and a serious but gentle expression.",
+        ("small green frog", "bottle-cap hat", "bright eyes", "serious gentle expression"),
+    ),
+}
 ACCENTS = ("coral red", "deep teal", "warm gold", "soft blue-green", "moss green", "paper cream")
 
 
@@ -278,9 +292,21 @@ def visual_intent(c: Column, index: Column, count: Column) -> Column:
     return F.when(index == 0, "establishing").when(index == count - 1, "resolution").when(words(ACTION_VERBS), "action").when(words(EMOTION_WORDS), "emotion").otherwise("story-beat")
 
 
+def _accent(rank: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, ACCENTS)), (rank % len(ACCENTS) + 1).cast("int"))
+
+
 def description(name: Column, rank: Column) -> Column:
-    accent = F.element_at(F.array(*map(F.lit, ACCENTS)), (rank % len(ACCENTS) + 1).cast("int"))
-    return F.concat(name, F.lit(" as a recurring picture-book character with a stable outfit, "), accent, F.lit(" accent color, readable silhouette, and clear facial expression."))
+    """What a character looks like: as told for the known ones, else a general sentence with an accent colour by rank."""
+    told = F.create_map(*[F.lit(x) for n, (said, _) in KNOWN_LOOKS.items() for x in (n, said)])
+    general = F.concat(name, F.lit(" as a recurring picture-book character with a stable outfit, "), _accent(rank), F.lit(" accent color, readable silhouette, and clear facial expression."))
+    return F.coalesce(F.try_element_at(told, F.lower(name)), general)
+
+
+def visual_anchors(name: Column, rank: Column) -> Column:
+    """What stays the same in every picture of a character: an array."""
+    told = F.create_map(*[x for n, (_, anchors) in KNOWN_LOOKS.items() for x in (F.lit(n), F.array(*map(F.lit, anchors)))])
+    return F.coalesce(F.try_element_at(told, F.lower(name)), F.array(F.lit("stable silhouette"), F.concat(_accent(rank), F.lit(" color accent")), F.lit("clear facial expression")))
 
 
 def paragraphs(c: Column) -> Column:

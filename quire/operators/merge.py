@@ -134,3 +134,41 @@ def chapter_narrative(pages: DataFrame) -> DataFrame:
 def image_fingerprint(pages: DataFrame) -> DataFrame:
     """A digest of each document's image states, to tell whether a change touched any. pages: spread_id, page_number, asset_path, image_status."""
     return pages.groupBy("doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("page_number", "spread_id", "asset_path", "image_status")))), 256).alias("fingerprint"))
+
+
+def fingerprints(pages: DataFrame, of: list[str]) -> dict[str, DataFrame]:
+    """Digests of the columns ``of`` by page (doc_id, chapter_idx, spread_id), by chapter and by book, each of a level made of those below it.
+
+    A chapter's digest is the number and the exclusive or of its pages' digests, which hold their ids, and so is a book's of its chapters': no list of pages is made.
+    """
+    said = F.sha2(F.to_json(F.struct("spread_id", *of), {"ignoreNullFields": "false"}), 256)
+    half = lambda at: F.conv(F.substring("digest", at, 16), 16, -10).cast("long")
+    page = pages.select("doc_id", "chapter_idx", "spread_id", said.alias("digest"))
+    levels = {"page": page}
+    for name, by, key in (("chapter", ["doc_id", "chapter_idx"], "chapter_idx"), ("book", ["doc_id"], "doc_id")):
+        below = levels["page" if name == "chapter" else "chapter"]
+        summed = below.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(half(1)).alias("a"), F.bit_xor(half(17)).alias("b"))
+        levels[name] = summed.select(*by, F.sha2(F.concat_ws(":", F.col(key).cast("string"), "n", "a", "b"), 256).alias("digest"))
+    return levels
+
+
+def changed_pages(old: DataFrame, new: DataFrame, of: list[str]) -> DataFrame:
+    """doc_id, chapter_idx, spread_id, change: pages that were added, removed or changed (in the columns ``of``) between two versions, by levels of digests.
+
+    Only chapters of books that differ are compared, and only pages of chapters that differ. Both versions have one row for each page; a page that moves to
+    another chapter is removed from one and added to the other.
+    """
+    was, now = fingerprints(old, of), fingerprints(new, of)
+
+    def differing(level: str, by: list[str], within: DataFrame | None, on: list[str]) -> DataFrame:
+        sides = []
+        for version, name in ((was, "old_digest"), (now, "new_digest")):
+            rows = version[level].withColumnRenamed("digest", name)
+            sides.append(rows if within is None else rows.join(within, on, "left_semi"))
+        return sides[0].join(sides[1], by, "full").where("NOT old_digest <=> new_digest")
+
+    books = differing("book", ["doc_id"], None, []).select("doc_id")
+    chapters = differing("chapter", ["doc_id", "chapter_idx"], books, ["doc_id"]).select("doc_id", "chapter_idx")
+    pages = differing("page", ["doc_id", "chapter_idx", "spread_id"], chapters, ["doc_id", "chapter_idx"])
+    change = F.when(F.col("old_digest").isNull(), "added").when(F.col("new_digest").isNull(), "removed").otherwise("changed")
+    return pages.select("doc_id", "chapter_idx", "spread_id", change.alias("change"))

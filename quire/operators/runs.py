@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.numbers import book_progress
+from quire.functions.scan import scan
+
 ACTIVE = ("queued", "running", "pausing")
 STALE_AFTER, REPEAT_WITHIN = "15 MINUTES", "12 MINUTES"
 _EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
@@ -70,19 +73,48 @@ def latest_state(log: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def monotone_progress(events: DataFrame, key: str, order: list[str], value: str, low: int = 5, high: int = 17) -> DataFrame:
-    """Progress that never falls back and stays within bounds."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("progress", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.max(value).over(w))))
+    """Progress that never falls back and stays within bounds. A run of any number of events is folded in pieces."""
+    rows = scan(events, [key], order, progress=("max", F.col(value).cast("double")))
+    return rows.withColumn("progress", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), "progress")))
 
 
 def runnable_items(items: DataFrame, flags: DataFrame) -> DataFrame:
     """Items that their run goes on with: those before which the run's last flag isn't ``paused``. An item before any flag goes on.
 
-    items: run_id, item, at. flags: run_id, status, at. One sorted pass over both by run; a flag at the time of an item comes before it.
+    items: run_id, item, at. flags: run_id, status, at. A flag at the time of an item comes before it. Both are sorted together, in pieces of a run.
     """
     both = items.select("run_id", "item", "at", F.lit(None).cast("string").alias("flag"), F.lit(1).alias("part")).unionByName(flags.select("run_id", F.lit(None).cast(items.schema["item"].dataType).alias("item"), "at", F.col("status").alias("flag"), F.lit(0).alias("part")))
-    last = F.last("flag", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("at", "part", "flag", "item").rowsBetween(Window.unboundedPreceding, 0))
-    return both.repartition("run_id").withColumn("last_flag", last).where("part = 1 AND NOT (last_flag <=> 'paused')").select("run_id", "item", "at")
+    rows = scan(both, ["run_id"], ["at", "part", "flag", "item"], last_flag=("last", F.col("flag")))
+    return rows.where("part = 1 AND NOT (last_flag <=> 'paused')").select("run_id", "item", "at")
+
+
+def settle_outcomes(polls: DataFrame, limit: str = "12 MINUTES") -> DataFrame:
+    """path, size, outcome of files that were watched by polls (path, ts, size; null or 0 without a file), as the stream ``settled_files`` says by event time.
+
+    settled: two sizes above 0, one after another, are the same within the limit from the first poll; else, at the first poll after it, timeout_with_file
+    with the last size above 0, or timeout without one. Files that still wait have no row.
+    """
+    seen = F.when(F.col("size") > 0, F.col("size").cast("long"))
+    rows = scan(polls.select("path", "ts", seen.alias("size")), ["path"], ["ts", "size"], before=("previous", F.col("size")), began=("min", F.col("ts")))
+    over = F.col("ts") > F.col("began") + F.expr(f"INTERVAL {limit}")
+    outcome = F.when(over, F.when(F.col("before").isNotNull(), "timeout_with_file").otherwise("timeout")).when(F.col("size") == F.col("before"), "settled")
+    told = rows.withColumn("outcome", outcome).where("outcome IS NOT NULL").withColumn("size", F.coalesce(F.when(F.col("outcome") == "settled", F.col("size")).otherwise(F.col("before")), F.lit(0).cast("long")))
+    return told.groupBy("path").agg(F.min_by(F.struct("size", "outcome"), F.struct("ts", F.col("outcome") == "settled")).alias("o")).select("path", "o.size", "o.outcome")
+
+
+def handed_on(events: DataFrame, links: DataFrame) -> DataFrame:
+    """What book runs take on from events of their image runs: book_run_id, ts, status, progress.
+
+    events: run_id, ts, status, progress. links: image_run_id, book_run_id. A run that is superseded or stale hands on nothing. Works on streams too.
+    """
+    rows = events.where("NOT coalesce(status IN ('superseded', 'stale'), false)").join(links, F.col("run_id") == F.col("image_run_id"))
+    return rows.select("book_run_id", "ts", *_book_state(F.col("status"), F.col("progress")))
+
+
+def _book_state(status: Column, progress: Column) -> list[Column]:
+    done = status.isin("completed", "failed")
+    state = F.when(status == "completed", "ready_for_revision").when(status == "failed", "failed").otherwise("drawing")
+    return [state.alias("status"), F.when(F.coalesce(done, F.lit(False)), F.lit(100).cast("long")).otherwise(book_progress(F.coalesce(progress, F.lit(0)))).alias("progress")]
 
 
 def request_states(events: DataFrame) -> DataFrame:

@@ -152,11 +152,20 @@ def beats(text: Column, budget: int) -> Column:
     return T.let(T.paragraphs(text), lambda x: F.when(F.size(x) >= 6, found(x)).otherwise(none))
 
 
-def first_line_number(text: Column, body: Column) -> Column:
-    """The first line that equals the body's first non-blank line; 1 if none does."""
-    first = F.get(F.filter(F.transform(F.split(body, "\n"), T.trim), lambda x: x != ""), 0)
-    at = F.array_position(F.transform(F.split(text, "\n"), T.trim), first)
-    return F.greatest(F.coalesce(at, F.lit(1)), F.lit(1)).cast("int")
+def first_line(body: Column) -> Column:
+    """The first line that isn't blank, trimmed; null without one."""
+    return F.get(F.filter(F.transform(F.split(body, "\n"), T.trim), lambda x: x != ""), 0)
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """doc_id, line_key, line_no: where each of a text's lines, trimmed, comes first, from 1. An index by digest, as short as the number of different lines."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.select("doc_id", "at", line_key(T.trim(F.col("line"))).alias("line_key")).groupBy("doc_id", "line_key").agg((F.min("at") + 1).cast("int").alias("line_no"))
+
+
+def line_key(line: Column) -> Column:
+    """128 bits of a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), F.reverse(line)).alias("b"))
 
 
 def _records(rows: DataFrame, method: Column, confidence: Column) -> DataFrame:
@@ -198,13 +207,16 @@ def split_chapters(docs: DataFrame, maps: DataFrame | None = None, budget: int =
         mapped = mapped_chapters(docs, maps.join(coarse, "doc_id", "left_anti"))
         found = found.join(mapped.select("doc_id").distinct(), "doc_id", "left_anti")
     by_heading = F.size("headings") >= 2
-    meant = beats(F.col("text"), budget)
     named = F.transform("headings", lambda h: F.struct(T.clean_heading(h["title"]).alias("title"), h["body"].alias("text"), h["line"].alias("anchor_line")))
-    rows = found.withColumn("beats", F.when(~by_heading, meant))
-    packed = F.transform(pack(F.when(F.size("beats") > 1, F.col("beats")).otherwise(T.paragraphs(F.col("text"))), budget), lambda b: F.struct(F.lit(None).cast("string").alias("title"), b.alias("text"), first_line_number(F.col("text"), b).alias("anchor_line")))
-    rows = rows.select("doc_id", F.when(by_heading, "heading").when(F.size("beats") > 1, "semantic_fallback").otherwise("length_fallback").alias("method"), F.posexplode(F.when(by_heading, named).otherwise(packed)).alias("chapter_idx", "c"))
+    found = once(found, beats=F.when(~by_heading, beats(F.col("text"), budget)))
+    packed = F.transform(pack(F.when(F.size("beats") > 1, F.col("beats")).otherwise(T.paragraphs(F.col("text"))), budget), lambda b: F.struct(F.lit(None).cast("string").alias("title"), b.alias("text"), F.lit(None).cast("int").alias("anchor_line")))
+    rows = found.select("doc_id", F.when(by_heading, "heading").when(F.size("beats") > 1, "semantic_fallback").otherwise("length_fallback").alias("method"), F.posexplode(F.when(by_heading, named).otherwise(packed)).alias("chapter_idx", "c"))
+    rows = rows.select("doc_id", "method", "chapter_idx", "c.*").withColumn("line_key", F.when(F.col("method") != "heading", line_key(first_line(F.col("text")))))
+    # a chunk without a heading is found again by its first line, in an index of the texts that have such chunks
+    places = line_places(found.where(~by_heading).select("doc_id", "text"))
+    rows = rows.join(places, ["doc_id", "line_key"], "left").withColumn("anchor_line", F.coalesce("anchor_line", "line_no", F.lit(1)))
     confidence = F.when(F.col("method") == "heading", 0.92).when(F.col("method") == "semantic_fallback", 0.62).otherwise(0.42)
-    chapters = _records(rows.select("doc_id", "method", "chapter_idx", "c.*").withColumn("split_confidence", confidence), F.col("method"), F.col("split_confidence"))
+    chapters = _records(rows.withColumn("split_confidence", confidence), F.col("method"), F.col("split_confidence"))
     chapters = repair_ordinals(chapters)
     return chapters if mapped is None else chapters.unionByName(mapped)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.scan import scan
+
 # Places in the queue, and the order of file types.
 CHARACTER_WAITING, CHARACTER_READY, FIRST_PAGE = 10, 90, 30
 RASTER_TYPES = ("png", "jpg", "jpeg", "webp")
@@ -107,3 +109,28 @@ def recover_match(runs: DataFrame, files: DataFrame, slack: str = "60 SECONDS")
     newest = files.where("mtime IS NOT NULL").groupBy("project").agg(F.max(F.struct("mtime", "path")).alias("newest"))
     recent = F.col("newest.mtime") >= F.col("started") - F.expr(f"INTERVAL {slack}")
     return runs.join(newest, "project", "left").withColumn("path", F.when(recent, F.col("newest.path"))).drop("newest").select("run_id", *[c for c in runs.columns if c != "run_id"], "path")
+
+
+def recover_as_of(runs: DataFrame, files: DataFrame, slack: str = "60 SECONDS") -> DataFrame:
+    """For each run the image to recover as of a time: run_id, path, from_log; null without one.
+
+    runs: run_id, project, started, at, log. files: project, path, mtime, size. Candidates are the files that the log names, of any project, and those of
+    the run's project; each with a size above 0, written by ``at`` and no earlier than ``started`` less the slack. The newest stands, one from the log before another
+    of its time, then the smallest path. A path that is listed more than once counts as it was written last by then.
+
+    Files and runs of a project are sorted together and the newest file is carried on in pieces, so that no project's rows need one task and no run
+    meets all files; paths from logs are looked up by path.
+    """
+    there = files.where("size > 0 AND mtime IS NOT NULL")
+    newest = F.struct("mtime", F.col("path").alias("path"))
+    events = there.groupBy("project", "mtime").agg(F.min("path").alias("path")).select("project", F.col("mtime").alias("at"), F.lit(0).alias("part"), newest.alias("newest"), F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), F.lit(None).cast(runs.schema["started"].dataType).alias("started"))
+    asked = runs.select("project", "at", F.lit(1).alias("part"), F.lit(None).cast(events.schema["newest"].dataType).alias("newest"), "run_id", "started")
+    carried = scan(events.unionByName(asked), ["project"], ["at", "part", "run_id"], newest=("last", F.col("newest"))).where("part = 1")
+    named = runs.select("run_id", F.col("at").alias("by"), F.explode(log_paths(F.col("log"))).alias("path"))
+    logged = named.join(there.select("path", "mtime"), "path").where("mtime <= by").groupBy("run_id", "path").agg(F.max("mtime").alias("mtime"))
+    logged = logged.groupBy("run_id").agg(F.max("mtime").alias("log_mtime"), F.min_by("path", F.struct(-F.unix_micros("mtime"), "path")).alias("log_path"))
+    late = F.col("started") - F.expr(f"INTERVAL {slack}")
+    both = carried.join(logged, "run_id", "left")
+    from_log = (F.col("log_mtime") >= late) & F.coalesce(F.col("log_mtime") >= F.col("newest.mtime"), F.lit(True))
+    path = F.when(from_log, F.col("log_path")).when(F.col("newest.mtime") >= late, F.col("newest.path"))
+    return both.select("run_id", path.alias("path"), F.coalesce(from_log, F.lit(False)).alias("from_log"))

@@ -53,17 +53,24 @@ def chapter_sketches(chapters: DataFrame) -> DataFrame:
 
 
 def plan_by_shard(chapters: DataFrame, proposals: DataFrame, size: int = 4, low: int = 1, high: int = 8) -> DataFrame:
-    """Proposed page counts where a shard of ``size`` chapters has them, heuristic ones for the whole of a shard that has none; ``fell_back`` tells which.
+    """Proposed page counts of chapters in shards of ``size``, heuristic ones where nothing valid is proposed; ``fell_back`` tells where a shard had no answer.
 
-    chapters: doc_id, chapter_idx, char_count, paragraph_count. proposals: doc_id, shard, chapter_idx, spread_count, of shards that were answered; the
-    first of a chapter stands. A chapter that its shard's answer leaves out gets three pages.
+    chapters: doc_id, chapter_idx, chapter_id, char_count, paragraph_count. proposals: doc_id, shard, pos (from 0, within the shard's answer), chapter_index,
+    chapter_id, spread_count (all three text) and of shards that were answered. A chapter gets the first proposal of its shard with its index, else the first with its id,
+    else the one at its place within the shard. A count that is no number, or none, is the heuristic one.
     """
-    rows = chapters.withColumn("shard", F.floor(F.col("chapter_idx") / size).cast("long"))
-    answered = proposals.select("doc_id", "shard").distinct().withColumn("answered", F.lit(True))
-    said = proposals.groupBy("doc_id", "chapter_idx").agg(F.min("spread_count").alias("said"))
-    rows = rows.join(answered, ["doc_id", "shard"], "left").join(said, ["doc_id", "chapter_idx"], "left")
-    pages = F.when(F.col("answered"), N.spread_count(F.col("said"), 3, low, high)).otherwise(heuristic_count(F.col("char_count"), F.col("paragraph_count"), low, high))
-    return rows.select(*chapters.columns, "shard", pages.alias("spread_count"), F.col("answered").isNull().alias("fell_back"))
+    heuristic = heuristic_count(F.col("char_count"), F.col("paragraph_count"), low, high)
+    rows = chapters.withColumns({"shard": F.floor(F.col("chapter_idx") / size).cast("long"), "place": (F.col("chapter_idx") % size).cast("long")})
+    number = F.trim("chapter_index").try_cast("double")
+    said = proposals.select("doc_id", "shard", F.col("pos").cast("long").alias("place"), F.when(number == F.floor(number), number.cast("long")).alias("chapter_idx"), F.nullif("chapter_id", F.lit("")).alias("chapter_id"), F.struct("spread_count").alias("said"))
+    found, keys = rows, ["doc_id", "shard"]
+    for n, by in enumerate(("chapter_idx", "chapter_id", "place")):
+        first = said.where(F.col(by).isNotNull()).groupBy(*keys, by).agg(F.min_by("said", "place").alias(f"said_{n}"))
+        found = found.join(first, [*keys, by], "left")
+    answered = said.select(*keys).distinct().withColumn("answered", F.lit(True))
+    found = found.join(answered, keys, "left")
+    pages = N.spread_count(F.coalesce("said_0", "said_1", "said_2")["spread_count"], 3, low, high, heuristic)
+    return found.select(*chapters.columns, "shard", F.when(F.col("answered"), pages).otherwise(heuristic).alias("spread_count"), F.col("answered").isNull().alias("fell_back"))
 
 
 def plan_mode(option: Column, has_provider: Column) -> Column:

@@ -35,10 +35,10 @@ def snapshot(table: DataFrame, path: str, version: str) -> str:
     return f"{path}/version={version}"
 
 
-def ascii_fold(c: Column) -> Column:
-    """Printable ASCII of the text's NFKD, at most 92 letters. Marks of letters go; each other UTF-16 unit becomes a question mark."""
-    wide = F.regexp_replace(F.regexp_replace(T.decomposed(c), r"\p{M}+", ""), r"[\x{10000}-\x{10FFFF}]", "??")
-    return F.substring(F.regexp_replace(wide, r"[^\x20-\x7E]", "?"), 1, LINE_LETTERS)
+def ascii_fold(c: Column, marks: str = "?") -> Column:
+    """Printable ASCII of the text's NFKD, at most 92 letters: each other UTF-16 unit becomes a question mark, marks of letters too; ``marks=""`` drops these."""
+    plain = T.decomposed(c) if marks == "?" else F.regexp_replace(T.decomposed(c), r"\p{M}+", marks)
+    return F.substring(F.regexp_replace(F.regexp_replace(plain, r"[\x{10000}-\x{10FFFF}]", "??"), r"[^\x20-\x7E]", "?"), 1, LINE_LETTERS)
 
 
 def review_pages(lines: DataFrame, by: str = "doc_id", order: str = "line_no") -> DataFrame:

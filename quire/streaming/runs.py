@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.runs import _book_state
+
 
 def sessions(beats: DataFrame, key: str = "run_id", at: str = "ts", gap: str = "15 minutes", late: str = "15 minutes") -> DataFrame:
     """Sessions of heartbeats; a run whose session ended is stale from then on. Works on streams and tables alike."""
@@ -27,6 +29,19 @@ def linked_states(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(links, F.col("run_id") == F.col("image_run_id")).select("book_run_id", "ts", status.alias("book_status"))
 
 
+def propagated(events: DataFrame, links: DataFrame, late: str = "10 minutes", within: str = "1 day") -> DataFrame:
+    """What book runs take on from their image runs, both streams: book_run_id, ts, status, progress. To be merged by ``append_latest``.
+
+    events: run_id, ts, status, progress (of image runs). links: image_run_id, book_run_id, linked_at (from book runs). A link and an event meet whichever
+    comes first, if the event is at most ``late`` before the link and at most ``within`` after it; what is older than that by the watermarks leaves the state.
+    Repeated events (same run, time and status) count once; events later than ``late`` are left out.
+    """
+    seen = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "ts", "status"])
+    known = links.withWatermark("linked_at", late)
+    rows = seen.where("NOT coalesce(status IN ('superseded', 'stale'), false)").join(known, F.expr(f"run_id = image_run_id AND ts >= linked_at - INTERVAL {late} AND ts <= linked_at + INTERVAL {within}"))
+    return rows.select("book_run_id", "ts", *_book_state(F.col("status"), F.col("progress")))
+
+
 def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
@@ -84,9 +99,11 @@ def append_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_latest(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
-    """The latest row by key of what ``append_latest`` wrote: the newest snapshot and the batches after it."""
+def read_latest(spark: SparkSession, path: str, key: str, order: str, like: str | None = None) -> DataFrame:
+    """The latest row by key of what ``append_latest`` wrote: the newest snapshot and the batches after it. No rows, of the schema ``like``, before the first batch."""
     whole, batches = _folders(spark, path, "whole"), _folders(spark, path, "batch")
     newest = max(whole, default=-1)
     parts = ([whole[newest]] if whole else []) + [p for n, p in sorted(batches.items()) if n > newest]
+    if not parts:
+        return spark.createDataFrame([], like or f"{key} string, {order} string")
     return _latest(spark.read.parquet(*parts), key, order)
