@@ -19,6 +19,7 @@ from importlib import resources
 from itertools import islice
 from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,27 +143,35 @@ class Runs:
         return out
 
     def _best(self, grams: list, low: int, high: int, i: int) -> Iterator[tuple[float, int, int]]:
-        """(Dice, first bigram, last bigram) of the best run, then of the best before and after it.
+        """(Dice, first bigram, last bigram) of the best run, then of the best before and after it; of equal ones the first start and then the shortest.
 
-        Runs start and end with bigrams of the template. Where there are over 300 such bigrams, runs start at 300 to 600 of them.
+        Runs start and end with bigrams of the template, and every such start is tried that has enough of them within the longest run that can match. A
+        place adds to what a run has in common unless the run has the template's number of that bigram already, that is, unless it starts at or before the place as
+        many of them back; so each start is one comparison and one running sum over the places.
         """
         parts = [(low, high)]
         template, size, (least, most) = self.known[i][1], self.known[i][1].total(), self.bounds[i]
         while parts:
             low, high = parts.pop()
-            at = [k for k in range(low, high) if grams[k] in template]
+            places = [k for k in range(low, high) if grams[k] in template]
+            if len(places) < least:
+                continue
+            seen: dict[tuple[str, str], list[int]] = {}
+            full = np.empty(len(places), np.int64)
+            for j, k in enumerate(places):
+                before = seen.setdefault(grams[k], [])
+                n = template[grams[k]]
+                full[j] = before[-n] if len(before) >= n else -1
+                before.append(j)
+            at = np.array(places)
+            ends = np.searchsorted(at, at + most)
             best = (0.0, 0, 0)
-            for x in range(0, len(at) - least + 1, max(1, len(at) // 300)):
-                seen: Counter = Counter()
-                both = 0
-                for k in at[x:]:
-                    if k - at[x] >= most:
-                        break
-                    seen[grams[k]] += 1
-                    both += seen[grams[k]] <= template[grams[k]]
-                    score = 2 * both / (k - at[x] + 1 + size)
-                    if score > best[0]:
-                        best = (score, at[x], k)
+            for x in np.flatnonzero(ends - np.arange(len(at)) >= least).tolist():
+                e = ends[x]
+                scores = 2 * np.cumsum(full[x:e] < x) / (at[x:e] - at[x] + 1 + size)
+                k = int(scores.argmax())
+                if scores[k] > best[0]:
+                    best = (float(scores[k]), places[x], places[x + k])
             if best[0] >= self.least:
                 yield best
                 parts += [(low, best[1]), (best[2] + 1, high)]
