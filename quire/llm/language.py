@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.rows import once
 from quire.llm.staging import look_up, stage, text_or_empty
 
 _CELLS = 1 << 16
@@ -88,36 +89,42 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["lang", "counts"])
 
 
-def _sample(labelled: DataFrame, train_rows: int, most_languages: int) -> DataFrame:
-    """lang, text and held: about ``train_rows`` labelled rows, picked by a hash; one in five is held out where a language has more than 64."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if sum(sizes.values()) > train_rows:
-        left, rates = train_rows, {}
-        for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
-            take = min(n, max(1, left // (len(sizes) - i)))
-            left -= take
-            # below 64 rows all are taken, so chance leaves no language out
-            rates[lang] = 1 << 20 if n <= 64 else min(1 << 20, -(-(1 << 20) * max(take, 64) // n))
-        rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < rate)
-    many = [lang for lang, n in sizes.items() if n > 64]
-    held = F.col("lang").isin(*many) & (F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(5)) == 0) if many else F.lit(False)
-    return rows.select("lang", F.col("text").cast("binary").alias("text"), held.alias("held"))
-
-
-def train_text_model(labelled: DataFrame, train_rows: int = 6000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by cell. A hash of doc_id picks about ``train_rows`` of all labelled rows, shared out evenly.
-
-    Every language has an equal share of the sample, or all its rows if they are fewer; what these leave goes to the others. Rows held out for
-    calibration aren't counted.
+def _sample(labelled: DataFrame, train_rows: int) -> DataFrame:
+    """lang, text and held: about ``train_rows`` labelled rows (and 64 of each language), picked by a hash; one in five is held out where a language has more than 64.
+
+    An equal share is taken of every language, or all its rows if they are fewer; what these leave goes to the others. The table is read twice: for the sizes, a
+    row for each language, and for the rows, which are written.
     """
-    rows = _sample(labelled, train_rows, most_languages).where("NOT held").select("lang", "text")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    whole, left, rates = 1 << 20, train_rows, {}
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, max(1, left // (len(sizes) - i)))
+        left = max(0, left - take)
+        # below 64 rows all are taken, so chance leaves no language out
+        rates[lang] = whole if n <= 64 or sum(sizes.values()) <= train_rows else min(whole, -(-whole * max(take, 64) // n))
+    if not rates:
+        return stage(rows.select("lang", F.col("text").cast("binary").alias("text"), F.lit(False).alias("held")), "sample")
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+    many = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, n > 64)]), F.col("lang"))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(whole)) < rate)
+    held = many & (F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(5)) == 0)
+    return stage(rows.select("lang", F.col("text").cast("binary").alias("text"), held.alias("held")), "sample")
+
+
+def train_text_model(labelled: DataFrame, train_rows: int = 6000) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities by cell, of a bounded sample of all labelled rows (see ``_sample``). Rows held out for calibration aren't counted."""
+    return _text_model(_sample(labelled, train_rows))
+
+
+def _text_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    rows = sample.where("NOT held").select("lang", "text")
     found = rows.mapInArrow(_count, "lang string, counts binary").repartition("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").collect()
-    counts = np.array([np.frombuffer(f.counts, np.int64) for f in found], np.float64).reshape(-1, _CELLS)
-    return [f.lang for f in found], np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * _CELLS))
+    logs = np.empty((len(found), _CELLS))
+    for i, f in enumerate(found):  # a row of the model at a time, whose size is that of its languages
+        counts = np.frombuffer(f.counts, np.int64) + 0.5
+        logs[i] = np.log(counts / counts.sum())
+    return [f.lang for f in found], logs
 
 
 #: Lengths of windows, in trigrams, by which the text's evidence is calibrated, and the weights that are tried.
@@ -137,16 +144,20 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def _losses(names: list[str], logs: np.ndarray):
+    known = {name: i for i, name in enumerate(names)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((len(_LENGTHS), len(_TEMPERS))), np.zeros(len(_LENGTHS), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 cells = trigrams(text.as_py())
+                if lang not in known:
+                    continue
                 for i, length in enumerate(_LENGTHS):
                     # up to four windows, evenly over the whole text
                     for at in sorted({(len(cells) - length) * j // 3 for j in range(4)}) if len(cells) >= length else []:
                         s = _log_likelihood(logs, cells[at : at + length])
-                        total[i] += _log_sum(s[:, None] * _TEMPERS) - s[names.index(lang)] * _TEMPERS
+                        total[i] += _log_sum(s[:, None] * _TEMPERS) - s[known[lang]] * _TEMPERS
                         n[i] += 1
         rows = [(i, t, total[i, t], n[i]) for i in range(len(_LENGTHS)) for t in range(len(_TEMPERS)) if n[i]]
         if rows:
@@ -155,12 +166,16 @@ def _losses(names: list[str], logs: np.ndarray):
     return run
 
 
-def calibrate(labelled: DataFrame, names: list[str], logs: np.ndarray, temper: float, train_rows: int = 6000, most_languages: int = 64) -> np.ndarray:
+def calibrate(labelled: DataFrame, names: list[str], logs: np.ndarray, temper: float, train_rows: int = 6000) -> np.ndarray:
     """The weight of a trigram's log likelihood by length of text: of ``_TEMPERS`` the one with the least loss on windows of held-out documents.
 
     Longer texts never get a larger weight than shorter ones. Lengths of which there are no windows take the next shorter one's weight, or ``temper``.
     """
-    held = _sample(labelled, train_rows, most_languages).where(F.col("held") & F.col("lang").isin(*names)).select("lang", "text")
+    return _calibrate(_sample(labelled, train_rows), names, logs, temper)
+
+
+def _calibrate(sample: DataFrame, names: list[str], logs: np.ndarray, temper: float) -> np.ndarray:
+    held = sample.where("held").select("lang", "text")
     losses = held.mapInArrow(_losses(names, logs), "length int, temper int, loss double, n long").groupBy("length", "temper").agg(F.sum("loss").alias("loss")).collect()  # a row for each length and weight
     out, last = np.zeros(len(_LENGTHS)), None
     for i in range(len(_LENGTHS)):
@@ -181,7 +196,8 @@ def _posteriors(logs: np.ndarray, tempers: np.ndarray):
                 out[i] = _log_likelihood(logs, cells) * tempers[max(0, int(np.searchsorted(_LENGTHS, len(cells), side="right")) - 1)]
             out = np.exp(out - out.max(1, keepdims=True, initial=-1e300))
             out = 0.999 * out / out.sum(1, keepdims=True) + 0.001 / len(logs)  # no page is certain by its text
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["page_id", "host", "declared", "html_bytes", *[f"p{k}" for k in range(len(logs))]])
+            places = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(logs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(places, pa.array(out.ravel()))], names=["page_id", "host", "declared", "html_bytes", "p"])
 
     return run
 
@@ -196,51 +212,61 @@ def identify_languages(pages: DataFrame, labelled: DataFrame, train_rows: int =
 
     labelled: doc_id, text, lang. Null or empty pages have no text evidence, a missing declaration or address is no evidence;
     with nothing at all a page gets its host's or the crawl's commonest language. Ties go to the language first by name. Rows without a
-    page_id take no part; repeated rows are returned as often. Without labelled rows lang is the declared one, with confidence 0.
+    page_id take no part; repeated rows are returned as often. Any number of languages is told apart; the model has half a megabyte for each. Other
+    columns of both tables are not read, and pages of any length are read to their end. Without labelled rows lang is the declared one, with confidence 0.
     An empty table gives an empty result. smooth: pages that a parent's distribution counts for. temper: weight of a trigram's
     log likelihood where no labelled documents are held out to calibrate it; below 1, because trigrams overlap. evidence: what counts beside the text.
     """
     html = text_or_empty(pages, "html")
     host = F.lower(F.regexp_extract(F.coalesce(pages["url"].cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), declared_language(html).alias("declared"), F.octet_length(html).cast("long").alias("html_bytes"), html.cast("binary").alias("html"))
-    names, logs = train_text_model(labelled, train_rows)
+    sample = _sample(labelled, train_rows)
+    names, logs = _text_model(sample)
     if not names:
         return rows.select("page_id", F.col("declared").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
     n = len(names)
-    ps = [f"p{k}" for k in range(n)]
-    tempers = calibrate(labelled, names, logs, temper, train_rows)
-    scored = stage(rows.mapInArrow(_posteriors(logs, tempers), "page_id long, host string, declared string, html_bytes long, " + ", ".join(f"{p} double" for p in ps)), "posteriors")
+    tempers = _calibrate(sample, names, logs, temper)
+    scored = stage(rows.mapInArrow(_posteriors(logs, tempers), "page_id long, host string, declared string, html_bytes long, p array<double>"), "posteriors")
     scored = scored.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    summed = F.array(*[F.sum(F.get("p", k)) for k in range(n)])
 
     def sums(key: str) -> DataFrame:
-        return stage(scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{key}_n"), *[F.sum(p).alias(f"{key}_{p}") for p in ps]), f"by-{key}")
+        return stage(scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{key}_n"), summed.alias(f"{key}_p")), f"by-{key}")
 
-    whole = scored.agg(F.count("*").alias("n"), *[F.sum(p).alias(p) for p in ps], F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
-    mass = [float(whole[p] or 0.0) for p in ps]
+    whole = scored.agg(F.count("*").alias("n"), summed.alias("p"), F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
+    mass = [float(x or 0.0) for x in whole.p]
     share = [(m + 1.0) / (sum(mass) + n) for m in mass]
     joined = scored
     for key in ("declared", "suffix", "domain", "host"):
         joined = look_up(joined, sums(key), [key], f"{key}_n", whole.n, ["page_id"])
 
-    def own(key: str, k: int) -> Column:
-        return F.greatest(F.coalesce(F.col(f"{key}_p{k}"), F.lit(0.0)) - F.col(f"p{k}"), F.lit(0.0))
+    none = F.array_repeat(F.lit(0.0), n)
+    constants = lambda values: F.array(*map(F.lit, values))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def own(key: str) -> Column:
+        """A key's sums without the page's own share."""
+        return F.zip_with(F.coalesce(f"{key}_p", none), "p", lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
-    def likelihood(key: str, k: int) -> Column:
+    def likelihood(key: str) -> Column:
+        """The log likelihood of a page's value by language; 0 without one."""
         if key not in evidence:
-            return F.lit(0.0)
-        seen = (own(key, k) + 0.5) / (mass[k] + 0.5 * (whole[key] + 1))
-        return F.when(F.col(key).isNull() | (F.col(key) == ""), F.lit(0.0)).otherwise(F.log(seen))
-
-    def prior(k: int) -> Column:
-        if "host" not in evidence:
-            return F.lit(share[k])
-        total = lambda key: sum((own(key, j) for j in range(n)), F.lit(0.0))
-        domain = (own("domain", k) + smooth * share[k]) / (total("domain") + smooth)
-        return (own("host", k) + smooth * domain) / (total("host") + smooth)
-
-    score = F.array(*[F.log(F.col(f"p{k}")) + likelihood("declared", k) + 0.5 * likelihood("suffix", k) + F.log(prior(k)) for k in range(n)])
-    known = F.array(*map(F.lit, names))
+            return none
+        seen = F.zip_with(own(key), constants([m + 0.5 * (whole[key] + 1) for m in mass]), lambda a, m: F.log((a + 0.5) / m))
+        return F.when(F.col(key).isNull() | (F.col(key) == ""), none).otherwise(seen)
+
+    joined = once(joined, by_declared=likelihood("declared"), by_suffix=likelihood("suffix"))
+    if "host" in evidence:
+        joined = once(joined, own_host=own("host"), own_domain=own("domain"))
+        joined = once(joined, total_host=total(F.col("own_host")), total_domain=total(F.col("own_domain")))
+        domain = F.zip_with("own_domain", constants(share), lambda a, s: (a + smooth * s) / (F.col("total_domain") + smooth))
+        prior = F.zip_with("own_host", domain, lambda a, d: (a + smooth * d) / (F.col("total_host") + smooth))
+    else:
+        prior = constants(share)
+    text = F.zip_with("p", "by_declared", lambda p, x: F.log(p) + x)
+    score = F.zip_with(F.zip_with(text, "by_suffix", lambda a, x: a + 0.5 * x), prior, lambda a, x: a + F.log(x))
+    known = constants(names)
     first = lambda values: F.element_at(known, F.array_position(values, F.array_max(values)).cast("int"))
-    found = joined.withColumn("s", score).withColumn("top", F.array_max("s"))
+    found = once(joined, s=score).withColumn("top", F.array_max("s"))
     confidence = 1 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return found.select("page_id", first(F.col("s")).alias("lang"), confidence.alias("confidence"), first(F.array(*ps)).alias("text_lang"), "declared", "host")
+    return found.select("page_id", first(F.col("s")).alias("lang"), confidence.alias("confidence"), first(F.col("p")).alias("text_lang"), "declared", "host")
