@@ -23,12 +23,12 @@ def test_a_shard_is_matched_by_index_then_id_then_place(spark):
     said = [
         (1, 0, 0, "9", "ch-3", "10"),  # by id for 3, which also has the first place's neighbour
         (1, 0, 1, "2", "", "9"), (1, 0, 2, "2", "", "10"),  # the first of two by index
-        (1, 0, 3, None, None, None), (1, 0, 0, "x", "ch-9", "5"),
+        (1, 0, 3, None, None, None), (1, 0, 4, "x", "ch-9", "5"),
     ]
     got = {r.chapter_idx: (r.spread_count, r.fell_back) for r in P.plan_by_shard(chapters, spark.createDataFrame(said, "doc_id int, shard long, pos long, chapter_index string, chapter_id string, spread_count string")).collect()}
     assert got[2] == (8, False) and got[3] == (8, False)  # "9" and "10" are over the most; the first stands
     assert got[1] == (8, False)  # by place: that of index 2
-    assert got[0] == (1, False)  # its place's proposal has no number
+    assert got[0] == (8, False)  # by place
     assert {i: got[i] for i in range(4, 8)} == {4: (4, True), 5: (4, True), 6: (4, True), 7: (5, True)}
 
 
