@@ -75,15 +75,14 @@ def _unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndar
 
 
 def products(q: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """q @ x.T of whole numbers as int64. most: what no sum of a product's absolute terms exceeds."""
+    """q @ x.T of whole numbers as int64, or the nearest to it but the smallest. most: what no sum of a product's absolute terms exceeds."""
     if most < _EXACT:
         return np.rint(q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
     if most < 1 << 62:
         return q.astype(np.int64) @ x.astype(np.int64).T
     exact = q.astype(object) @ x.astype(object).T
-    if exact.size and (max(exact.max(), -exact.min()) >= 1 << 62):
-        raise OverflowError("an inner product is beyond 62 bits")
-    return exact.astype(np.int64)
+    bound = np.iinfo(np.int64).max
+    return np.minimum(np.maximum(exact, -bound), bound).astype(np.int64)
 
 
 _NONE = np.iinfo(np.int64).min
@@ -158,7 +157,7 @@ def _search(k: int, part: int, tile: int, fan_in: int):
 
 
 def whole_numbers(vector: Column) -> Column:
-    """floor(64 x) of each component as a long; null unless all are finite."""
+    """floor(64 x) of each component as a long, or the nearest long; null unless all are finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 64).cast("long")))
 
@@ -169,8 +168,8 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 20, query_block:
     vectors: vec_id and embedding; other columns are not read. queries: which rows are queries. Ties go to the smaller vec_id. Rows with a null
     vec_id, a null vector, or a null or non-finite component take no part. Vectors are compared with those of their own length, and empty ones
     with none. Every row is a candidate, repeated ones too, each for itself; rows that repeat a query word for word ask once, and rows of one vec_id with
-    different vectors share one list, of the best of all their pairs. With fewer than k others, all are returned. Products are exact; one beyond
-    62 bits is an error. An empty table gives an empty result.
+    different vectors share one list, of the best of all their pairs. With fewer than k others, all are returned. Products are exact where they, and
+    the components times 64, are longs; others are the nearest long, and so tie. Names of other columns don't matter. An empty table gives an empty result.
 
     query_block: queries to a block and to a tile. block: candidates to a tile. group_bytes: of a group's vectors as 8-byte numbers, at most about.
     """
