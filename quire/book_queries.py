@@ -51,8 +51,9 @@ ORACLES["character_review"] = f"WITH {_CANDIDATES} SELECT * FROM r"
 _ACCENTS = list(T.ACCENTS)
 _CARDS = rf"""WITH {_CANDIDATES}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY review_score DESC, score DESC, count DESC, lower(name), name DESC) AS INTEGER) AS rank FROM r WHERE status = 'approved' QUALIFY rank <= 10)
     SELECT doc_id, rank, coalesce(nullif(substring(regexp_replace(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'character-' || rank) AS id, name, aliases, count AS source_mentions,
-           name || ' as a recurring picture-book character with a stable outfit, ' || ({_ACCENTS!r})[(rank - 1) % {len(_ACCENTS)} + 1] || ' accent color, readable silhouette, and clear facial expression.' AS description, 'needs_generation' AS reference_status FROM k
-    UNION ALL SELECT doc_id, 1, 'protagonist', 'Protagonist', 'Protagonist', 0, 'A gentle recurring protagonist designed with a stable outfit and warm expression.', 'needs_generation' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
+           name || ' as a recurring picture-book character with a stable outfit, ' || ({_ACCENTS!r})[(rank - 1) % {len(_ACCENTS)} + 1] || ' accent color, readable silhouette, and clear facial expression.' AS description, 'needs_generation' AS reference_status,
+           'stable silhouette,' || ({_ACCENTS!r})[(rank - 1) % {len(_ACCENTS)} + 1] || ' color accent,clear facial expression' AS visual_anchors FROM k
+    UNION ALL SELECT doc_id, 1, 'protagonist', 'Protagonist', 'Protagonist', 0, 'A gentle recurring protagonist designed with a stable outfit and warm expression.', 'needs_generation', '{','.join(entities.GENERIC_ANCHORS)}' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
 ORACLES["characters"] = _CARDS
 _SIGNS = " + ".join(f"least(4, len(regexp_extract_all(low, '\\b{s}\\b')))" for s in entities.EPISODIC_SIGNALS)
 _SUMMARY = rf"""WITH {_CANDIDATES}, n AS (SELECT doc_id, least(count(*) FILTER (status = 'approved'), 10) AS a, count(*) FILTER (status = 'rejected') AS j, count(*) FILTER (status = 'review') AS v FROM r GROUP BY doc_id),

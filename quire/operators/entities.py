@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.rows import once
 
 # Word lists and patterns of the review rules.
 PHRASE = rf"{T.B0}[A-Z][a-z]{{2,}}(?:\s+(?:of\s+|the\s+)?[A-Z][a-z]{{2,}}){{1,2}}{T.B1}"
@@ -34,6 +35,7 @@ CAST = (
     ("Mock Turtle", ("Mock Turtle",), 40), ("Queen", ("Queen", "Queen of Hearts"), 45), ("King", ("King", "King of Hearts"), 20), ("Caterpillar", ("Caterpillar",), 45), ("Gryphon", ("Gryphon",), 20), ("Duchess", ("Duchess",), 20),
     ("Dormouse", ("Dormouse",), 20), ("Dinah", ("Dinah",), 5),
 )
+GENERIC_ANCHORS = ("stable outfit", "warm expression", "simple silhouette")
 CAST_SIGNALS = ("Alice", "White Rabbit", "Cheshire Cat", "Hatter", "March Hare", "Queen of Hearts", "Caterpillar")
 CAST_TITLE = rf"{T.B0}alice{T.B1}|wonderland"
 EPISODIC_TITLE = rf"{T.B0}(how to|win friends|influence people|effective speaking|self[-\s]?help|principles?){T.B1}"
@@ -46,8 +48,81 @@ def exact_name(names: tuple[str, ...] | list[str]) -> str:
     return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(n, special_only=True) for n in ordered) + r")(?![\p{L}\p{N}])"
 
 
-def name_pattern(name: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}])"))
+def _folded(text: str) -> str:
+    """Letters that differ by case only are the same, each in one place as before."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Cast:
+    """An automaton of the names of several people: all of them are found in one pass over a text."""
+
+    def __init__(self, people: list[list[str]]) -> None:
+        """people: the names of each."""
+        self.n, self.automaton, having = len(people), ahocorasick.Automaton(), {}
+        for i, names in enumerate(people):
+            for name in {_folded(n) for n in names if n}:
+                having.setdefault(name, []).append(i)
+        for name, who in having.items():
+            self.automaton.add_word(name, (len(name), who))
+        self.empty = not having
+        if having:
+            self.automaton.make_automaton()
+
+    def places(self, text: str) -> list[list[tuple[int, int]]]:
+        """For each person where a name of theirs stands as a whole word: (start, end), overlapping ones too."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
+        if self.empty:
+            return out
+        low = _folded(text)
+        for last, (size, who) in self.automaton.iter(low):
+            start, end = last + 1 - size, last + 1
+            if (start and low[start - 1].isalnum()) or (end < len(low) and low[end].isalnum()):
+                continue
+            for i in who:
+                out[i].append((start, end))
+        return out
+
+    def counts(self, text: str) -> list[int]:
+        """How often each person is named. Of places that overlap the longest counts, then the first; each name is looked for after itself only."""
+        return [count_ranges(found) for found in self.places(text)]
+
+    def named(self, text: str) -> list[bool]:
+        return [bool(found) for found in self.places(text)]
+
+
+def count_ranges(places: list[tuple[int, int]]) -> int:
+    """The number of places that are kept: longest first, then by start, those that overlap none that is kept."""
+    kept: list[tuple[int, int]] = []
+    for start, end in sorted(set(places), key=lambda p: (p[0] - p[1], p[0])):
+        at = bisect_left(kept, (start, end))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            kept.insert(at, (start, end))
+    return len(kept)
+
+
+_NAMED: dict[tuple, Cast] = {}
+
+
+def _cast(people: tuple[tuple[str, ...], ...]) -> Cast:
+    """The automaton of a cast, kept while texts of the same document follow one another."""
+    if people not in _NAMED:
+        if len(_NAMED) >= 64:
+            _NAMED.clear()
+        _NAMED[people] = Cast([list(p) for p in people])
+    return _NAMED[people]
+
+
+def name_counts(docs: DataFrame, people: list[tuple[str, ...]]) -> DataFrame:
+    """``docs`` (doc_id, text) with counts: how often each of ``people``, by any of their names, is named in the text. One pass for all of them."""
+    known = tuple(tuple(p) for p in people)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [_cast(known).counts(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "counts"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, counts array<bigint>")
 
 
 def count_names(text: Column, names: tuple[str, ...]) -> Column:
@@ -55,8 +130,10 @@ def count_names(text: Column, names: tuple[str, ...]) -> Column:
 
 
 def uses_cast(title: Column, text: Column) -> Column:
-    hits = sum((F.when(count_names(text, (s,)) > 0, 1).otherwise(0) for s in CAST_SIGNALS), F.lit(0))
-    return F.lower(T.text(title)).rlike(CAST_TITLE) | ((hits >= 3) & text.rlike(rf"(?<![\p{{L}}\p{{N}}_])Alice(?![\p{{L}}\p{{N}}_])"))
+    hits = sum((F.when(text.rlike(exact_name((s,))), 1).otherwise(0) for s in CAST_SIGNALS), F.lit(0))
+    # a plain search comes first, and few texts get as far as the patterns
+    named = F.when(F.contains(text, F.lit("Alice")), text.rlike(rf"(?<![\p{{L}}\p{{N}}_])Alice(?![\p{{L}}\p{{N}}_])") & (hits >= 3)).otherwise(False)
+    return F.lower(T.text(title)).rlike(CAST_TITLE) | named
 
 
 def is_episodic(title: Column, text: Column) -> Column:
@@ -89,8 +166,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, name, aliases, count, score, source for docs (doc_id, title, text)."""
     text = T.text(F.col("text"))
     with_cast = docs.where(uses_cast(F.col("title"), text))
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, a)).alias("aliases"), count_names(text, a).alias("count"), F.lit(p).alias("priority")) for n, a, p in CAST])
-    cast = with_cast.select("doc_id", F.explode(rows).alias("c")).select("doc_id", "c.*").where("count > 0")
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, a)).alias("aliases"), F.lit(p).alias("priority")) for n, a, p in CAST])
+    counted = name_counts(with_cast.select("doc_id", text.alias("text")), [(n, *a) for n, a, _ in CAST])
+    cast = counted.select("doc_id", F.explode(F.arrays_zip(known.alias("known"), "counts")).alias("c")).select("doc_id", "c.known.*", F.col("c.counts").alias("count")).where("count > 0")
     cast = cast.select("doc_id", "name", "aliases", "count", (F.col("count") + F.col("priority")).alias("score"), F.lit("canonical").alias("source"))
     phrases = phrase_counts(docs).join(cast.select("doc_id", "name"), ["doc_id", "name"], "left_anti")
     phrases = phrases.select("doc_id", "name", F.array("name").alias("aliases"), "count", F.col("count").alias("score"), F.lit("title-phrase").alias("source"))
@@ -117,6 +195,8 @@ _ACTS_BEFORE = regex.compile(rf"(?<![a-z0-9_])(?:{ACTIONS})\s+(?:to\s+|at\s+|wit
 _HONOURED = regex.compile(rf"(?<![a-z0-9_])(?:{HONORIFICS})\.?\s+$")
 
 
+#: What a text must have for any name in it to get points, in lower case: an action word or an honorific.
+_CUES = rf"(?<![a-z0-9_])(?:{ACTIONS}|{HONORIFICS})(?![a-z0-9_])"
 _LETTERS = regex.compile(r"[^\W_]+")
 
 
@@ -162,11 +242,15 @@ def context_score(name: str, text: str) -> int:
 def review(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Candidates with context, review_score, status (approved, review or rejected) and reason; the first rule that holds decides."""
     found = candidates(docs) if found is None else found
-    names = found.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", T.text(F.col("text")).alias("text")).join(names, "doc_id").select("doc_id", "text", "names").mapInArrow(_context, f"doc_id {kind}, scores array<struct<name:string,context:bigint>>")
-    rows = found.join(scored.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.*"), ["doc_id", "name"])
-    rows = rows.join(docs.select("doc_id", T.text(F.col("text")).rlike(rf"{T.B0}New\s+York{T.B1}").alias("has_new_york")), "doc_id")
+    text = T.text(F.col("text"))
+    facts = docs.select("doc_id", text.rlike(rf"{T.B0}New\s+York{T.B1}").alias("has_new_york"))
+    # points need an action word or an honorific next to a name: texts without any have none, and go nowhere
+    cued = docs.where(F.lower(text).rlike(_CUES)).select("doc_id", text.alias("text"))
+    names = found.join(cued.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    scored = cued.join(names, "doc_id").select("doc_id", "text", "names").mapInArrow(_context, f"doc_id {kind}, scores array<struct<name:string,context:bigint>>")
+    rows = found.join(scored.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.*"), ["doc_id", "name"], "left")
+    rows = rows.withColumn("context", F.coalesce("context", F.lit(0).cast("long"))).join(facts, "doc_id")
     plain = F.lower(T.trim(F.regexp_replace("name", "[’‘]", "'")))
     several = F.col("name").rlike(r"\s")
     place = plain.isin(*PLACES) | ((plain == "new") & F.col("has_new_york")) | F.col("name").rlike(f"{T.B0}(?:{PLACE_PHRASES}){T.B1}")
@@ -187,12 +271,17 @@ def review(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 
 def characters(docs: DataFrame, reviewed: DataFrame, most: int = 10) -> DataFrame:
-    """The best approved candidates by document; a generic protagonist where there are none."""
+    """The best approved candidates by document, with what they look like; a generic protagonist where there are none."""
     order = [F.desc("review_score"), F.desc("score"), F.desc("count"), F.expr("name COLLATE UNICODE")]
     ranked = reviewed.where("status = 'approved'").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("rank") <= most)
-    found = ranked.select("doc_id", F.col("rank").cast("int").alias("rank"), T.slug(F.col("name"), F.concat(F.lit("character-"), F.col("rank").cast("string"))).alias("id"), "name", "aliases", F.col("count").alias("source_mentions"), T.description(F.col("name"), F.col("rank") - 1).alias("description"), F.lit("needs_generation").alias("reference_status"))
-    generic = docs.select("doc_id").distinct().join(ranked.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("rank"), F.lit("protagonist").alias("id"), F.lit("Protagonist").alias("name"), F.array(F.lit("Protagonist")).alias("aliases"), F.lit(0).cast("long").alias("source_mentions"), F.lit("A gentle recurring protagonist designed with a stable outfit and warm expression.").alias("description"), F.lit("needs_generation").alias("reference_status"))
-    return found.unionByName(generic)
+    rows = docs.select("doc_id").distinct().join(ranked.select("doc_id", "rank", "name", "aliases", "count"), "doc_id", "left")
+    own = lambda found, other: F.when(F.col("name").isNotNull(), found).otherwise(other)
+    return rows.select(
+        "doc_id", F.coalesce("rank", F.lit(1)).cast("int").alias("rank"), own(T.slug(F.col("name"), F.concat(F.lit("character-"), F.col("rank").cast("string"))), F.lit("protagonist")).alias("id"), F.coalesce("name", F.lit("Protagonist")).alias("name"),
+        F.coalesce("aliases", F.array(F.lit("Protagonist"))).alias("aliases"), F.coalesce("count", F.lit(0).cast("long")).alias("source_mentions"),
+        own(T.description(F.col("name"), F.col("rank") - 1), F.lit("A gentle recurring protagonist designed with a stable outfit and warm expression.")).alias("description"),
+        F.lit("needs_generation").alias("reference_status"), own(T.visual_anchors(F.col("name"), F.col("rank") - 1), F.array(*map(F.lit, GENERIC_ANCHORS))).alias("visual_anchors"),
+    )
 
 
 def review_summary(docs: DataFrame, reviewed: DataFrame, most: int = 10, disabled: Column | None = None) -> DataFrame:
@@ -209,17 +298,23 @@ def review_summary(docs: DataFrame, reviewed: DataFrame, most: int = 10, disable
     return rows.select("doc_id", F.when(F.col("off"), "not_used").otherwise(F.col("status")).alias("status"), F.when(F.col("off"), 0).otherwise(F.col("approved_count")).alias("approved_count"), F.when(F.col("off"), F.col("rejected_count") + F.col("approved_count") + F.col("review_count")).otherwise(F.col("rejected_count")).alias("rejected_count"), F.when(F.col("off"), 0).otherwise(F.col("review_count")).alias("review_count"))
 
 
+def _refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        refs = []
+        for text, cast in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            people = sorted(cast or [], key=lambda p: (p["rank"], p["id"]))
+            seen = _cast(tuple(tuple(p["names"]) for p in people)).named(text)
+            refs.append([p["id"] for p, here in zip(people, seen, strict=True) if here])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(refs, pa.list_(pa.string()))], names=["doc_id", "spread_id", "character_refs"])
+
+
 def references(pages: DataFrame, people: DataFrame, text: str = "source_passage") -> DataFrame:
     """doc_id, spread_id and the ids of the document's characters that the page names, by rank.
 
-    A document's characters, a short list, are joined to its pages in one equi-join and looked for page by page. A plain search comes before the
-    pattern, which would be compiled anew for each name.
+    A document's characters, a short list, are joined to its pages in one equi-join. An automaton of all their names is made once for each cast and
+    passes once over each page's text.
     """
-    folded = lambda c: F.upper(F.lower(c))  # letters that the pattern takes for one another are the same in this form
-    mine = people.select("doc_id", "rank", "id", F.explode(F.array_distinct(F.array_append("aliases", F.col("name")))).alias("alias"))
-    named = F.struct("rank", "id", folded(F.col("alias")).alias("plain"), name_pattern(F.col("alias")).alias("pattern"))
-    cast = mine.where("alias <> ''").groupBy("doc_id").agg(F.collect_set(named).alias("cast"))
-    rows = once(pages.select("doc_id", "spread_id", T.text(F.col(text)).alias("t")), plain=folded(T.text(F.col("t")))).join(cast, "doc_id", "left")
-    seen = F.filter("cast", lambda p: F.contains(F.col("plain"), p["plain"]) & F.rlike(F.col("t"), p["pattern"]))
-    ids = F.transform(F.array_sort(F.array_distinct(F.transform(seen, lambda p: F.struct(p["rank"].alias("rank"), p["id"].alias("id"))))), lambda p: p["id"])
-    return rows.select("doc_id", "spread_id", F.coalesce(ids, F.expr("cast(array() as array<string>)")).alias("character_refs"))
+    cast = people.groupBy("doc_id").agg(F.collect_list(F.struct("rank", "id", F.filter(F.array_sort(F.array_distinct(F.array_append("aliases", F.col("name")))), lambda n: n != "").alias("names"))).alias("cast"))
+    rows = pages.select("doc_id", "spread_id", T.text(F.col(text)).alias("t")).join(cast, "doc_id", "left")
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("doc_id", "spread_id")}
+    return rows.select("doc_id", "spread_id", "t", "cast").mapInArrow(_refer, f"doc_id {kinds['doc_id']}, spread_id {kinds['spread_id']}, character_refs array<string>")

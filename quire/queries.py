@@ -439,7 +439,8 @@ def character_review(spark, d):
 @query("characters")
 def characters(spark, d):
     docs = _titled(spark, d)
-    return entities.characters(docs, entities.review(docs)).withColumn("aliases", F.array_join("aliases", ","))
+    found = entities.characters(docs, entities.review(docs))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("aliases", "visual_anchors")})
 
 
 @query("character_summary")
