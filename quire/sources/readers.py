@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.sources.books import pdf_texts
 
 TEXT_TYPES = (".txt", ".md", ".markdown")
 # What marks a section of a book as no part of the story.
@@ -95,7 +96,12 @@ def story_sections(sections: DataFrame) -> DataFrame:
 def epub_sections(books: DataFrame) -> DataFrame:
     """doc_id, section_idx, file, title, text, char_count in reading order; sections under 20 letters are left out. books: doc_id, content."""
     raw = books.select("doc_id", "content").mapInArrow(_sections, "doc_id string, file string, html string")
-    rows = raw.select("doc_id", "file", T.html_title(F.col("html")).alias("title"), T.html_to_text(F.col("html")).alias("text")).where("length(text) >= 20")
+    return ordered_sections(raw.select("doc_id", "file", T.html_title(F.col("html")).alias("title"), T.html_to_text(F.col("html")).alias("text")))
+
+
+def ordered_sections(rows: DataFrame) -> DataFrame:
+    """Sections (doc_id, file, title, text) of 20 letters and more, numbered in reading order."""
+    rows = rows.where("length(text) >= 20")
     order = Window.partitionBy("doc_id").orderBy(reading_order(F.col("file")), F.expr("file COLLATE UNICODE"), "file")
     return rows.withColumn("section_idx", F.row_number().over(order) - 1).withColumn("char_count", F.length("text").cast("long"))
 
@@ -141,25 +147,8 @@ def epub_documents(books: DataFrame) -> DataFrame:
 
 
 def _pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        PdfReader = None
     for batch in batches:
-        rows = []
-        for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            try:
-                pages = PdfReader(io.BytesIO(content.as_py())).pages if PdfReader else None
-            except Exception as e:  # noqa: BLE001 a damaged file is a row, not an end
-                rows.append((doc_id, 0, "", str(e)))
-                continue
-            if pages is None:
-                rows.append((doc_id, 0, "", "no PDF reader is installed"))
-            for i, page in enumerate(pages or ()):
-                try:
-                    rows.append((doc_id, i, page.extract_text() or "", None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((doc_id, i, "", str(e)))
+        rows = [(doc_id, i, *page) for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, page in enumerate(pdf_texts(content.as_py() or b""))]
         kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "page_index", "text", "error"])
 
