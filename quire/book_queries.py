@@ -188,13 +188,13 @@ def _attempts(spark, d):
     docs = table(spark, d, "documents")
     k = F.col("doc_id")
     step = lambda pos, method, text, weak: F.struct(F.lit(pos).alias("pos"), F.lit(method).alias("method"), text.alias("text"), weak.alias("weak"))
-    tried = F.array(step(0, "native", F.when(k % 3 > 0, F.left("text", F.lit(40))).otherwise(" "), k % 6 < 4), step(1, "layout", F.when(k % 4 > 0, F.col("text")), F.lit(False) | (k % 4 < 3)), step(2, "ocr", F.concat(F.lit("ocr "), "text"), k % 5 == 0))
+    tried = F.array(step(0, "native", F.when(k % 3 > 0, F.col("text")).otherwise(" "), k % 6 < 4), step(1, "layout", F.when(k % 4 > 0, F.col("text")), F.lit(False) | (k % 4 < 3)), step(2, "ocr", F.concat(F.lit("ocr "), "text"), k % 5 == 0))
     return docs.select("doc_id", F.explode(tried).alias("a")).select("doc_id", "a.*")
 
 
 @query(
     "extraction_chain",
-    rf"""WITH a AS (SELECT doc_id, 0 AS pos, 'native' AS method, CASE WHEN doc_id % 3 > 0 THEN left(text, 40) ELSE ' ' END AS t, doc_id % 6 < 4 AS weak FROM documents UNION ALL SELECT doc_id, 1, 'layout', CASE WHEN doc_id % 4 > 0 THEN text ELSE '' END, doc_id % 4 < 3 FROM documents
+    rf"""WITH a AS (SELECT doc_id, 0 AS pos, 'native' AS method, CASE WHEN doc_id % 3 > 0 THEN text ELSE ' ' END AS t, doc_id % 6 < 4 AS weak FROM documents UNION ALL SELECT doc_id, 1, 'layout', CASE WHEN doc_id % 4 > 0 THEN text ELSE '' END, doc_id % 4 < 3 FROM documents
     UNION ALL SELECT doc_id, 2, 'ocr', 'ocr ' || text, doc_id % 5 = 0 FROM documents), b AS (SELECT *, CASE WHEN {trim_sql('t')} = '' THEN 'empty' WHEN weak THEN 'weak' ELSE 'ok' END AS status FROM a),
     c AS (SELECT *, min(pos) FILTER (status = 'ok') OVER (PARTITION BY doc_id) AS stop FROM b)
     SELECT doc_id, pos, method, status, CASE WHEN stop IS NULL THEN row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, pos) = 1 AND status <> 'empty' ELSE pos = stop END AS used FROM c WHERE stop IS NULL OR pos <= stop""",
@@ -500,7 +500,7 @@ def logged_images(spark, d):
 @query("chapter_numbers", "SELECT doc_id, doc_id % 120 AS parsed FROM documents")
 def chapter_numbers(spark, d):
     """Numbers written in Chinese up to 99 and in digits beyond, read from titles."""
-    title = F.concat(F.lit("第"), T.chinese_numeral(F.col("doc_id") % 120), F.lit("章 "), F.left("text", F.lit(20)))
+    title = F.concat(F.lit("第"), T.chinese_numeral(F.col("doc_id") % 120), F.lit("章 "), F.col("text"))
     return table(spark, d, "documents").select("doc_id", T.chinese_ordinal(title).alias("parsed"))
 
 

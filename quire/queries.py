@@ -33,6 +33,19 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+#: Rules on given values: they read no table, are not registered, and tests hold them against their SQL.
+EXAMPLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXAMPLE_ORACLES: dict[str, str] = {}
+
+
+def example(name: str, sql: str):
+    def put(function):
+        EXAMPLES[name], EXAMPLE_ORACLES[name] = function, sql
+        return function
+
+    return put
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/{name}.parquet")
     return spread(rows) if name in ("documents", "pages") else rows
@@ -213,7 +226,7 @@ def language_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", T.detect_language(mixed).alias("language"))
 
 
-@query(
+@example(
     "language_profile",
     """SELECT * FROM (VALUES ('auto', 'auto', 'en', NULL, false, 'Auto (English)'), ('zh-en', 'bilingual', 'zh', 'en', true, '中文 + English'), ('zh-cn', 'single', 'zh', NULL, false, '中文'), ('Japanese', 'single', 'ja', NULL, false, '日本語'), ('', 'auto', 'en', NULL, false, 'Auto (English)'), ('xx', 'single', 'en', NULL, false, 'English'), ('en,ja', 'bilingual', 'en', 'ja', true, 'English + 日本語'))
     t(option, mode, "primary", secondary, bilingual, label)""",
@@ -223,13 +236,13 @@ def language_profile(spark, d):
     return rows.select("option", T.language_profile(F.col("option"), F.lit("en")).alias("p")).select("option", "p.*")
 
 
-@query("clean_heading", "SELECT * FROM (VALUES ('## The Door', 'The Door'), ('12 The Garden', 'Chapter 12: The Garden'), ('第一章 纽织与淡话', '第一章 组织与谈话'), ('CHAPTER I. The Door', 'CHAPTER I. The Door')) t(raw, title)")
+@example("clean_heading", "SELECT * FROM (VALUES ('## The Door', 'The Door'), ('12 The Garden', 'Chapter 12: The Garden'), ('第一章 纽织与淡话', '第一章 组织与谈话'), ('CHAPTER I. The Door', 'CHAPTER I. The Door')) t(raw, title)")
 def clean_heading(spark, d):
     rows = spark.createDataFrame([(x,) for x in ("## The Door", "12 The Garden", "第一章 纽织与淡话", "CHAPTER I. The Door")], "raw string")
     return rows.select("raw", T.clean_heading(F.col("raw")).alias("title"))
 
 
-@query("chinese_ordinals", "SELECT n, n AS parsed, CASE WHEN n < 10 THEN 1 WHEN n = 10 THEN 1 WHEN n < 20 OR n % 10 = 0 THEN 2 ELSE 3 END AS letters FROM range(1, 100) r(n)")
+@example("chinese_ordinals", "SELECT n, n AS parsed, CASE WHEN n < 10 THEN 1 WHEN n = 10 THEN 1 WHEN n < 20 OR n % 10 = 0 THEN 2 ELSE 3 END AS letters FROM range(1, 100) r(n)")
 def chinese_ordinals(spark, d):
     numeral = T.chinese_numeral(F.col("n"))
     return spark.range(1, 100).toDF("n").select("n", T.chinese_ordinal(F.concat(F.lit("第"), numeral, F.lit("章"))).alias("parsed"), F.length(numeral).alias("letters"))
@@ -273,7 +286,7 @@ def page_plan_heuristic(spark, d):
     return P.plan_chapters(chapters(spark, d), "heuristic").select("doc_id", "spread_count", "reason")
 
 
-@query("page_plan_modes", "SELECT * FROM (VALUES ('', false, 'full-coverage'), ('full', true, 'full-coverage'), ('自动', true, 'auto'), ('codex-auto', false, 'heuristic'), ('4', true, 'fixed')) t(option, provider, mode)")
+@example("page_plan_modes", "SELECT * FROM (VALUES ('', false, 'full-coverage'), ('full', true, 'full-coverage'), ('自动', true, 'auto'), ('codex-auto', false, 'heuristic'), ('4', true, 'fixed')) t(option, provider, mode)")
 def page_plan_modes(spark, d):
     rows = spark.createDataFrame([("", False), ("full", True), ("自动", True), ("codex-auto", False), ("4", True)], "option string, provider boolean")
     return rows.select("option", "provider", P.plan_mode(F.col("option"), F.col("provider")).alias("mode"))
@@ -340,7 +353,7 @@ HEADED = (
 )
 
 
-@query(
+@example(
     "chapters_by_heading",
     """SELECT * FROM (VALUES (1, 0, 'CHAPTER I. The Door', 'She opened it.'), (1, 1, 'CHAPTER II. The Garden', 'It was green.'), (2, 0, '第一章 开始', '一'), (2, 1, '第二章 途中', '二'), (2, 2, '第三章 山上', '三'), (2, 3, '第四章 把握机会', '四'), (2, 4, '第五章 回家', '五'),
     (3, 0, 'One: a', 'body'), (3, 1, 'Two: b', 'more' || chr(10) || chr(10) || 'more'), (4, 0, 'Chapter 1: THE FIRST CLEAR LESSON', 'Text one.'), (4, 1, 'Chapter 2: THE SECOND CLEAR LESSON', 'Text two.')) t(doc_id, chapter_idx, title, text)""",
@@ -381,9 +394,9 @@ def spread_slices(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(segments.slices(F.col("text"), F.lit(500))).alias("slice", "text"))
 
 
-@query("spread_pad", f"WITH {LINES}, k AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS page, parts[least(i + 1, len(parts))] AS text FROM k, range(9) r(i)")
+@query("spread_pad", f"WITH {LINES}, k AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS page, parts[least(i + 1, len(parts))] AS text FROM k, range(len(parts) + 3) r(i)")
 def spread_pad(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(segments.pad(F.split("text", "\n"), F.lit(9))).alias("page", "text"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(segments.pad(F.split("text", "\n"), F.size(F.split("text", "\n")) + 3)).alias("page", "text"))
 
 
 @query("balanced_pages")
@@ -609,7 +622,7 @@ def rank_zip_import_all(spark, d):
     return work.import_by_rank(_queue(spark, d), files)
 
 
-@query("log_paths", "SELECT * FROM (VALUES (1, '/tmp/gen/a-1.png|/tmp/gen/b.webp'), (2, ''), (3, '/x/y.jpeg')) t(id, paths)")
+@example("log_paths", "SELECT * FROM (VALUES (1, '/tmp/gen/a-1.png|/tmp/gen/b.webp'), (2, ''), (3, '/x/y.jpeg')) t(id, paths)")
 def log_paths(spark, d):
     rows = spark.createDataFrame([(1, "saved /tmp/gen/a-1.png. then '/tmp/gen/b.webp' and /tmp/gen/a-1.png"), (2, "nothing"), (3, "at /x/y.jpeg)")], "id int, log string")
     return rows.select("id", F.array_join(work.log_paths(F.col("log")), "|").alias("paths"))
@@ -774,7 +787,7 @@ def ocr_progress(spark, d):
 # ---- sources and sinks -----------------------------------------------------------------------------------------------
 
 
-@query("loose_json", "SELECT * FROM (VALUES (1, '[{\"a\":1}]'), (2, '[2]'), (3, '[3,4]'), (4, NULL)) t(id, items)")
+@example("loose_json", "SELECT * FROM (VALUES (1, '[{\"a\":1}]'), (2, '[2]'), (3, '[3,4]'), (4, NULL)) t(id, items)")
 def loose_json(spark, d):
     rows = spark.createDataFrame([(1, '[{"a":1}]'), (2, 'Here:\n```json\n{"chapters": [2]}\n```'), (3, 'so {"spreads":[3,4]} done'), (4, "no json")], "id int, reply string")
     return rows.select("id", readers.json_array(F.col("reply"), "chapters", "spreads").alias("items"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quire.queries import ORACLES, QUERIES
+from quire.queries import EXAMPLE_ORACLES, EXAMPLES, ORACLES, QUERIES
 
 DATA = os.environ.get("QUIRE_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -26,14 +26,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted({**QUERIES, **EXAMPLES}))
 def test_query(spark, duck, name):
-    got = QUERIES[name](spark, DATA)
+    got = {**QUERIES, **EXAMPLES}[name](spark, DATA)
     rows = got.collect()
-    if name not in ORACLES:
+    sql = {**ORACLES, **EXAMPLE_ORACLES}.get(name)
+    if sql is None:
         assert rows
         return
-    cursor = duck.execute(ORACLES[name])
+    cursor = duck.execute(sql)
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(got.columns)
     want = sorted((tuple(plain(v) for _, v in sorted(zip(columns, r, strict=True))) for r in cursor.fetchall()), key=repr)
