@@ -111,23 +111,41 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _link(radius: int):
+def _edges(cells: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning edges of whole shards."""
+    order = np.lexsort((ids, *cells))
+    cells, prints, ids = cells[:, order], prints[order].view(np.uint64), ids[order]
+    shard = np.concatenate(([0], np.cumsum((cells[:, 1:] != cells[:, :-1]).any(0))))
+    forest, n = BKForest(shard, prints), len(ids)
+    pairs = (pair for a in range(0, n, 1 << 14) for pair in forest.within(np.arange(a, min(n, a + (1 << 14))), radius))
+    low = spanning(n, pairs)
+    moved = np.flatnonzero(low != np.arange(n))
+    if len(moved):
+        edges = np.unique(np.stack([ids[moved], ids[low[moved]]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(edges.max(0)), pa.array(edges.min(0))], names=["high", "low"])
+
+
+def _link(radius: int, held: int = 1 << 18):
+    """Edges of shards that come one after another. A task holds about ``held`` rows, and never less than the one shard that they belong to, whose size is bounded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
-        if not parts:
-            return
-        *cells, prints, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
-        cells = np.stack(cells)
-        order = np.lexsort((ids, *cells))
-        cells, prints, ids = cells[:, order], prints[order].view(np.uint64), ids[order]
-        shard = np.concatenate(([0], np.cumsum((cells[:, 1:] != cells[:, :-1]).any(0))))
-        forest, n = BKForest(shard, prints), len(ids)
-        pairs = (pair for a in range(0, n, 1 << 14) for pair in forest.within(np.arange(a, min(n, a + (1 << 14))), radius))
-        low = spanning(n, pairs)
-        moved = np.flatnonzero(low != np.arange(n))
-        if len(moved):
-            edges = np.unique(np.stack([ids[moved], ids[low[moved]]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(edges.max(0)), pa.array(edges.min(0))], names=["high", "low"])
+        parts, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n >= held:
+                whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                cells = np.stack(whole[:-2])
+                other = np.flatnonzero((cells != cells[:, -1:]).any(0))
+                cut = int(other[-1]) + 1 if len(other) else 0  # where the last shard, which may go on, begins
+                if cut:
+                    yield from _edges(cells[:, :cut], whole[-2][:cut], whole[-1][:cut], radius)
+                parts, n = [[c[cut:] for c in whole]], n - cut
+        if n:
+            whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            yield from _edges(np.stack(whole[:-2]), whole[-2], whole[-1], radius)
 
     return run
 
@@ -154,7 +172,8 @@ def link_prints(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_rows:
     if not radius < blocks <= 16:
         raise ValueError("blocks must exceed the radius")
     shards = _shards(prints, radius, blocks, shard_rows)
-    linked = shards.repartition("combo", "value", "i", "j").mapInArrow(_link(radius), "high long, low long")
+    cells = ["combo", "value", "i", "j"]
+    linked = shards.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(_link(radius), "high long, low long")
     return linked.distinct()
 
 
