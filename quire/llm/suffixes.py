@@ -369,7 +369,7 @@ def _cut(with_text: bool):
     return run
 
 
-def repeated_strings(docs: DataFrame, length: int = 200, gram: int = 64, budget: int = 64 << 20, with_text: bool = False) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 200, gram: int = 64, budget: int = 64 << 20, with_text: bool = False, bucket_bytes: int = 16 << 20) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if ``with_text``.
 
     Removed is every byte that a string of ``length`` bytes covers which also starts anywhere else, in the same document or
@@ -377,6 +377,8 @@ def repeated_strings(docs: DataFrame, length: int = 200, gram: int = 64, budget:
     that repeat a doc_id are documents of their own. Texts shorter than ``length`` stay whole. An empty table gives an empty result.
 
     gram: bytes of an anchor's string, a power of two below ``length``. budget: bytes of suffixes that a task gathers before it sends runs.
+    bucket_bytes: bytes of text for each bucket of anchors at most; what a task holds when it merges is a part of that, but for anchors with very many contexts.
+    Columns of other names are not read, and texts of any length are read to their end. Of equal strings none is preferred: all are removed.
     """
     body = text_or_empty(docs).cast("binary")
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("body_key"), body.alias("body"))
@@ -384,7 +386,9 @@ def repeated_strings(docs: DataFrame, length: int = 200, gram: int = 64, budget:
     counted = rows.mapInArrow(_count_anchors(length, gram), "h long, doc_id long, body_key long, at int")
     once = counted.groupBy("h").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in (*key, "at")]).where("n = 1")
     once = once.groupBy(*key).agg(F.collect_list("at").alias("once"))
-    buckets = 4 * partitions(docs.sparkSession)
+    # a task merges a bucket at a time, so buckets follow the bytes there are
+    n_bytes = rows.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    buckets = max(4 * partitions(docs.sparkSession), -(-n_bytes // bucket_bytes))
     runs = rows.join(once, key, "left").select("doc_id", "body_key", "body", "once").mapInArrow(_runs(length, gram, buckets, budget), "bucket long, run binary")
     spans = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(length, gram), "doc_id long, body_key long, span long")
     spans = spans.groupBy(*key).agg(F.collect_set("span").alias("spans"))
