@@ -14,69 +14,12 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
-import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.staging import shared_path, stage
-
-
-def whole_weights(weights: list[float], slots: int) -> list[int]:
-    """Slots of a round for each source: largest remainders, one at least."""
-    total = math.fsum(weights)
-    exact = [w * slots / total for w in weights]
-    out = [max(1, math.floor(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    while sum(out) < slots:
-        for i in order[: slots - sum(out)]:
-            out[i] += 1
-    while sum(out) > slots:
-        i = max((i for i in range(len(out)) if out[i] > 1), key=lambda i: out[i] - exact[i])
-        out[i] -= 1
-    return out
-
-
-def pfair_round(shares: list[int]) -> list[int]:
-    """The source of each slot: among released blocks, the earliest deadline first."""
-    slots = sum(shares)
-    release = [(0, s, 0) for s in range(len(shares))]
-    heapq.heapify(release)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(slots):
-        while release and release[0][0] <= t:
-            _, s, i = heapq.heappop(release)
-            heapq.heappush(ready, (-(-(i + 1) * slots // shares[s]), s, i))
-        _, s, i = heapq.heappop(ready)
-        out.append(s)
-        if i + 1 < shares[s]:
-            heapq.heappush(release, ((i + 1) * slots // shares[s], s, i + 1))
-    return out
-
-
-def plan(blocks: list[int], weights: list[float], slots: int) -> list[tuple]:
-    """Phases: (first slot, slots in a round, sources' first blocks, shares, the round), until every source is through."""
-    left, done, first, phases = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        live = [s for s in range(len(left)) if left[s]]
-        shares = whole_weights([weights[s] for s in live], slots)
-        order = [live[x] for x in pfair_round(shares)]
-        rounds = min(left[s] // n for s, n in zip(live, shares, strict=True))
-        taken = {s: rounds * n for s, n in zip(live, shares, strict=True)}
-        length = rounds * slots
-        for s in order:
-            if taken[s] == left[s]:
-                break  # this slot would be the first that its source can't fill
-            taken[s] += 1
-            length += 1
-        phases.append((first, length, {s: done[s] for s in live}, dict(zip(live, shares, strict=True)), order))
-        for s, n in taken.items():
-            left[s] -= n
-            done[s] += n
-        first += length
-    return phases
+from quire.llm.staging import look_up, shared_path, stage
 
 
 def whole_numbers(weights: list[float]) -> list[int]:
@@ -127,13 +70,13 @@ def _written(spark: SparkSession, lines: Iterator[str], name: str) -> str:
     return path
 
 
-def mix_sources(docs: DataFrame, weights: dict | Callable[[str | None, int], float] | None = None, power: float = 0.5, block_rows: int = 16, slots: int = 1024, bucket_rows: int = 2048) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | Callable[[str | None, int], float] | None = None, power: float = 0.5, block_rows: int = 16, bucket_rows: int = 2048) -> DataFrame:
     """``docs`` with mix_source, mix_phase, mix_slot (the block's place) and mix_row (the row's place in its block).
 
     Every row stays, once. Rows of a source follow a hash order, in blocks of ``block_rows``; the last may be shorter. Throughout a phase every
     source keeps within one block of its exact weight; each later phase lacks the sources that are through.
     weights: by source, or a function of a source and its number of rows; those not named, and those of no weight, get nothing until the others are through. Default: rows of the source to the ``power``.
-    slots has no effect any more: the schedule has no rounds. A null source is a source of its own, and null and repeated doc_ids are
+    A null source is a source of its own, and null and repeated doc_ids are
     rows like any other. Columns of ``docs`` may have any names; those of the four new ones are replaced. Any number of sources is scheduled; the driver holds a few numbers for each. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("mix_source", "mix_phase", "mix_slot", "mix_row")]
@@ -149,8 +92,8 @@ def mix_sources(docs: DataFrame, weights: dict | Callable[[str | None, int], flo
     given = [max(float(weigh(name(c.mix_source), c["count"])), 0.0) for c in counts]
     blocks = [-(-c["count"] // block_rows) for c in counts]
     spark = docs.sparkSession
-    named = _written(spark, (json.dumps({"mix_source": c.mix_source, "mix_key": s, "mix_buckets": max(1, c["count"] // bucket_rows)}) + "\n" for s, c in enumerate(counts)), "mix-sources")
-    sources = spark.read.schema("mix_source string, mix_key int, mix_buckets long").json(named)
+    named = _written(spark, (json.dumps({"mix_source": c.mix_source, "mix_key": s, "mix_buckets": max(1, c["count"] // bucket_rows), "mix_count": c["count"]}) + "\n" for s, c in enumerate(counts)), "mix-sources")
+    sources = spark.read.schema("mix_source string, mix_key int, mix_buckets long, mix_count long").json(named)
     planned = _written(spark, (f"{s},{block},{phase},{slot}\n" for slot, (s, block, phase) in enumerate(exact_slots(blocks, given))), "mix-slots")
     schedule = spark.read.schema("mix_key int, mix_block long, mix_phase int, mix_slot long").csv(planned)
 
@@ -159,7 +102,8 @@ def mix_sources(docs: DataFrame, weights: dict | Callable[[str | None, int], flo
     # columns stand under numbers here, so that none of their names can be taken for one of these, and unused ones are still left out of the scan
     numbers = {n: f"mix_{i}" for i, n in enumerate(names)}
     rows = kept.select(*[F.col(f"`{n}`").alias(c) for n, c in numbers.items()], key.alias("mix_source"), shuffled.alias("mix_hash"))
-    marked = rows.join(F.broadcast(sources), "mix_source").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
+    total = sum(c["count"] for c in counts)
+    marked = look_up(rows, sources, ["mix_source"], "mix_count", total, ["mix_hash"]).drop("mix_count").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
     sizes = marked.groupBy("mix_key", "mix_bucket").count()
     before = sizes.select("mix_key", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_key").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
     number = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", *[numbers[n] for n in ("doc_id",) if n in names])) - 1

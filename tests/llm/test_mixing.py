@@ -1,38 +1,11 @@
-import random
-
 from pyspark.sql import functions as F
 
 from helpers import SCHEMA, frame, odd_texts, prose
-from quire.llm.mixing import mix_sources, pfair_round, plan, whole_weights
-
-
-def test_round_keeps_within_one_block():
-    r = random.Random(2)
-    for _ in range(30):
-        shares = whole_weights([r.random() ** 3 + 0.001 for _ in range(r.randrange(1, 30))], 512)
-        assert sum(shares) == 512 and min(shares) >= 1
-        done = [0] * len(shares)
-        for t, s in enumerate(pfair_round(shares), 1):
-            done[s] += 1
-            assert all(abs(d * 512 - n * t) < 512 for d, n in zip(done, shares, strict=True))
-        assert done == shares
-
-
-def test_plan_places_every_block_once():
-    blocks = [70, 3, 0, 19]
-    phases = plan(blocks, [1.0, 2.0, 5.0, 0.5], 32)
-    got, at = [0] * 4, 0
-    for first, length, begin, shares, order in phases:
-        assert first == at and len(order) == 32 and sum(shares.values()) == 32
-        assert all(got[s] == n for s, n in begin.items())
-        for t in range(length):
-            got[order[t % 32]] += 1
-        at += length
-    assert got == blocks
+from quire.llm.mixing import mix_sources
 
 
 def check(spark, docs, block_rows, **options):
-    rows = mix_sources(docs, block_rows=block_rows, slots=64, bucket_rows=7, **options).collect()
+    rows = mix_sources(docs, block_rows=block_rows, bucket_rows=7, **options).collect()
     assert len(rows) == docs.count()
     slots = {}
     for r in rows:
