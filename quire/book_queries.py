@@ -607,3 +607,48 @@ def print_round_trip(spark, d):
     rows = lines(spark, d).withColumn("line_no", F.col("pos"))
     prints = sinks.review_pdfs(rows).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("pdf").alias("content"))
     return readers.pdf_pages(prints).select(F.col("doc_id").cast("long").alias("doc_id"), "page_index", "text")
+
+
+def _hash_sql(x: str) -> str:
+    """``numbers.hash32`` of a text of letters below 65536."""
+    return f"(SELECT CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END FROM (SELECT list_reduce([CAST(0 AS BIGINT)] || list_transform(string_split({x}, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) AS h))"
+
+
+@query(
+    "placeholder_colours",
+    f"""WITH {PAGES}, h AS (SELECT doc_id, spread_id, abs({_hash_sql("spread_id")}) AS s, abs({_hash_sql("('ch-' || chapter_idx)")}) AS c FROM pages)
+    SELECT doc_id, spread_id, ({list(sinks.PALETTE)!r})[s % 5 + 1] AS accent, ({list(sinks.PALETTE)!r})[(c + 2) % 5 + 1] AS second FROM h""",
+)
+def placeholder_colours(spark, d):
+    chapter = F.concat(F.lit("ch-"), F.col("chapter_idx").cast("string"))
+    return line_pages(spark, d).select("doc_id", "spread_id", sinks.placeholder_colours(F.col("spread_id"), chapter).alias("c")).select("doc_id", "spread_id", "c.accent", "c.second")
+
+
+_CAPTION_LINES = "array(named_struct('language', 'en', 'label', 'EN', 'text', caption, 'needs_translation', false), named_struct('language', 'fr', 'label', '', 'text', if(page_number % 3 = 0, 'le ' || caption, ''), 'needs_translation', page_number % 2 = 0))"
+_LINE_SPANS = """'<span class="line" lang="en"><b class="label">EN</b>' || x || '</span><span class="line" lang="fr">' || CASE WHEN page_number % 3 = 0 THEN 'le ' || x WHEN page_number % 2 = 0 THEN 'Translation pending' ELSE x END || '</span>'"""
+
+
+@query(
+    "caption_bodies",
+    f"""WITH {PAGES}, q AS (SELECT *, replace({_escape_sql('caption')}, '''', '&apos;') AS x FROM pages),
+    e AS (SELECT *, CASE WHEN asset_path IS NULL THEN '' ELSE '<figure><img src="images/' || spread_id || '.png" alt="' || x || '"/></figure>' END AS figure FROM q)
+    SELECT doc_id, count(*) AS n_pages, sha256(string_agg('<section class="page">' || figure || '<p class="chapter">C</p><p class="caption">' || {_LINE_SPANS} || '</p></section>', '' ORDER BY page_number)) AS body_sha256 FROM e GROUP BY doc_id""",
+)
+def caption_bodies(spark, d):
+    """Books with pictures and a caption line for each language."""
+    pages = line_pages(spark, d).withColumns({"title": F.lit("T"), "chapter_title": F.lit("C"), "caption_lines": F.expr(_CAPTION_LINES), "image_href": sinks.image_href(F.col("spread_id"), F.col("asset_path"))})
+    return sinks.book_bodies(pages).select("doc_id", "n_pages", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(
+    "book_sites",
+    f"""WITH {PAGES}, e AS (SELECT *, {_escape_sql('caption')} AS x FROM pages),
+    r AS (SELECT doc_id, string_agg('<section id="' || spread_id || '"><h2>C' || chapter_idx || '</h2>' || CASE WHEN asset_path IS NULL THEN '<p class="missing">Image pending</p>' ELSE '<img src="' || asset_path || '" alt="' || x || '">' END || '<p><span class="line" lang="">' || x || '</span></p><small>' || page_number || '</small></section>', '' ORDER BY page_number) AS html FROM e GROUP BY doc_id),
+    s AS (SELECT doc_id, string_agg('<tr><td>' || page_number || '</td><td>' || spread_id || '</td><td>' || coalesce(image_status, 'missing') || '</td><td>' || concat_ws(', ', CASE WHEN asset_path IS NULL THEN 'image' END, CASE WHEN caption = '' THEN 'caption' END) || '</td></tr>', '' ORDER BY page_number) AS html FROM e GROUP BY doc_id),
+    c AS (SELECT doc_id, chapter_idx, arg_min(spread_id, page_number) AS first, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT doc_id, string_agg('<li><a href="reader.html#' || first || '">C' || chapter_idx || '</a> (' || n || ')</li>', '' ORDER BY chapter_idx) AS html FROM c GROUP BY doc_id),
+    a AS (SELECT doc_id, 'reader.html' AS path, html FROM r UNION ALL SELECT doc_id, 'studio.html', '<table>' || html || '</table>' FROM s UNION ALL SELECT doc_id, 'index.html', '<ol>' || html || '</ol>' FROM i)
+    SELECT doc_id, path, '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>B' || doc_id || '</title></head><body><h1>B' || doc_id || '</h1>' || html || '</body></html>' AS html FROM a""",
+)
+def book_sites(spark, d):
+    named = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    return sinks.book_site(line_pages(spark, d).withColumns({"title": named("B", "doc_id"), "chapter_title": named("C", "chapter_idx")}))

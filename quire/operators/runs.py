@@ -38,11 +38,12 @@ def repeated_starts(requests: DataFrame, runs: DataFrame, keys: list[str], as_of
 
 
 def best_run(runs: DataFrame, by: list[str]) -> DataFrame:
-    """The active run with most items, then the latest, in each group."""
+    """The active run with most items, then the latest, then the smallest id, in each group."""
     shown = shown_time(F.col("heartbeat_at"), F.col("updated_at"), F.col("created_at"))
     live = runs.where(F.col("status").isin(*ACTIVE)).withColumn("shown_at", shown)
-    w = Window.partitionBy(*by).orderBy(F.desc("total_items"), F.desc("shown_at"), "id")
-    return live.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    rest = [c for c in live.columns if c not in by]
+    whole = live.groupBy(*by, "total_items", "shown_at").agg(F.min_by(F.struct(*rest), "id").alias("r"))
+    return whole.groupBy(*by).agg(F.max_by("r", F.struct("total_items", "shown_at")).alias("r")).select(*by, "r.*")
 
 
 def run_for_project(runs: DataFrame, project: str | None) -> DataFrame:

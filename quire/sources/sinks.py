@@ -47,18 +47,24 @@ def review_pages(lines: DataFrame, by: str = "doc_id", order: str = "line_no") -
     return rows.withColumns({"line": ascii_fold(F.col("line")), "review_page": F.floor(F.col("review_page") / LINES_A_PAGE).cast("long")})
 
 
-#: Paper, ink and three accents of a drawing without a style.
-PAPER = ("#fbf3e4", "#2b3a42", "#c8553d", "#d8a657", "#588157")
+#: The palette of a drawing without a style (fixed values).
+PALETTE = ("#f7ead7", "#31515f", "#d9634f", "#e0a83f", "#6aa99b")
+
+
+def placeholder_colours(spread_id: Column, chapter_id: Column, palette: Column | None = None) -> Column:
+    """struct(paper, accent, second): the palette's first colour, and those that the hashes of page and chapter pick; the chapter's two places on."""
+    colours = F.array(*map(F.lit, PALETTE)) if palette is None else palette
+    pick = lambda key, shift: F.element_at(colours, ((F.abs(hash32(T.text(key))) + shift) % F.size(colours) + 1).cast("int"))
+    return F.struct(F.element_at(colours, 1).alias("paper"), pick(spread_id, 0).alias("accent"), pick(chapter_id, 2).alias("second"))
 
 
 def placeholder_svg(caption: Column, spread_id: Column, chapter_id: Column | None = None, palette: Column | None = None) -> Column:
     """A stand-in for a page's picture: two areas in colours picked by the hashes of page and chapter, and the caption's first four lines."""
-    colours = F.array(*map(F.lit, PAPER)) if palette is None else palette
-    pick = lambda key, shift: F.element_at(colours, ((F.abs(hash32(T.text(key))) + shift) % F.size(colours) + 1).cast("int"))
+    colours = placeholder_colours(spread_id, spread_id if chapter_id is None else chapter_id, palette)
     rows = F.transform(F.slice(T.wrap(caption, 38), 1, 4), lambda line, i: F.concat(F.lit('<text x="96" y="'), (780 + i * 44).cast("string"), F.lit('" font-size="34">'), T.escape_xml(line), F.lit("</text>")))
     area = lambda y, height, colour: F.concat(F.lit(f'<rect x="96" y="{y}" width="1344" height="{height}" rx="32" fill="'), T.escape_xml(colour), F.lit('"/>'))
-    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="1536" height="1024" viewBox="0 0 1536 1024" role="img" aria-label="'), T.escape_xml(caption), F.lit('"><rect width="1536" height="1024" fill="'), T.escape_xml(F.element_at(colours, 1)), F.lit('"/>'))
-    return F.concat(head, area(120, 280, pick(spread_id, 0)), area(420, 260, pick(spread_id if chapter_id is None else chapter_id, 2)), F.array_join(rows, ""), F.lit("</svg>"))
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="1536" height="1024" viewBox="0 0 1536 1024" role="img" aria-label="'), T.escape_xml(caption), F.lit('"><rect width="1536" height="1024" fill="'), T.escape_xml(colours["paper"]), F.lit('"/>'))
+    return F.concat(head, area(120, 280, colours["accent"]), area(420, 260, colours["second"]), F.array_join(rows, ""), F.lit("</svg>"))
 
 
 def page_html(title: Column, image: Column, caption: Column) -> Column:
@@ -72,33 +78,105 @@ def render_books(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"/></head><body>\n'), body, F.lit("\n</body></html>")).alias("html"))
 
 
+#: What a caption line without its text says (fixed value).
+PENDING = "Translation pending"
+
+
+def caption_spans(lines: Column, caption: Column, quoted) -> Column:
+    """A caption's lines, each in a span with its label; a line without text says that its translation is pending, if it needs one, else the caption itself.
+
+    lines: array<struct<language, label, text, needs_translation>>; null or empty for the caption alone. quoted: how text is escaped.
+    """
+    alone = F.array(F.struct(F.lit("").alias("language"), F.lit("").alias("label"), T.text(caption).alias("text"), F.lit(False).alias("needs_translation")))
+    said = lambda line: F.coalesce(F.nullif(T.text(line["text"]), F.lit("")), F.when(F.coalesce(line["needs_translation"], F.lit(False)), F.lit(PENDING)).otherwise(T.text(caption)))
+    label = lambda line: F.when(T.text(line["label"]) != "", F.concat(F.lit('<b class="label">'), quoted(line["label"]), F.lit("</b>"))).otherwise("")
+    span = lambda line: F.concat(F.lit('<span class="line" lang="'), quoted(line["language"]), F.lit('">'), label(line), quoted(said(line)), F.lit("</span>"))
+    return F.array_join(F.transform(F.when(F.size(lines) > 0, lines).otherwise(alone), span), "")
+
+
+def _xml(c: Column) -> Column:
+    return F.replace(T.escape_xml(c), F.lit("'"), F.lit("&apos;"))
+
+
 def book_bodies(pages: DataFrame) -> DataFrame:
-    """doc_id, title, n_pages and body: the XHTML of each book's pages in order. pages: doc_id, title, page_number, chapter_title, caption."""
-    xml = lambda c: F.replace(T.escape_xml(c), F.lit("'"), F.lit("&apos;"))
-    part = F.concat(F.lit('<section class="page"><p class="chapter">'), xml(F.col("chapter_title")), F.lit('</p><p class="caption">'), xml(F.col("caption")), F.lit("</p></section>"))
+    """doc_id, title, n_pages and body: the XHTML of each book's pages in order.
+
+    pages: doc_id, title, page_number, chapter_title, caption; and, if there, caption_lines (see ``caption_spans``) and image_href, the place of
+    the page's picture in the container, null without one.
+    """
+    caption = caption_spans(F.col("caption_lines"), F.col("caption"), _xml) if "caption_lines" in pages.columns else _xml(F.col("caption"))
+    figure = F.lit("")
+    if "image_href" in pages.columns:
+        figure = F.when(F.col("image_href").isNotNull(), F.concat(F.lit('<figure><img src="'), _xml(F.col("image_href")), F.lit('" alt="'), _xml(F.col("caption")), F.lit('"/></figure>'))).otherwise("")
+    # the classes' names are fixed values of the books' style
+    part = F.concat(F.lit('<section class="page">'), figure, F.lit('<p class="chapter">'), _xml(F.col("chapter_title")), F.lit('</p><p class="caption">'), caption, F.lit("</p></section>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", part.alias("h")))), lambda x: x["h"]), "")
     return pages.groupBy("doc_id").agg(F.max("title").alias("title"), F.count("*").alias("n_pages"), body.alias("body"))
 
 
+def image_href(spread_id: Column, asset_path: Column) -> Column:
+    """Where a page's picture stands in its book; null without a picture. Files of unknown types count as PNG."""
+    kind = F.lower(F.regexp_extract(T.text(asset_path), r"\.[^./]+$", 0))
+    return F.when(T.text(asset_path) != "", F.concat(F.lit("images/"), T.safe_name(spread_id), F.when(kind.isin(".png", ".jpg", ".jpeg", ".webp"), kind).otherwise(".png")))
+
+
+def book_site(pages: DataFrame, language: str = "en") -> DataFrame:
+    """doc_id, path, html: for each book a reader (every page with its picture or a note that it is pending), a studio (what each page still lacks) and an index of its chapters.
+
+    pages: doc_id, title, chapter_idx, chapter_title, page_number, spread_id, caption, asset_path, image_status; and caption_lines if there.
+    """
+    quoted = T.escape_xml
+    lines = F.col("caption_lines") if "caption_lines" in pages.columns else F.lit(None).cast("array<struct<language:string,label:string,text:string,needs_translation:boolean>>")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    number, image = F.col("page_number").cast("string"), T.text(F.col("asset_path"))
+    shown = F.when(image != "", text('<img src="', quoted(image), '" alt="', quoted(F.col("caption")), '">')).otherwise('<p class="missing">Image pending</p>')
+    read = text('<section id="', quoted(F.col("spread_id")), '"><h2>', quoted(F.col("chapter_title")), "</h2>", shown, "<p>", caption_spans(lines, F.col("caption"), quoted), "</p><small>", number, "</small></section>")
+    lacks = F.array_join(F.array_compact(F.array(F.when(image == "", "image"), F.when(T.text(F.col("caption")) == "", "caption"))), ", ")
+    row = text("<tr><td>", number, "</td><td>", quoted(F.col("spread_id")), "</td><td>", quoted(F.coalesce("image_status", F.lit("missing"))), "</td><td>", lacks, "</td></tr>")
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", c.alias("h")))), lambda x: x["h"]), "")
+    books = pages.groupBy("doc_id").agg(F.max("title").alias("title"), ordered(read).alias("reader"), ordered(row).alias("studio"))
+    chapters = pages.groupBy("doc_id", "chapter_idx").agg(F.min_by(F.struct("chapter_title", "spread_id"), "page_number").alias("first"), F.count("*").alias("n"))
+    entry = text('<li><a href="reader.html#', quoted(F.col("first.spread_id")), '">', quoted(F.col("first.chapter_title")), "</a> (", F.col("n").cast("string"), ")</li>")
+    entries = chapters.select("doc_id", "chapter_idx", entry.alias("h"))
+    listed = entries.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_idx", "h"))), lambda x: x["h"]), "").alias("index"))
+    head = text(f'<!doctype html><html lang="{language}"><head><meta charset="utf-8"><title>', quoted(F.col("title")), "</title></head><body><h1>", quoted(F.col("title")), "</h1>")
+    parts = {"reader.html": text(head, F.col("reader"), "</body></html>"), "studio.html": text(head, "<table>", F.col("studio"), "</table></body></html>"), "index.html": text(head, "<ol>", F.col("index"), "</ol></body></html>")}
+    rows = F.array(*[F.struct(F.lit(path).alias("path"), html.alias("html")) for path, html in parts.items()])
+    return books.join(listed, "doc_id").select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
+
+
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)
-        made = [epub_bytes(title, [(title, body)], identifier, language) for identifier, title, language, body in rows]
+        rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True)
+        made = [epub_bytes(title, [(title, body)], identifier, language, [(i["href"], i["content"]) for i in images or ()]) for identifier, title, language, body, images in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "epub"])
 
 
-def epub_books(books: DataFrame, language: Column | None = None) -> DataFrame:
-    """doc_id and an EPUB of each book, a row for each, made all over the cluster. books: as ``book_bodies`` returns them."""
+def epub_books(books: DataFrame, language: Column | None = None, images: DataFrame | None = None) -> DataFrame:
+    """doc_id and an EPUB of each book, a row for each, made all over the cluster. books: as ``book_bodies`` returns them.
+
+    images: doc_id, href (see ``image_href``), content; a book's pictures come to the task that makes its container, which holds them all. Without content an image is left out.
+    """
     spoken = F.lit("en") if language is None else F.coalesce(language, F.lit("en"))
     rows = books.select("doc_id", F.concat(F.lit("urn:book:"), F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), "title"), 256)).alias("identifier"), "title", spoken.alias("language"), "body")
+    if images is None:
+        rows = rows.withColumn("images", F.expr("cast(null as array<struct<href:string,content:binary>>)"))
+    else:
+        held = images.where("href IS NOT NULL AND content IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("href", "content"))).alias("images"))
+        rows = rows.join(held, "doc_id", "left")
     return rows.mapInArrow(_containers, f"doc_id {books.schema['doc_id'].dataType.simpleString()}, epub binary")
 
 
-def epub_bytes(title: str, chapters: list[tuple[str, str]], identifier: str = "urn:book", language: str = "en") -> bytes:
-    """A stored EPUB 3 with package and navigation; chapters are (title, XHTML body). Names and types are those of its format."""
+_IMAGE_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp"}
+
+
+def epub_bytes(title: str, chapters: list[tuple[str, str]], identifier: str = "urn:book", language: str = "en", images: list[tuple[str, bytes]] = ()) -> bytes:
+    """A stored EPUB 3 with package and navigation; chapters are (title, XHTML body), images (place, content). Names and types are those of its format."""
     named = lambda x: escape(x, {'"': "&quot;"})
     files = [f"chapter-{i + 1:02d}.xhtml" for i in range(len(chapters))]
+    kind = lambda name: _IMAGE_TYPES.get(name[name.rfind(".") :].lower(), "image/png")
     items = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(files))
+    items += "".join(f'<item id="image_{i}" href="{named(n)}" media-type="{kind(n)}"/>' for i, (n, _) in enumerate(images, 1))
     spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(files)))
     package = (
         '<?xml version="1.0" encoding="utf-8"?><package version="3.0" unique-identifier="id" xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
@@ -111,7 +189,8 @@ def epub_bytes(title: str, chapters: list[tuple[str, str]], identifier: str = "u
     parts = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", container), ("OEBPS/content.opf", package), ("OEBPS/nav.xhtml", page(title, f'<nav epub:type="toc"><ol>{entries}</ol></nav>'))]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, data in [*parts, *((f"OEBPS/{n}", page(head, body)) for n, (head, body) in zip(files, chapters, strict=True))]:
+        pictures = [(f"OEBPS/{n}", content) for n, content in images]
+        for name, data in [*parts, *((f"OEBPS/{n}", page(head, body)) for n, (head, body) in zip(files, chapters, strict=True)), *pictures]:
             z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), data)
     return out.getvalue()
 
@@ -122,6 +201,7 @@ def pdf_bytes(pages: list[list[str]]) -> bytes:
     kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
     for i, lines in enumerate(pages):
+        # size, place and leading are fixed values of the print
         drawn = "BT /F1 12 Tf 54 740 Td 20 TL " + " T* ".join(f"({quoted(line)}) Tj" for line in lines) + " ET"
         objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>")
         objects.append(f"<< /Length {len(drawn)} >>\nstream\n{drawn}\nendstream")
