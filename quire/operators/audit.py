@@ -127,11 +127,11 @@ def duplicates(rows: DataFrame, keys: list[str], order: list[str], name: str) ->
     digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"}), 256)
     place = F.struct(*order)
     marked = rows.withColumns({"dup_key": F.left(digest, F.lit(32)), "dup_at": place})
-    firsts = marked.groupBy("dup_key").agg(F.min_by(F.struct(F.col("dup_at").alias("at"), F.col(name).alias("first_id")), "dup_at").alias("dup_first"), F.count("*").alias("dup_n"))
+    firsts = marked.groupBy("dup_key").agg(F.min_by(F.struct(F.col("dup_at").alias("dup_at_first"), F.col(name).alias("first_id")), "dup_at").alias("dup_first"), F.count("*").alias("dup_n"))
     # only keys that came more than once are looked up: of a column that is never repeated, none
-    again = firsts.where("dup_n > 1").select("dup_key", "dup_first.at", "dup_first.first_id")
+    again = firsts.where("dup_n > 1").select("dup_key", "dup_first.dup_at_first", "dup_first.first_id")
     alike = F.row_number().over(Window.partitionBy("dup_key", "dup_at").orderBy("dup_at"))
-    return marked.join(again, "dup_key").withColumn("dup_n", alike).where((F.col("dup_at") > F.col("at")) | (F.col("dup_n") > 1)).drop("dup_key", "dup_at", "dup_n", "at")
+    return marked.join(again, "dup_key").withColumn("dup_n", alike).where((F.col("dup_at") > F.col("dup_at_first")) | (F.col("dup_n") > 1)).drop("dup_key", "dup_at", "dup_n", "dup_at_first")
 
 
 def repeated_captions(pages: DataFrame) -> DataFrame:
