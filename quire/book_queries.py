@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import prompts
 from quire.functions import text as T
+from quire.functions.staging import shared_path, stage
 from quire.operators import audit, entities, merge, runs, segments, work
 from quire.plans import pages as P
 from quire.queries import LINES, ORACLES, PAGES, PARAS, _EXCERPT, _RUNS, _runs, clip_sql, collapse_sql, line_pages, lines, paragraphs, query, table, trim_sql
@@ -652,3 +653,78 @@ def caption_bodies(spark, d):
 def book_sites(spark, d):
     named = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
     return sinks.book_site(line_pages(spark, d).withColumns({"title": named("B", "doc_id"), "chapter_title": named("C", "chapter_idx")}))
+
+
+# ---- sources, sinks and lookups over whole tables ----------------------------------------------------------------------
+
+
+@query(
+    "section_line_numbers",
+    rf"""WITH s AS (SELECT source AS book, doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'T' || doc_id ELSE split_part(text, ' ', 1) END AS title, text FROM documents),
+    b AS (SELECT book, doc_id, CASE WHEN title = '' OR starts_with(text, title) THEN text ELSE title || chr(10) || chr(10) || text END AS body FROM s),
+    n AS (SELECT *, len(string_split(body, chr(10))) AS n FROM b), w AS (SELECT *, sum(n + 1) OVER (PARTITION BY book ORDER BY doc_id) - 1 AS upto FROM n)
+    SELECT book, doc_id, sha256(body) AS body_sha256, CAST(upto - n + 1 AS INTEGER) AS start_line, CAST(upto AS INTEGER) AS end_line FROM w""",
+)
+def section_line_numbers(spark, d):
+    title = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("T"), F.col("doc_id").cast("string"))).otherwise(F.substring_index("text", " ", 1))
+    sections = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("section_idx"), title.alias("title"), "text")
+    return readers.section_lines(sections).select(F.col("doc_id").alias("book"), F.col("section_idx").alias("doc_id"), F.sha2("body", 256).alias("body_sha256"), "start_line", "end_line")
+
+
+_NAMED = ("the", "La", "und")
+
+
+@query(
+    "whole_word_counts",
+    f"""WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, {", ".join(f"CAST(len(regexp_extract_all(' ' || regexp_replace(lower(line), '([^\\p{{L}}\\p{{N}}])', '\\1\\1', 'g') || ' ', '[^\\p{{L}}\\p{{N}}]{n.lower()}[^\\p{{L}}\\p{{N}}]')) AS BIGINT) AS n{i}" for i, n in enumerate(_NAMED))} FROM lines""",
+)
+def whole_word_counts(spark, d):
+    """How often names stand in a line as whole words, all of them found in one pass."""
+    rows = lines(spark, d).select(F.struct("doc_id", "pos").alias("doc_id"), F.col("line").alias("text"))
+    counted = entities.name_counts(rows.withColumn("doc_id", F.to_json("doc_id")), [(n,) for n in _NAMED])
+    key = F.from_json("doc_id", "doc_id long, pos int")
+    return counted.select(key.alias("k"), "counts").select("k.doc_id", "k.pos", *[F.get("counts", i).alias(f"n{i}") for i in range(3)])
+
+
+@query("chapter_maps_read", f"WITH {LINES} SELECT doc_id, CAST(pos // 5 AS INTEGER) AS pos, 'C' || (pos // 5) AS title, CAST(pos + 1 AS INTEGER) AS start_line, CAST(least(pos + 5, n) AS INTEGER) AS end_line FROM lines WHERE pos % 5 = 0")
+def chapter_maps_read(spark, d):
+    """Chapter maps of all texts, written as JSON and read again: bare arrays and objects, long and short names."""
+    rows = lines(spark, d).where("pos % 5 = 0").select("doc_id", "pos", F.concat(F.lit("C"), F.floor(F.col("pos") / 5).cast("string")).alias("title"), (F.col("pos") + 1).alias("a"), F.least(F.col("pos") + 5, "n").alias("b"))
+    entry = lambda a, b: F.struct("pos", "title", F.col("a").alias(a), F.col("b").alias(b))
+    maps = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry("startLine", "endLine"))).alias("long"), F.array_sort(F.collect_list(entry("start", "end"))).alias("short"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("long").alias("chapters"), F.lit("m").alias("method")))).otherwise(F.to_json("short"))
+    written = stage(maps.select("doc_id", text.alias("value")), "maps")
+    return readers.chapter_maps(written).select("doc_id", "pos", "title", "start_line", "end_line")
+
+
+@query("artifacts_written", f"WITH {PAGES} SELECT doc_id, page_number, spread_id, caption, image_status FROM pages")
+def artifacts_written(spark, d):
+    """All pages written as an artifact, kept in a snapshot, and read again."""
+    folder = shared_path(spark, "artifacts")
+    sinks.write_artifacts({"pages": line_pages(spark, d).select("doc_id", "page_number", "spread_id", "caption", "image_status")}, folder)
+    kept = sinks.snapshot(spark.read.schema("doc_id long, page_number int, spread_id string, caption string, image_status string").json(f"{folder}/pages"), f"{folder}/kept", "1")
+    return spark.read.parquet(kept)
+
+
+@query("jobs_written", f"WITH {PAGES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS BIGINT) AS seq, spread_id AS id, 30 + row_number() OVER (PARTITION BY doc_id ORDER BY page_number) - 1 AS priority FROM pages WHERE image_provider = 'local' AND image_status IS DISTINCT FROM 'ready'")
+def jobs_written(spark, d):
+    """The work queue of pages as lines of JSON, read again."""
+    pages = work.pending_pages(line_pages(spark, d).withColumn("image_provider", F.when((F.col("page_number") - 1) % 5 < 4, "local").otherwise("remote")))
+    nobody = pages.select("doc_id", F.lit(0).alias("rank"), F.lit("").alias("id"), F.lit("").alias("reference_status")).where("false")
+    folder = shared_path(spark, "jobs")
+    sinks.write_jobs(work.work_queue(nobody, pages), folder)
+    return spark.read.schema("doc_id long, seq long, id string, priority long").json(folder)
+
+
+@query("pages_found", f"WITH {PAGES}, a AS (SELECT DISTINCT 'sp-' || doc_id || '-' || (doc_id % 7) AS spread_id FROM documents) SELECT p.doc_id, p.spread_id, p.caption, p.chapter_idx FROM pages p JOIN a USING (spread_id)")
+def pages_found(spark, d):
+    """Point lookups of pages by id, many at once."""
+    asked = table(spark, d, "documents").select(F.concat(F.lit("sp-"), F.col("doc_id").cast("string"), F.lit("-"), (F.col("doc_id") % 7).cast("string")).alias("spread_id"))
+    return work.find_pages(line_pages(spark, d), asked).select("doc_id", "spread_id", "caption", "chapter_idx")
+
+
+@query("lines_regrouped", f"WITH {LINES} SELECT doc_id, lang, source, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n_lines FROM lines GROUP BY ALL")
+def lines_regrouped(spark, d):
+    """Texts taken apart by line and put together again in their order."""
+    rows = lines(spark, d).groupBy("doc_id", "lang", "source").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("parts"))
+    return rows.select("doc_id", "lang", "source", F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("text"), F.size("parts").cast("long").alias("n_lines"))

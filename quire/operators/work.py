@@ -34,6 +34,11 @@ def pending_items(queue: DataFrame) -> DataFrame:
     return queue.where("NOT (status <=> 'ready')")
 
 
+def find_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pages whose spread_id is among ``ids``, once each however often they are asked for."""
+    return pages.join(ids.select("spread_id"), "spread_id", "left_semi")
+
+
 def queue_counts(queue: DataFrame) -> DataFrame:
     ready = F.count_if(F.col("status") == "ready")
     return queue.groupBy("doc_id", "type").agg(F.count("*").alias("items"), ready.alias("ready"), (F.count("*") - ready).alias("pending"))

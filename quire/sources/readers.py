@@ -193,7 +193,11 @@ def ocr_lines(boxes: DataFrame) -> DataFrame:
 
 def read_chapter_maps(spark: SparkSession, path: str) -> DataFrame:
     """Chapter maps in JSON, bare arrays or objects with chapters: doc_id (path), method, pos, title, start_line, end_line."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value")
+    return chapter_maps(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value"))
+
+
+def chapter_maps(raw: DataFrame) -> DataFrame:
+    """As ``read_chapter_maps``, of maps that are there as text: doc_id, value."""
     entry = "array<struct<title:string,startLine:int,start:int,endLine:int,end:int>>"
     bare = F.ltrim("value").startswith("[")
     entries = F.when(bare, F.from_json("value", entry)).otherwise(F.from_json("value", f"chapters {entry}")["chapters"])
