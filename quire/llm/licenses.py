@@ -256,7 +256,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     Without ``templates`` TEMPLATES, NOTICES and whole licence texts are looked for.
 
     Hits are (start, end, license, score), in code points of the whole text. Ties go to the template named first. Null texts count as empty and have no hits. Rows without a doc_id take no part;
-    repeated rows are returned as often. An empty table gives an empty result.
+    repeated rows are returned as often. Of runs with one score the first start counts, then the shortest. Other columns are not read, whatever their names. Texts of any
+    length are scanned whole; a text's time grows with the places of a template's bigrams in it times those within one match. An empty table gives an empty result.
     """
     known = Templates(templates or TEMPLATES, least)
     order = {name: i for i, name in enumerate(templates or TEMPLATES)}

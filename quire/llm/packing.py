@@ -205,7 +205,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 204
     A document is its token ids and then id 0, so a null or empty text is one piece of one id. Only documents longer than
     ``capacity`` are cut, into pieces of that length and a shorter last one. Sequences are filled without gaps. Pieces
     are numbered by the columns in ``order``, or else as the rows are read; a sequence's id is the number of its first piece. Rows
-    without a doc_id take no part; repeated rows are packed as often. An empty table gives an empty result.
+    without a doc_id take no part; repeated rows are packed as often. Columns but those in ``order`` are not read, whatever their names; texts of any length
+    are encoded whole. Pieces of one length are interchangeable: which of them goes where is decided by their number. An empty table gives an empty result.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
     # sorted and numbered in one job: written files would be read back in another order

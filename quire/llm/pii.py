@@ -282,7 +282,8 @@ def personal_data(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     ``base`` and ``spans`` are arrays of (s, k, e): start, index of the kind in KINDS, end; code points of the whole text,
     end exclusive. ``spans`` has every base span and, of the candidates that the trees score at or above the kind's
     threshold, those that overlap no base span. Null texts count as empty and have no spans. Rows without a doc_id
-    take no part; repeated rows are returned as often. Without candidates no tree is grown. An empty table gives an empty result.
+    take no part; repeated rows are returned as often. Without candidates no tree is grown. Other columns are not read, whatever their names; texts of any
+    length are searched to their end. Of overlapping candidates of one kind that score high enough, all are spans. An empty table gives an empty result.
     """
     found = stage(marked(docs), "candidates")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))

@@ -122,7 +122,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
     serve for both. Labels that are null or on unknown documents are left out; where a doc_id has several, each
     counts. The score depends on the whole text only. Null texts count as empty and are scored like any other. Rows
     without a doc_id take no part; repeated rows are returned as often. Without labels, or with labels of one value, nothing can
-    be told apart: every score is the mean label, or 1 without labels. An empty table gives an empty result.
+    be told apart: every score is the mean label, or 1 without labels. Other columns of both tables are not read, whatever their names; texts of any length are
+    measured whole, and equal texts score the same. An empty table gives an empty result.
 
     width: of the Gaussian kernel, in standard deviations. ridge: as a share of the number of training rows.
     """

@@ -183,7 +183,9 @@ def simhash_components(docs: DataFrame, radius: int = 4, words: int = 4, blocks:
     Words are runs of anything but ASCII white space, in the whole text with A-Z lower-cased; a bit is set if more
     than half of the shingles' hashes have it (a tie leaves 0). Null and empty texts have the fingerprint zero and
     link like any other. component_id is the smallest doc_id that links of at most ``radius`` bits reach. Rows without a
-    doc_id take no part; repeated rows are returned as often. An empty table gives an empty result.
+    doc_id take no part; repeated rows are returned as often. Other columns are not read, whatever their names, and texts of any length are read
+    to their end. A block's value that very many different prints share is the dear case: all pairs of its chunks are shards, so that no task holds more
+    than two, and its work is the square of its prints. An empty table gives an empty result.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("body"))
     marked = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, print long"), "prints")

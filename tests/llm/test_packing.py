@@ -55,3 +55,26 @@ def test_evolution_keeps_every_piece_and_never_worsens():
         assert all(problem.fill(b) <= 2048 for b in best) and problem.bound <= len(best) <= len(plain)
         child = problem.mutate(problem.crossover(plain, best, noise), noise)
         assert sorted(i for b in child for i in b) == list(range(60))
+
+
+def fewest(lengths, capacity):
+    """The fewest bins, by the subsets that can fill one bin after another."""
+    n = len(lengths)
+    best = {0: (1, 0)}  # of each set of pieces: bins, and the least that its last bin must hold
+    for s in range(1, 1 << n):
+        best[s] = min((b, used + lengths[i]) if used + lengths[i] <= capacity else (b + 1, lengths[i]) for i in range(n) if s >> i & 1 for b, used in [best[s ^ 1 << i]])
+    return best[(1 << n) - 1][0]
+
+
+def test_small_problems_against_the_optimum():
+    noise, over, plain_over = random.Random(9), 0, 0
+    for _ in range(60):
+        low, high = noise.choice([(300, 1100), (500, 900), (100, 2048)])
+        lengths = [noise.randrange(low, high + 1) for _ in range(11)]
+        problem = Problem(lengths, 2048)
+        least = fewest(lengths, 2048)
+        best = problem.evolve([], noise, 5, 60)
+        assert least <= len(best) <= least + 1
+        over += len(best) > least
+        plain_over += len(problem.best_fit([], list(range(11)))) > least
+    assert over <= 6 and over < plain_over  # never more than one bin over, and mostly none
