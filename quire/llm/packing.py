@@ -42,23 +42,39 @@ def _cut(path: str, capacity: int):
     return run
 
 
+class Bin(list):
+    """Piece numbers, with the sum of their lengths."""
+
+    __slots__ = ("full",)
+
+    def __init__(self, items=(), full: int = 0) -> None:
+        super().__init__(items)
+        self.full = full
+
+    def copy(self) -> Bin:
+        return Bin(self, self.full)
+
+
 class Problem:
-    """Pieces by length and packings of them; a packing is a list of bins, a bin a list of piece numbers."""
+    """Pieces by length and packings of them; a packing is a list of bins."""
 
     def __init__(self, lengths: list[int], capacity: int) -> None:
         self.lengths, self.capacity = lengths, capacity
         self.bound = -(-sum(lengths) // capacity)
 
-    def fill(self, part: list[int]) -> int:
-        return sum(map(self.lengths.__getitem__, part))
+    def bin(self, part: list[int]) -> Bin:
+        return Bin(part, sum(map(self.lengths.__getitem__, part)))
+
+    def fill(self, part: Bin) -> int:
+        return part.full
 
-    def best_fit(self, bins: list[list[int]], loose: list[int], noise: random.Random | None = None, strength: float = 0.0) -> list[list[int]]:
+    def best_fit(self, bins: list[Bin], loose: list[int], noise: random.Random | None = None, strength: float = 0.0) -> list[Bin]:
         """Put the loose pieces, longest first, into the fullest bins that have room; a bit set holds the rooms there are."""
         n = self.lengths
         rooms: dict[int, list[int]] = {}
         mask = 0
         for i, part in enumerate(bins):
-            room = self.capacity - self.fill(part)
+            room = self.capacity - part.full
             rooms.setdefault(room, []).append(i)
             mask |= 1 << room
         key = (lambda i: -n[i]) if noise is None else (lambda i: -n[i] * (1 + strength * noise.random()))
@@ -71,9 +87,10 @@ class Problem:
                 if not have:
                     mask ^= 1 << room
                 bins[at].append(i)
+                bins[at].full += n[i]
             else:
                 room, at = self.capacity, len(bins)
-                bins.append([i])
+                bins.append(Bin([i], n[i]))
             room -= n[i]
             if not rooms.get(room):
                 rooms[room] = []
@@ -81,50 +98,51 @@ class Problem:
             rooms[room].append(at)
         return bins
 
-    def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
+    def fitness(self, bins: list[Bin]) -> tuple[int, float]:
         """Fewer bins first, then fuller ones (mean square of the fill)."""
-        return -len(bins), sum(self.fill(b) ** 2 for b in bins) / max(1, len(bins))
+        return -len(bins), sum(b.full**2 for b in bins) / max(1, len(bins))
 
-    def crossover(self, into: list[list[int]], other: list[list[int]], noise: random.Random) -> list[list[int]]:
+    def crossover(self, into: list[Bin], other: list[Bin], noise: random.Random) -> list[Bin]:
         """Inject whole well-filled bins of ``other``; bins that hold one of their pieces go, and what else they held is put back by best fit."""
         full = sorted(other, key=self.fill, reverse=True)[: max(1, len(other) * 2 // 3)]
-        injected = [list(b) for b in noise.sample(full, max(1, len(full) // 3))]
+        injected = [b.copy() for b in noise.sample(full, max(1, len(full) // 3))]
         taken = {i for b in injected for i in b}
         kept, loose = [], []
         for part in into:
             if taken.isdisjoint(part):
-                kept.append(list(part))
+                kept.append(part.copy())
             else:
                 loose += [i for i in part if i not in taken]
         return self.best_fit(kept + injected, loose)
 
-    def mutate(self, bins: list[list[int]], noise: random.Random) -> list[list[int]]:
+    def mutate(self, bins: list[Bin], noise: random.Random) -> list[Bin]:
         """Empty the emptiest bins and a few others, and put their pieces back."""
         order = sorted(bins, key=self.fill)
         few = 1 + len(order) // 50
         out = order[:few] + noise.sample(order[few:], min(len(order) - few, few))
         gone = {id(b) for b in out}
-        return self.best_fit([list(b) for b in bins if id(b) not in gone], [i for b in out for i in b], noise, 0.3)
+        return self.best_fit([b.copy() for b in bins if id(b) not in gone], [i for b in out for i in b], noise, 0.3)
 
-    def evolve(self, start: list[list[list[int]]], noise: random.Random, population: int, generations: int) -> list[list[int]]:
+    def evolve(self, start: list[list[list[int]]], noise: random.Random, population: int, generations: int) -> list[Bin]:
         every = list(range(len(self.lengths)))
-        people = [*start, self.best_fit([], every)]
-        best = max(people, key=self.fitness)
-        if len(best) <= self.bound:
-            return best
+        judged = lambda bins: (self.fitness(bins), bins)  # noqa: E731  a packing never changes, and is judged once
+        people = [judged(p) for p in [*([self.bin(b) for b in packing] for packing in start), self.best_fit([], every)]]
+        best = max(people, key=lambda p: p[0])
+        if len(best[1]) <= self.bound:
+            return best[1]
         while len(people) < population:
-            people.append(self.best_fit([], every, noise, 0.05 * len(people)))
+            people.append(judged(self.best_fit([], every, noise, 0.05 * len(people))))
         for _ in range(generations):
-            people.sort(key=self.fitness, reverse=True)
-            a, b = people[0], noise.choice(people[1:])
+            people.sort(key=lambda p: p[0], reverse=True)
+            a, b = people[0][1], noise.choice(people[1:])[1]
             child = self.crossover(b, a, noise)
             if noise.random() < 0.7:
                 child = self.mutate(child, noise)
-            people[-1] = child
-            best = max(best, child, key=self.fitness)
-            if len(best) <= self.bound:
+            people[-1] = judged(child)
+            best = max(best, people[-1], key=lambda p: p[0])
+            if len(best[1]) <= self.bound:
                 break
-        return best
+        return best[1]
 
 
 def _bins(slots: list[int]) -> list[list[int]]:
