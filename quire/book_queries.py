@@ -10,7 +10,7 @@ from quire.functions import text as T
 from quire.functions.staging import shared_path, stage
 from quire.operators import audit, entities, merge, runs, segments, work
 from quire.plans import pages as P
-from quire.queries import LINES, ORACLES, PAGES, PARAS, _EXCERPT, _RUNS, _runs, clip_sql, collapse_sql, line_pages, lines, paragraphs, query, table, trim_sql
+from quire.queries import LINES, ORACLES, PAGES, PARAS, _EXCERPT, _RUNS, _runs, clip_sql, collapse_sql, line_pages, lines, normal_sql, paragraphs, query, table, trim_sql
 from quire.sources import readers, sinks
 from quire.streaming import runs as streams
 
@@ -728,3 +728,24 @@ def lines_regrouped(spark, d):
     """Texts taken apart by line and put together again in their order."""
     rows = lines(spark, d).groupBy("doc_id", "lang", "source").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("parts"))
     return rows.select("doc_id", "lang", "source", F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("text"), F.size("parts").cast("long").alias("n_lines"))
+
+
+_SECTION = "'T' || chr(10) || chr(10) || string_agg('Chapter ' || chapter_idx || chr(10) || chr(10) || caption, chr(10) || chr(10) || chr(10) ORDER BY page_number)"
+
+
+@query("books_unpacked", f"WITH {PAGES}, b AS (SELECT doc_id, {_SECTION} AS text FROM pages GROUP BY doc_id), n AS (SELECT doc_id, {normal_sql('text')} AS text FROM b) SELECT doc_id, 0 AS section_idx, 'OEBPS/chapter-01.xhtml' AS file, 'T' AS title, text, CAST(length(text) AS BIGINT) AS char_count FROM n WHERE length(text) >= 20")
+def books_unpacked(spark, d):
+    """Every text made into an EPUB, and its sections read again from the container."""
+    chapter = F.concat(F.lit("Chapter "), F.col("chapter_idx").cast("string"))
+    books = sinks.epub_books(sinks.book_bodies(line_pages(spark, d).withColumns({"title": F.lit("T"), "chapter_title": chapter})))
+    sections = readers.epub_sections(books.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("epub").alias("content")))
+    return sections.select(F.col("doc_id").cast("long").alias("doc_id"), "section_idx", "file", "title", "text", "char_count")
+
+
+@query("documents_read", f"SELECT doc_id, sha256({normal_sql('text')}) AS text_sha256, 'txt' AS source_format, 'utf8' AS extraction_method FROM documents WHERE {normal_sql('text')} <> ''")
+def documents_read(spark, d):
+    """Every text written as a file of its own and read again."""
+    folder = shared_path(spark, "texts")
+    table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    documents, _ = readers.read_documents(spark, folder)
+    return documents.select(F.regexp_extract("doc_id", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "source_format", "extraction_method")
