@@ -41,3 +41,12 @@ def test_products_beyond_a_long(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (4, [2e18, 5.0])]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).collect())
     assert got == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, top)]
+
+
+def test_products_with_clashing_columns(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(50)] + [(7, r.normal(size=4).tolist()), (None, [1.0] * 4), (51, None), (52, [1.0, None, 0.0, 0.0]), (53, []), (54, [float("nan")] * 4)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    names = ("id", "v", "is_query", "place", "group", "dim", "kind", "ids", "vectors", "level", "query_id", "rank", "score", "n", "bytes")
+    got = [sorted(map(tuple, top_products(x, F.col("vec_id") % 5 == 0, 6).collect())) for x in (plain, plain.withColumns({n: F.lit("x") for n in names}))]
+    assert got[0] == got[1] and len(got[0]) == 10 * 6
