@@ -91,7 +91,6 @@ def prefix_trie(conversations: DataFrame, group: int = 20, shared: Column | None
     in pieces before: a digest takes its bytes in order.
     """
     turns, convs = rebuilt(conversations, group, F.lit(0) if shared is None else shared)
-    convs = stage(convs, "lengths")
     placed = F.sha2(F.concat_ws(":", "place", "high", "low").cast("binary"), 256)
     turns = stage(turns.withColumn("placed", placed).select("conv_id", "place", "words", _half(F.col("placed"), 1).alias("own_high"), _half(F.col("placed"), 17).alias("own_low")), "path")
     path = scan(turns, ["conv_id"], ["place"], high=("xor", F.col("own_high")), low=("xor", F.col("own_low")), tokens=("sum", F.col("words")))
@@ -104,7 +103,7 @@ def prefix_trie(conversations: DataFrame, group: int = 20, shared: Column | None
 
     # each node's smallest member; then, of each conversation, where its own nodes begin, the words before them, and whether it owns a leaf
     same = [F.first(c).alias(c) for c in ("up_high", "up_low", "tokens", "words")]  # all members of a node share its turns
-    owners = stage(steps.groupBy(*NODE).agg(F.min("conv_id").alias("owner"), F.max(F.col("n_turns") > F.col("depth")).alias("goes_on"), *same), "owners")
+    owners = steps.groupBy(*NODE).agg(F.min("conv_id").alias("owner"), F.max(F.col("n_turns") > F.col("depth")).alias("goes_on"), *same)
     own = owners.groupBy(F.col("owner").alias("conv_id")).agg(F.min("depth").alias("begins"), F.min(F.col("tokens") - F.col("words")).alias("before"), F.max(~F.col("goes_on")).cast("long").alias("leaf"))
     last = steps.where("depth = n_turns").select("conv_id", "n_turns", F.col("tokens").alias("all_words"))
     marks = last.join(own, "conv_id", "left").select("conv_id", (F.col("n_turns") + 1).alias("n_steps"), F.coalesce("begins", F.col("n_turns") + 1).alias("begins"), F.coalesce("before", "all_words").alias("before"), F.coalesce("leaf", zero).alias("leaf"))
