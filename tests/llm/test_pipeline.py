@@ -4,7 +4,7 @@ import corpus_pipeline as pipeline
 from helpers import SCHEMA, frame, odd_texts, prose
 from pyspark.sql import functions as F
 from quire.llm.quality import quality_scores
-from test_duplicates import slow_components, slow_print
+from test_neardup import slow_groups
 
 
 def table(spark, path, texts, ids=None, labels=()):
@@ -15,7 +15,7 @@ def table(spark, path, texts, ids=None, labels=()):
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    good = [prose(i, 40 + i) for i in range(60)] + odd_texts() + [prose(5, 45), prose(5, 45) + " x"]
+    good = [prose(i, 40 + i) for i in range(60)] + odd_texts() + [prose(5, 45), prose(5, 45) + " x", prose(7, 47).upper(), prose(8, 48) + " and more", prose(9, 49).replace(" ", "  ", 3)]
     bad = [" ".join(w.upper() + "!!" for w in prose(900 + i, 60).split()) for i in range(25)]
     texts = good + bad
     d = table(spark, tmp_path / "d", texts, labels=[(i, int(i < 60), 0) for i in [*range(60), *range(len(good), len(texts))]])
@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     third = steps["simhash_neardup"](spark, second, d).persist()
     ids = sorted(best.values())
-    groups = slow_components([slow_print(text[i] or "") for i in ids], ids)
+    groups = slow_groups({i: text[i] for i in ids})
     assert rows(third) == sorted(set(groups.values()))
 
     fourth = steps["source_mixing"](spark, third, d).persist()
