@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.mixing import mix_sources
+from quire.llm.neardup import near_components
 from quire.llm.packing import pack_documents
 from quire.llm.quality import quality_scores
-from quire.llm.simhash import simhash_components
 from quire.llm.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHashes link, the one with the smallest doc_id stays."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id")
+    """Of documents that share enough of their five-word shingles (a similarity of 0.8 and more, proposed by SimHash), and those they lead to, the one with the smallest doc_id stays."""
+    kept = near_components(docs).where("doc_id = component_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
