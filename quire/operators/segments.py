@@ -250,7 +250,7 @@ def slices(text: Column, size: Column) -> Column:
 
 
 def split_long(paragraph: Column, target: Column) -> Column:
-    """A paragraph over 1.15 targets in chunks of whole sentences; a sentence over 1.25 targets in slices."""
+    """A paragraph over 1.15 targets in chunks of whole sentences; a sentence over 1.25 targets in slices. 1.15 has no exact double: whole numbers are compared."""
     found = F.filter(F.transform(F.split(paragraph, "(?<=[.!?。！？][”’\"']?)\\s+"), T.trim), lambda s: s != "")
     long = lambda n: n > target * 1.25
 
@@ -262,7 +262,7 @@ def split_long(paragraph: Column, target: Column) -> Column:
         return T.let(starts, lambda places: F.flatten(F.zip_with(_joined(x, places, " "), places, piece)))
 
     chunks = T.let(found, lambda sentences: F.when(F.size(sentences) <= 1, slices(paragraph, target)).otherwise(cut(sentences)))
-    return F.when(paragraph == "", F.expr("cast(array() as array<string>)")).when(F.length(paragraph) <= target * 1.15, F.array(paragraph)).otherwise(chunks)
+    return F.when(paragraph == "", F.expr("cast(array() as array<string>)")).when(F.length(paragraph).cast("long") * 100 <= target.cast("long") * 115, F.array(paragraph)).otherwise(chunks)
 
 
 def pad(segments: Column, count: Column) -> Column:

@@ -79,7 +79,7 @@ def slices(text: str, size: int) -> list[str]:
 
 def _cut(paragraph: str, target: int) -> list[str]:
     """A paragraph over 1.15 targets in chunks of whole sentences; a sentence over 1.25 targets in slices."""
-    if len(paragraph) <= target * 1.15:
+    if len(paragraph) * 100 <= target * 115:
         return [paragraph]
     sentences = [s for s in (x.strip(T._WS_CHARS) for x in _SENTENCE.split(paragraph)) if s]
     if len(sentences) <= 1:
