@@ -3,7 +3,16 @@
 from pyspark.sql import functions as F
 
 from quire.operators import segments
-from quire.sources import tables
+from quire.sources import readers, tables
+
+
+def test_a_value_with_words_after_it_is_no_reply(spark):
+    said = {
+        '8294846167456848 Inly {"chapters": [5,2]} more': "[5,2]", '12 words\n```json\n{"spreads": [7]}\n``` 12': "[7]", '[1] or {"chapters": [2]}': "[2]", '{"a":1}, {"b":2}': None, "1,2": None, "1] [2": None, '1, "b": 2': None,
+        "": None, "]": None, " [3,4] ": "[3,4]", '{"chapters": [9]}': "[9]", "17": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "text string")
+    assert {r.text: r.items for r in rows.select("text", readers.json_array(F.col("text"), "chapters", "spreads").alias("items")).collect()} == said
 
 
 def test_a_paragraph_of_115_letters_is_not_over_a_target_of_100(spark):
