@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import segments
-from quire.sources import readers, tables
+from quire.sources import readers, sinks, tables
 
 
 def test_a_value_with_words_after_it_is_no_reply(spark):
@@ -22,3 +22,13 @@ def test_a_paragraph_of_115_letters_is_not_over_a_target_of_100(spark):
     got = {r.i: list(r.parts) for r in rows.select("i", segments.split_long(F.col("p"), F.col("target")).alias("parts")).collect()}
     assert got == {0: [fits], 1: [f"{'a' * 60}.", f"{'b' * 53}."], 2: ["c" * 23], 3: ["c" * 20, "cccc"]}
     assert len(fits) == 115 and tables.segments_of(f"{fits}\n\n{'d' * 85}", 2) == [fits, "d" * 85]
+
+
+def test_texts_become_files_in_few_folders(spark, tmp_path):
+    texts = {i: f"text {i} é" for i in range(-3, 2100)} | {5: "", 6: None}
+    sinks.write_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), str(tmp_path / "t"))
+    found = {p.name: p.read_bytes() for p in (tmp_path / "t").rglob("*") if p.is_file()}
+    assert found == {f"doc_id={i}.txt": f"{t}\n".encode() for i, t in texts.items() if t is not None}
+    assert len(list((tmp_path / "t").iterdir())) == 4
+    listed = readers.list_files(spark, str(tmp_path / "t"), "*.txt")
+    assert listed.count() == 2102 and listed.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
