@@ -32,3 +32,12 @@ def test_texts_become_files_in_few_folders(spark, tmp_path):
     assert len(list((tmp_path / "t").iterdir())) == 4
     listed = readers.list_files(spark, str(tmp_path / "t"), "*.txt")
     assert listed.count() == 2102 and listed.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_files_of_other_types_are_not_opened(spark, tmp_path):
+    (tmp_path / "A.TXT").write_text("hello")
+    (tmp_path / "b.bin").write_bytes(b"0")
+    documents, errors = readers.read_documents(spark, str(tmp_path))
+    # left out by their names, which the scan knows before it opens them
+    assert "file_name" in documents._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.text for r in documents.collect()] == ["hello"] and [r.error for r in errors.collect()] == ["Unsupported source type: .bin"]
