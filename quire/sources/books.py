@@ -115,8 +115,9 @@ def register(spark: SparkSession) -> None:
 
 # ---- texts of PDF pages ----------------------------------------------------------------------------------------------
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+_ENDS = re.compile(rb"\bendobj\b|\bstream\r?\n")
+_STREAM = re.compile(rb"(.*?)\r?\nendstream\b\s*(?:endobj\b)?", re.S)
 _SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|TJ|Tj|'|Td|TD|BT")
 _ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
 _MEANT = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -148,6 +149,16 @@ def _shown(stream: bytes) -> str:
     return "\n".join([*lines, line]).strip("\n")
 
 
+def _objects(content: bytes) -> dict[int, tuple[bytes, bytes | None]]:
+    """Head and stream of each object by its number. What a stream shows may look like any part of a file, so nothing is looked for in it."""
+    objects, at = {}, 0
+    while (m := _OBJECT.search(content, at)) and (ends := _ENDS.search(content, m.end())):
+        stream = None if ends[0] == b"endobj" else _STREAM.match(content, ends.end())
+        objects[int(m[1])] = content[m.end() : ends.start()], stream and stream[1]
+        at = (stream or ends).end()
+    return objects
+
+
 def pdf_texts(content: bytes) -> list[tuple[str, str | None]]:
     """(text, error) of each page of a PDF: by an installed reader, else of pages whose fonts have a byte for each letter. What can't be read is one row with its error."""
     try:
@@ -159,10 +170,11 @@ def pdf_texts(content: bytes) -> list[tuple[str, str | None]]:
             return [_extracted(page) for page in PdfReader(io.BytesIO(content)).pages]
         if not content.lstrip().startswith(b"%PDF"):
             raise ValueError("not a PDF")
-        objects = {int(n): body for n, body in _OBJECT.findall(content)}
-        pages = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-        order = [int(n) for body in objects.values() for kids in re.findall(rb"/Kids\s*\[(.*?)\]", body, re.S) for n in re.findall(rb"(\d+)\s+\d+\s+R", kids)]
-        pages = [objects[n] for n in order if n in objects and objects[n] in pages] or pages
+        objects = _objects(content)
+        heads = {n: head for n, (head, _) in sorted(objects.items())}
+        of = {n for n, head in heads.items() if re.search(rb"/Type\s*/Page\b(?!s)", head)}
+        order = [int(n) for head in heads.values() for kids in re.findall(rb"/Kids\s*\[(.*?)\]", head, re.S) for n in re.findall(rb"(\d+)\s+\d+\s+R", kids)]
+        pages = [heads[n] for n in order if n in of] or [heads[n] for n in sorted(of)]
         if not pages:
             raise ValueError("no page can be read without a PDF reader")
         return [_plain(page, objects) for page in pages]
@@ -177,13 +189,13 @@ def _extracted(page) -> tuple[str, str | None]:
         return "", str(e)
 
 
-def _plain(page: bytes, objects: dict[int, bytes]) -> tuple[str, str | None]:
+def _plain(page: bytes, objects: dict[int, tuple[bytes, bytes | None]]) -> tuple[str, str | None]:
     shown = []
     for n in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S) or [b"", b""])[1]):
-        body = objects.get(int(n), b"")
-        if found := _STREAM.search(body):
-            shown.append(zlib.decompress(found[1]) if b"/FlateDecode" in body[: found.start()] else found[1])
-    if b"/Identity-H" in b"".join(objects.values()):
+        head, stream = objects.get(int(n), (b"", None))
+        if stream is not None:
+            shown.append(zlib.decompress(stream) if b"/FlateDecode" in head else stream)
+    if any(b"/Identity-H" in head for head, _ in objects.values()):
         return "", "its fonts need a PDF reader"
     return _shown(b"\n".join(shown)), None
 
