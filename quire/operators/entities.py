@@ -184,8 +184,9 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = []
         for text, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             low = text.lower()
-            places = word_places(low)
-            scores.append([{"name": n, "context": _score(n.lower(), low, places)} for n in names])
+            cues = [m.start() for m in _CUE.finditer(low)]
+            places = word_places(low) if cues else {}
+            scores.append([{"name": n, "context": _score(n.lower(), low, places, cues)} for n in names])
         kind = pa.list_(pa.struct([("name", pa.string()), ("context", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, kind)], names=["doc_id", "scores"])
 
@@ -195,8 +196,10 @@ _ACTS_BEFORE = regex.compile(rf"(?<![a-z0-9_])(?:{ACTIONS})\s+(?:to\s+|at\s+|wit
 _HONOURED = regex.compile(rf"(?<![a-z0-9_])(?:{HONORIFICS})\.?\s+$")
 
 
-#: What a text must have for any name in it to get points, in lower case: an action word or an honorific.
-_CUES = rf"(?<![a-z0-9_])(?:{ACTIONS}|{HONORIFICS})(?![a-z0-9_])"
+#: What a text must have for any name in it to get points, in lower case: an action word or an honorific. Where the letters around a name are cut off,
+#: the end of a longer word counts for a cue before a name, and the start of one for a cue behind it.
+_CUES = rf"(?:{ACTIONS}|{HONORIFICS})(?![a-z0-9_])|(?<![a-z0-9_])(?:{ACTIONS})"
+_CUE = regex.compile(_CUES)
 _LETTERS = regex.compile(r"[^\W_]+")
 
 
@@ -218,9 +221,13 @@ def _whole_words(word: str, low: str, places: dict[str, list[int]] | None = None
             yield at
 
 
-def _score(word: str, low: str, places: dict[str, list[int]]) -> int:
+def _score(word: str, low: str, places: dict[str, list[int]], cues: list[int]) -> int:
+    """cues: where those of the text start, in order. Of some that overlap one is enough: the 48 letters are taken for 64."""
     points = 0
     for at in _whole_words(word, low, places):
+        first = bisect_left(cues, at - 64)
+        if first == len(cues) or cues[first] > at + len(word) + 64:
+            continue
         near = low[max(0, at - 48) : at + len(word) + 48]
         spots = list(_whole_words(word, near))
         acts = any(_ACTS_AFTER.match(near, i + len(word)) or _ACTS_BEFORE.search(near[:i]) for i in spots)
@@ -236,7 +243,7 @@ def context_score(name: str, text: str) -> int:
     A name starts with a letter or digit. A text's words are looked up once for all its names, see ``word_places``.
     """
     low = text.lower()
-    return _score(name.lower(), low, word_places(low))
+    return _score(name.lower(), low, word_places(low), [m.start() for m in _CUE.finditer(low)])
 
 
 def review(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
